@@ -15,7 +15,7 @@ NO_WORD = r"^[\x20\x09-\x0D]*$"
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label classifier finds good and free of insults."""
-    return weak_labels.good_documents(docs)
+    return weak_labels.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,7 +48,7 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weak_labels.classify(table(spark, sf_dir))
+    return weak_labels.classify(table(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

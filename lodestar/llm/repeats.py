@@ -151,7 +151,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         raise ValueError("the period must not exceed the window")
     scratch = scratch or Scratch(docs.sparkSession, "repeats")
     _, size = total_bytes(docs, text)
-    buckets = max(1, -(-size // bucket_bytes))
+    # no fewer than the session's shuffle partitions, so that small tables use all cores
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
     in_cover = np.zeros(period, bool)
     in_cover[cover] = True
     # equal (key, text) rows share a row id: their windows, and so their marks, are the same

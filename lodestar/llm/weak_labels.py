@@ -1,7 +1,9 @@
 """Quality classifier from weak labels.
 
-Heuristic labellers vote -1, 0 (no opinion) or 1 on each document. For each of two
-questions, junk and toxic, expectation-maximisation over the counts of vote
+Heuristic labellers vote -1 or 0 (no opinion) on each document, and one votes 1 where
+no other speaks; two of them look
+for words and word beginnings that the labelled documents show to be toxic, if there
+are any. For each of two questions, junk and toxic, expectation-maximisation over the counts of vote
 patterns, taken over all documents, estimates how each labeller votes on either
 class. The posterior of a document's votes is its label for a hashed linear scorer,
 fitted on a bounded sample and applied to every document.
@@ -16,10 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.words import Words, chunks, mix, texts, windows
+from lodestar.llm.words import _TABLES, Words, chunks, mix, texts, windows
 
 DIM_BITS = 15
 SAMPLE = 6000
+#: At most so many labelled documents teach the learned word lists, those of least key hash.
+LABELLED = 20_000
+#: A learned word or beginning stands in at least so many toxic documents, and for each clean one in so many.
+LEAST_TOXIC, PER_CLEAN = 8, 8
+HEAD_BYTES = (5, 6, 7, 8, 9)
+#: Labellers are built to speak against a good document no more often than this, and against a bad one at least so often.
+FALSE_ALARM, LEAST_ALARM = 0.001, 0.05
 #: Words of open insult; two overlapping lists for two labellers.
 INSULTS = ("idiot", "moron", "stupid", "clown", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "dumb", "imbecile", "filthy", "vermin", "retard", "bastard", "bitch", "asshole")
 STRONG_INSULTS = ("idiot", "moron", "scum", "worthless", "pathetic", "loser", "imbecile", "vermin", "retard", "bastard", "bitch", "asshole")
@@ -31,16 +40,16 @@ _LETTER = _UPPER | ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 128)
 _DIGIT = (_BYTES >= 48) & (_BYTES <= 57)
 _SYMBOL = np.isin(_BYTES, np.frombuffer(b"!#$%&*+/<=>@\\^_`{|}~", np.uint8))
 
-#: name, statistic, bad beyond, good below; statistics are fractions of a document.
+#: name, statistic, bad beyond; statistics are fractions of a document. Last votes `all clear`: 1 where no rule speaks.
 JUNK_RULES = (
-    ("shouting", "upper", 0.30, 0.10),
-    ("symbols", "symbols", 0.05, 0.01),
-    ("marked words", "marked", 0.20, 0.02),
-    ("bare marks", "bare", 0.15, 0.02),
-    ("repeats", "repeats", 0.20, 0.04),
-    ("few letters", "other", 0.45, 0.30),
+    ("shouting", "upper", 0.30),
+    ("symbols", "symbols", 0.05),
+    ("marked words", "marked", 0.20),
+    ("bare marks", "bare", 0.15),
+    ("repeats", "repeats", 0.20),
+    ("few letters", "other", 0.45),
 )
-TOXIC_RULES = ("any insult", "strong insult", "personal insult", "repeated insult")
+TOXIC_RULES = ("any insult", "strong insult", "personal insult", "repeated insult", "learned word", "learned beginning")
 
 
 def word_hashes(words: tuple[str, ...]) -> np.ndarray:
@@ -51,10 +60,32 @@ def word_hashes(words: tuple[str, ...]) -> np.ndarray:
 _LISTS = tuple(word_hashes(x) for x in (INSULTS, STRONG_INSULTS, PERSONAL_INSULTS))
 
 
+def letter_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Text index of each run of letters, and hashes of the whole run and of its beginnings (0 where shorter)."""
+    code = _LETTER[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    begin = np.flatnonzero(code & (edge[:-1] | ~np.concatenate(([False], code[:-1]))[: len(code)]))
+    end = np.flatnonzero(code & (edge[1:] | ~np.concatenate((code[1:], [False]))[: len(code)])) + 1
+    units = _TABLES[True][data]
+    heads = [np.where(end - begin > n, windows(units, begin, np.minimum(begin + n, end)) ^ np.uint64(n), np.uint64(0)) for n in HEAD_BYTES]
+    return np.searchsorted(offsets, begin, "right") - 1, [windows(units, begin, end), *heads]
+
+
+class Lists:
+    """Sorted hashes of learned toxic words and beginnings."""
+
+    def __init__(self, words: np.ndarray, heads: np.ndarray):
+        self.words, self.heads = words, heads
+
+
+NOTHING_LEARNED = Lists(np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+
+
 class _Chunk:
     """Votes and hashed features of a run of texts."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, learned: Lists):
         n = len(offsets) - 1
         w = Words(data, offsets, lower=True)
         doc = np.repeat(np.arange(n), w.counts)
@@ -77,23 +108,24 @@ class _Chunk:
             "bare": of_words(solid[w.ends] == solid[w.starts]), "repeats": of_words(same), "other": 1 - letters / length - part(data == 32) / length,
         }
         empty = w.counts == 0
-        junk = [np.where(empty, -1, np.where(self.stats[s] > bad, -1, np.where(self.stats[s] < good, 1, 0))) for _, s, bad, good in JUNK_RULES]
-        # an insult counts without the marks around it
-        code = _LETTER[data]
-        bounds = np.flatnonzero(np.diff(np.concatenate(([False], code, [False])).astype(np.int8)))
-        begin, end = bounds[::2], bounds[1::2]
-        bare_words = windows(_lower_units(data), begin, end)
-        home = np.searchsorted(offsets, begin, "right") - 1
-        hits = [np.bincount(home[np.isin(bare_words, x)], minlength=n) for x in _LISTS]
-        toxic = [np.where(h > 0, -1, 1) for h in hits] + [np.where(hits[0] > 1, -1, np.where(hits[0] == 0, 1, 0))]
-        self.votes = np.stack([*junk, *toxic], 1).astype(np.int8)
+        junk = [np.where(empty | (self.stats[s] > bad), -1, 0) for _, s, bad in JUNK_RULES]
+        home, (runs, *heads) = letter_runs(data, offsets)  # an insult counts without the marks around it
+        hits = [np.bincount(home[np.isin(runs, x)], minlength=n) for x in (*_LISTS, learned.words)]
+        begun = np.zeros(len(home), bool)
+        for h in heads if len(learned.heads) else ():
+            begun |= np.isin(h, learned.heads)
+        hits.append(np.bincount(home[begun], minlength=n))
+        toxic = [np.where(h > 0, -1, 0) for h in hits]
+        toxic.insert(3, np.where(hits[0] > 1, -1, 0))
+        clear = [(np.max(np.stack(x), 0) == np.min(np.stack(x), 0)) & (x[0] == 0) for x in (junk, toxic)]
+        self.votes = np.stack([*junk, clear[0].astype(int), *toxic, clear[1].astype(int)], 1).astype(np.int8)
         self.w, self.doc, self.n = w, doc, n
         self.data = data
 
     def features(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct hashed features of each text: words, their first five and last two bytes, statistics by tenths, votes."""
         w, size = self.w, np.uint64(64 - DIM_BITS)
-        units = _lower_units(self.data)
+        units = _TABLES[True][self.data]
         heads = windows(units, w.starts, np.minimum(w.starts + 5, w.ends)) ^ np.uint64(1)
         tails = windows(units, np.maximum(w.ends - 2, w.starts), w.ends) ^ np.uint64(2)
         levels = np.stack([np.minimum(x * 20, 20).astype(np.uint64) for x in self.stats.values()], 1)
@@ -108,17 +140,11 @@ class _Chunk:
         return (both & np.uint64((1 << DIM_BITS) - 1)).astype(np.int64), at
 
 
-def _lower_units(data: np.ndarray) -> np.ndarray:
-    from lodestar.llm.words import _TABLES
-
-    return _TABLES[True][data]
-
-
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, _Chunk]]:
+def _each(batches: Iterator[pa.RecordBatch], learned: Lists) -> Iterator[tuple[pa.Array, _Chunk]]:
     for batch in batches:
         data, offsets = texts(batch.column("text"))
         for lo, hi in chunks(offsets):
-            yield batch.column("key").slice(lo, hi - lo), _Chunk(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            yield batch.column("key").slice(lo, hi - lo), _Chunk(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], learned)
 
 
 class LabelModel:
@@ -128,21 +154,24 @@ class LabelModel:
         self.prior, self.table = np.array([0.5, 0.5]), np.full((2, labellers, 3), 1 / 3)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """Probability of good for rows of votes."""
-        logs = np.log(self.prior)[:, None] + sum(np.log(self.table[:, j, votes[:, j].astype(int) + 1]) for j in range(votes.shape[1]))
+        """Probability of good for rows of votes; no opinion is no evidence."""
+        logs = np.log(self.prior)[:, None] + sum(np.log(self.table[:, j, votes[:, j].astype(int) + 1]) * (votes[:, j] != 0) for j in range(votes.shape[1]))
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
 
     def fit(self, votes: np.ndarray, counts: np.ndarray, rounds: int = 100, tolerance: float = 1e-6) -> LabelModel:
         """votes: distinct patterns; counts: documents of each. Starts from the vote: any -1 is suspect."""
         if not len(votes):
             return self
-        good = np.clip(0.9 - 0.4 * (votes < 0).sum(1), 0.05, 0.95)
+        good = np.where((votes < 0).any(1), 0.05, 0.95)
         for _ in range(rounds):
             for c, weight in enumerate((counts * (1 - good), counts * good)):
                 self.prior[c] = (weight.sum() + 1) / (counts.sum() + 2)
                 for j in range(votes.shape[1]):
-                    share = np.bincount(votes[:, j].astype(int) + 1, weight, 3) + 1
-                    self.table[c, j] = share / share.sum()
+                    share = np.bincount(votes[:, j].astype(int) + 1, weight, 3) + 0.1
+                    share /= share.sum()
+                    alarm = max(share[0], LEAST_ALARM) if c == 0 else min(share[0], FALSE_ALARM)
+                    self.table[c, j] = share * (1 - alarm) / (1 - share[0])
+                    self.table[c, j, 0] = alarm
             new = self.posterior(votes)
             if np.abs(new - good).max() < tolerance:
                 break
@@ -174,10 +203,10 @@ def train_scorer(features: list[np.ndarray], targets: np.ndarray, epochs: int =
 class QualityModel:
     """Label models and scorers for junk and toxic."""
 
-    parts = (slice(0, len(JUNK_RULES)), slice(len(JUNK_RULES), None))
+    parts = (slice(0, len(JUNK_RULES) + 1), slice(len(JUNK_RULES) + 1, len(JUNK_RULES) + len(TOXIC_RULES) + 2))
 
-    def __init__(self, models: list[LabelModel], weights: list[np.ndarray]):
-        self.models, self.weights = models, weights
+    def __init__(self, learned: Lists, models: list[LabelModel], weights: list[np.ndarray]):
+        self.learned, self.models, self.weights = learned, models, weights
 
     def scores(self, chunk: _Chunk) -> tuple[list[np.ndarray], list[np.ndarray]]:
         flat, at = chunk.features()
@@ -193,14 +222,49 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> QualityModel:
-    """Votes are counted over all documents; the scorers learn from at most ``sample`` of them, the least key hashes."""
-    labellers = len(JUNK_RULES) + len(TOXIC_RULES)
+def learn_lists(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", labelled: int = LABELLED) -> Lists:
+    """Toxic words and beginnings from at most ``labelled`` labelled documents; equal texts count once."""
+    known = labels.where("toxic is not null").select(F.col(key).cast("long").alias("key"), F.col("toxic").cast("int").alias("toxic")).where("key is not null")
+    bounded = known.orderBy(F.xxhash64("key"), "key").limit(labelled)
+    rows = _rows(docs, key, text).join(F.broadcast(bounded), "key").dropDuplicates(["text", "toxic"])  # labelled rows of 12 bytes
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = texts(batch.column("text"))
+            toxic = np.asarray(batch.column("toxic")) > 0
+            for lo, hi in chunks(offsets, 8 << 20):
+                home, (runs, *heads) = letter_runs(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                for head, hashes in ((False, runs), *[(True, h) for h in heads]):
+                    pairs = _distinct(hashes, home)
+                    found, at = np.unique(pairs[0], return_inverse=True)
+                    bad = toxic[lo:hi][pairs[1]]
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(len(found), head)), pa.array(np.bincount(at, bad, len(found)).astype(np.int64)), pa.array(np.bincount(at, ~bad, len(found)).astype(np.int64))], ["h", "head", "toxic", "clean"])
+
+    total = rows.select("text", "toxic").mapInArrow(count, "h long, head boolean, toxic long, clean long").groupBy("h", "head").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    found = total.where((F.col("t") >= LEAST_TOXIC) & (F.col("t") >= PER_CLEAN * F.col("c"))).select("h", "head").collect()  # bounded by the sample's words
+    return Lists(*(np.sort(np.array([r.h for r in found if r.head == head], np.int64).view(np.uint64)) for head in (False, True)))
+
+
+def _distinct(hashes: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (hash, text) pairs, without hash 0."""
+    order = np.lexsort((home, hashes))
+    h, d = hashes[order], home[order]
+    keep = (h != 0) & np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])))[: len(h)]
+    return h[keep], d[keep]
+
+
+def fit(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> QualityModel:
+    """Votes are counted over all documents; the scorers learn from at most ``sample`` of them, the least key hashes.
+
+    labels (key, toxic), where given, teaches two of the labellers; see learn_lists.
+    """
+    labellers = QualityModel.parts[1].stop
+    learned = learn_lists(docs, labels, key, text) if labels is not None else NOTHING_LEARNED
     rows = _rows(docs, key, text)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[bytes, int] = {}
-        for _, chunk in _each(batches):
+        for _, chunk in _each(batches, learned):
             patterns, counts = np.unique(chunk.votes, axis=0, return_counts=True)
             for p, c in zip(patterns, counts.tolist(), strict=True):
                 total[p.tobytes()] = total.get(p.tobytes(), 0) + c
@@ -219,20 +283,20 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
     chosen = hashed.where(F.col("h") <= F.lit(cut[-1])).select("key", "text") if cut else rows.limit(0)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, chunk in _each(batches):
+        for keys, chunk in _each(batches, learned):
             flat, at = chunk.features()
             yield pa.RecordBatch.from_arrays([keys, pa.array([v.tobytes() for v in chunk.votes], pa.binary()), pa.array([flat[a:b].astype(np.uint16).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["key", "votes", "features"])
 
     got = sorted(chosen.mapInArrow(featured, "key long, votes binary, features binary").limit(sample).collect(), key=lambda r: (r.key is not None, r.key or 0, r.features))
     features = [np.frombuffer(r.features, np.uint16).astype(np.int64) for r in got]
     own = np.array([np.frombuffer(r.votes, np.int8) for r in got], np.int8).reshape(-1, labellers)
-    return QualityModel(models, [train_scorer(features, m.posterior(own[:, p])) for m, p in zip(models, QualityModel.parts, strict=True)])
+    return QualityModel(learned, models, [train_scorer(features, m.posterior(own[:, p])) for m, p in zip(models, QualityModel.parts, strict=True)])
 
 
 SCORES = "key long, quality double, clean double, quality_label double, clean_label double, keep boolean"
 
 
-def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", model: QualityModel | None = None, threshold: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", model: QualityModel | None = None, threshold: float = 0.5) -> DataFrame:
     """Rows (key, quality, clean, quality_label, clean_label, keep).
 
     quality and clean are the scorers' probabilities of good text and of text
@@ -241,20 +305,20 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Qu
     Null and repeated keys are kept; other columns are ignored; an empty table gives
     no rows.
     """
-    model = model or fit(docs, key, text)
+    model = model or fit(docs, labels, key, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 * 2**DIM_BITS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, chunk in _each(batches):
+        for keys, chunk in _each(batches, shared.value.learned):
             (quality, clean), (a, b) = shared.value.scores(chunk)
             yield pa.RecordBatch.from_arrays([keys, *[pa.array(x, pa.float64()) for x in (quality, clean, a, b)], pa.array((quality >= threshold) & (clean >= threshold))], ["key", "quality", "clean", "quality_label", "clean_label", "keep"])
 
     return _rows(docs, key, text).mapInArrow(run, SCORES).withColumnRenamed("key", key)
 
 
-def good_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", model: QualityModel | None = None, threshold: float = 0.5) -> DataFrame:
+def good_documents(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", model: QualityModel | None = None, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that classify() keeps, all columns, without a join: rows stream through the scorer."""
-    model = model or fit(docs, key, text)
+    model = model or fit(docs, labels, key, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     at = names.index(text)
@@ -262,7 +326,7 @@ def good_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", mod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for _, chunk in _each([pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], ["key", "text"])]):
+            for _, chunk in _each([pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], ["key", "text"])], shared.value.learned):
                 (quality, clean), _ = shared.value.scores(chunk)
                 keep.append((quality >= threshold) & (clean >= threshold))
             yield batch.filter(pa.array(np.concatenate([*keep, np.zeros(0, bool)])))
