@@ -80,39 +80,127 @@ def open_block(payload: bytes) -> tuple[np.ndarray, np.ndarray, Callable[[int, i
 class WordEncoder:
     """Ids of whole texts from a tokenizer that works inside whitespace-delimited words.
 
-    For tokenizers whose pre-tokenisation drops white space, the ids of a text are
-    the ids of its words in order, so each distinct word is encoded once a process.
+    The tokenizer must drop white space, lower-case, and split words by PIECES before
+    its merges, as the word-end BPE here does. Then a text's ids are those of its
+    words in order, and a word's those of its pieces. Words of plain Latin letters
+    and signs are lower-cased and split by Arrow, and each distinct piece meets the
+    merges once; any other word is encoded by the whole tokenizer.
     """
 
-    def __init__(self, path: str, memory: int = 400_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.memory, self.known = Tokenizer.from_file(path), memory, {}
+    #: The tokenizer's own split, a fixed value.
+    PIECES = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
+    #: Letters that no normal form changes; without the signs that special tokens begin with.
+    PLAIN = r"^[\x21-\x3B\x3D-\x7E\x{A1}\x{BF}-\x{FF}]*$"
+    _line = 200
 
-    def lists(self, words: list[str]) -> list[np.ndarray]:
-        new = list({w for w in words if w not in self.known})
-        if len(self.known) + len(new) > self.memory:
-            self.known.clear()
-            new = list(set(words))
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, np.uint32)
-        return [self.known[w] for w in words]
+    def __init__(self, path: str, memory: int = 500_000):
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
+
+        self.tokenizer, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.merges.normalizer = None
+        self.merges.pre_tokenizer = Sequence([Split(" ", "removed"), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
+        self.memory = memory
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.starts, self.sizes = np.zeros(1 << 20, np.uint16 if len(self.last) <= 1 << 16 else np.uint32), np.zeros(self.memory + 2, np.int64), np.zeros(self.memory + 2, np.int64)
+        self.used = 0
+        self._store([""], np.zeros(0, np.int64), np.zeros(1, np.int64))  # blanks at an end split off an empty piece
+
+    def _store(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        n = len(self.known)
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[n : n + len(names)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n : n + len(names)] = sizes
+        self.used += len(ids)
+        self.known.update(zip(names, range(n, n + len(names)), strict=True))
+
+    def _learn(self, pieces: list[str]) -> None:
+        for lo in range(0, len(pieces), 20 * self._line):
+            part = pieces[lo : lo + 20 * self._line]
+            lines = [part[i : i + self._line] for i in range(0, len(part), self._line)]
+            got = self.merges.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, np.int64) for e in got])
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer does not end each piece with a word end")
+            self._store(part, ids, np.diff(ends, prepend=0))
+
+    def _places(self, names: list[str], learn) -> np.ndarray:
+        """Where the names stand in the store; unknown ones are learned first."""
+        found = list(map(self.known.get, names))
+        new = [x for x, at in zip(names, found, strict=True) if at is None]
+        if new:
+            if len(self.known) + len(new) > self.memory:
+                self._clear()
+                if len(names) > self.memory:
+                    self.memory = 2 * len(names)
+                    self._clear()
+                new = [x for x in names if x]
+            learn(new)
+            found = list(map(self.known.get, names))
+        return np.array(found, np.int64)
+
+    def _whole(self, words: list[str]) -> None:
+        got = [self.tokenizer.encode(w[1:], add_special_tokens=False).ids for w in words]
+        self._store(words, np.array([i for x in got for i in x], np.int64), np.array([len(x) for x in got], np.int64))
+
+    @staticmethod
+    def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return flat[np.repeat(starts, sizes) + ragged(sizes)]
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and number of ids of distinct words."""
+        plain = np.asarray(pc.match_substring_regex(words, self.PLAIN))
+        counts, ids = np.zeros(len(words), np.int64), np.zeros(0, self.flat.dtype)
+        if plain.any():
+            spaced = pc.replace_substring_regex(pc.utf8_lower(words.filter(pa.array(plain))), self.PIECES, r"\1 ")
+            split = pc.ascii_split_whitespace(pc.utf8_rtrim_whitespace(spaced))
+            offsets = np.asarray(split.offsets, np.int64)
+            coded = split.flatten().dictionary_encode()
+            at = self._places(coded.dictionary.to_pylist(), self._learn)[np.asarray(coded.indices, np.int64)]
+            sizes = self.sizes[at]
+            ids = self._gather(self.flat, self.starts[at], sizes)
+            counts[plain] = np.diff(np.concatenate(([0], np.cumsum(sizes)))[offsets - offsets[0]])
+        if not plain.all():
+            # names of whole words begin with a blank, which no piece has
+            at = self._places([f" {w}" for w in words.filter(pa.array(~plain)).to_pylist()], self._whole)
+            counts[~plain] = self.sizes[at]
+            order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
+            both = np.concatenate((ids, self._gather(self.flat, self.starts[at], self.sizes[at])))
+            starts = np.zeros(len(words), np.int64)
+            starts[order] = np.cumsum(counts[order]) - counts[order]
+            ids = self._gather(both, starts, counts)
+        return ids, counts
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many each text has."""
         split = pc.ascii_split_whitespace(column)
         offsets = np.asarray(split.offsets, np.int64)
+        # splitting leaves an empty word at a text's blank ends
         coded = split.flatten().dictionary_encode()
-        if isinstance(coded, pa.ChunkedArray):
-            coded = coded.combine_chunks()
-        known = self.lists(coded.dictionary.to_pylist())
-        sizes = np.array([len(x) for x in known], np.int64)
-        flat = np.concatenate([*known, np.zeros(0, np.uint32)])
+        flat, sizes = self._words(coded.dictionary)
         at = np.asarray(coded.indices, np.int64)
         counts = sizes[at]
-        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[at], counts) + ragged(counts)]
-        total = np.concatenate(([0], np.cumsum(counts)))
-        return ids, np.diff(total[offsets - offsets[0]])
+        ids = self._gather(flat, (np.cumsum(sizes) - sizes)[at], counts)
+        return ids, np.diff(np.concatenate(([0], np.cumsum(counts)))[offsets - offsets[0]])
+
+
+_coders: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder a worker process, so that tasks share what it knows."""
+    if path not in _coders:
+        _coders[path] = WordEncoder(path)
+    return _coders[path]
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +219,7 @@ def write_blocks(docs: DataFrame, scratch, tokenizer_path: str, end_id: int, key
     ordered = rows.repartitionByRange(max(1, -(-size // bucket_bytes)), "key").sortWithinPartitions("key", "text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordEncoder(tokenizer_path)
+        coder = word_encoder(tokenizer_path)
         bits = bit_width(max(coder.tokenizer.get_vocab_size(), end_id + 1))
         place, number, begun, held = TaskContext.get().partitionId(), 0, 0, []
 
@@ -146,7 +234,7 @@ def write_blocks(docs: DataFrame, scratch, tokenizer_path: str, end_id: int, key
             column = batch.column("text")
             _, offsets = texts(column)
             keys = np.asarray(batch.column("key"))
-            for lo, hi in chunks(offsets):
+            for lo, hi in chunks(offsets, 4 << 20):
                 ids, counts = with_end(*coder.encode(column.slice(lo, hi - lo)), end_id)
                 held.append((keys[lo:hi], counts, ids))
                 if sum(len(x[2]) for x in held) >= BLOCK_IDS:
