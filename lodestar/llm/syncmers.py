@@ -30,7 +30,8 @@ def _joined(many: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def anchors(many: list[str], k: int = K, s: int = S) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(hashes, positions in code points) of each text's closed syncmers.
 
-    A text of 1 to k - 1 code points has one anchor, the whole of it; an empty one none.
+    A text without a closed syncmer, as every one of 1 to k - 1 code points, has one
+    anchor, the whole of it; an empty one none.
     """
     data, offsets = _joined(many)
     n = len(data)
@@ -49,7 +50,7 @@ def anchors(many: list[str], k: int = K, s: int = S) -> Iterator[tuple[np.ndarra
     cut = np.searchsorted(chosen, offsets)
     for i in range(len(many)):
         lo, hi = offsets[i], offsets[i + 1]
-        if 0 < hi - lo < k:
+        if hi > lo and cut[i] == cut[i + 1]:
             yield windows(mix(data[lo:hi].astype(np.uint64) + np.uint64(1)), np.array([0]), np.array([hi - lo])), np.zeros(1, np.int64)
         else:
             yield hashes[cut[i] : cut[i + 1]], chosen[cut[i] : cut[i + 1]] - lo

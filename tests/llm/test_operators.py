@@ -76,6 +76,20 @@ def test_anchors_are_context_free():
     assert whole == set(zip(*next(syncmers.anchors([inner])), strict=True))
 
 
+def test_short_texts_have_anchors(spark):
+    rng = np.random.default_rng(11)
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n)) for n in range(1, 40) for _ in range(40)]
+    texts = sorted(set(texts))
+    found = list(syncmers.sketches(texts))
+    assert all(len(x) for x in found) and len({syncmers.as_text(x) for x in found if len(x)}) == len(texts)
+    for n in range(16, 26):
+        own = [(t, x) for t, x in zip(texts, found, strict=True) if len(t) == n]
+        assert all(syncmers.likeness(a, b) < 1 for i, (_, a) in enumerate(own) for _, b in own[:i])
+        assert all((next(syncmers.sketches([t])) == x).all() for t, x in own)  # alone as among others
+    got = by_id(syncmers.compared(spark.createDataFrame([(1, "sixteen letters!"), (2, "other 16 letters")], "doc_id long, text string")), "fingerprint", "near_next")
+    assert got[1][0] != got[2][0] and got[1][1] == got[2][1] == 0
+
+
 def test_sharding(spark, docs, empty):
     got = sharding.sharded(docs, {i: 1.0 for i in range(8)}, {i: 1.0 for i in range(9)}).collect()
     assert {(r.doc_id, r["size"], r.text_crc32) for r in got} == {(k, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for k, t in ROWS}
