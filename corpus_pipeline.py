@@ -28,7 +28,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the least id, of each class linked by five-word Jaccard of 0.8 or more."""
-    parts = jaccard.jaccard_components(docs, k=5, percent=80)
+    parts = jaccard.jaccard_components(docs, k=5, percent=80, counted=False)
     gone = parts.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 

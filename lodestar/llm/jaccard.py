@@ -15,7 +15,9 @@ Where many groups share a shingle, the first round pairs each with a few others
 only; its links join into components. Middle rounds pair what is still apart with
 ever more pivots, and the last one pairs all that they left apart. So no link between
 components is lost, and a large family of near copies costs about its size, not its
-square. After the first round, pairs are also held against parity maps of their whole
+square. A document's number of links costs more: every link lies within a component,
+so where rounds left pairs out, all pairs of a component are counted, block by block,
+which reads its sets once for each block of it. After the first round, pairs are also held against parity maps of their whole
 sets: bits that differ are no more than shingles that one set has and the other lacks.
 """
 
@@ -36,6 +38,8 @@ SKETCH_BITS = 18
 FULL_BLOCK = 8  # up to so many groups of one shingle, the first round pairs all
 MARK_BITS = 24  # texts to verify are marked in so many bits, 2 MB in all, before they are read
 PIVOTS = 3  # beyond it, each meets the next one by size and so many of least hash, the same ones for all shingles of a family
+BLOCK = 1 << 18  # shingles of a block of sets of one component when links are counted; each set counts BLOCK_SET more
+BLOCK_SET = 512
 MIDDLE = (16,)  # pivots of the rounds between the first and the last, which pair different components only
 
 PARITY = ["b0", "b1", "b2", "b3"]  # 256 bits of a set: whether the number of its shingles of each hash remainder is odd
@@ -209,15 +213,15 @@ def candidates(postings: DataFrame, percent: int, pivots: int | None, first: boo
     return sorted_.mapInArrow(meet, "a long, partners array<long>")
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
-    """Rows (key, n_shingles, component_id, n_links): set size, least key reachable by links, links found from the class of equal sets.
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, scratch: Scratch | None = None, counted: bool = True, block: int = BLOCK) -> DataFrame:
+    """Rows (key, n_shingles, component_id, n_links): set size, least key reachable by links, links from the class of equal sets.
 
     Words are maximal runs outside ``[\\x20\\x09-\\x0D]``, A-Z lower-cased. Texts link
     when ``100 * |A & B| >= percent * |A | B|``. Null, empty and blank texts have the
     empty set and link with nothing. Rows with a null key have no component and link
     with nothing; repeated keys are one document of several texts. Other columns are
-    ignored; an empty table gives no rows. n_links counts verified links that joined
-    the components, not all pairs of a family.
+    ignored; an empty table gives no rows. n_links counts all other classes of equal sets,
+    by least key, that the class links with; without ``counted`` the column is left out.
     """
     scratch = scratch or Scratch(docs.sparkSession, "jaccard")
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
@@ -293,13 +297,72 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # a group of several components may meet its pairs again
     all_links = scratch.keep(all_links.distinct(), "links")
     final = scratch.keep(components(all_links, scratch, "stars"), "parts")
+    labelled = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left")
+    if counted:
+        # a pair that meets in a small block was verified; the rounds left out pairs of large ones alone
+        met = outer.select("id").distinct().join(members.withColumnRenamed("gkey", "id"), "id").select("rep").union(inner.select(F.col("id").alias("rep"))).distinct()
+        nodes = final.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
+        edges = all_links.join(final, F.col("a") == F.col("node")).groupBy("component").agg(F.count(F.lit(1)).alias("edges"))
+        whole = F.col("nodes") * (F.col("nodes") - 1) == 2 * F.col("edges")
+        touched = final.join(met, F.col("node") == F.col("rep")).select("component").distinct()
+        open_ = nodes.join(edges, "component").where(~whole).join(touched, "component").select("component")
+        open_ = scratch.keep(final.join(open_, "component").select(F.col("node").alias("rep"), "component"), "open")
+        degree = all_links.select(F.col("a").alias("rep")).union(all_links.select("b")).join(open_, "rep", "left_anti").groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+        degree = degree.union(scratch.keep(all_degrees(rows, classes, open_, k, percent, block, scratch), "degrees"))
+        labelled = labelled.join(degree, "rep", "left")
     scratch.drop("large-0", "large-1", "groups")
-    degree = all_links.select(F.col("a").alias("rep")).union(all_links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    labelled = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    labelled = labelled.select("gkey", "n", "s1", "s2", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    links_ = ["n_links"] if counted else []
+    labelled = labelled.select("gkey", "n", "s1", "s2", F.coalesce("component", "rep").alias("component"), *(F.coalesce(x, F.lit(0)).alias(x) for x in links_))
     done = signed.select("id", "n", "s1", "s2", "gkey").join(labelled, ["gkey", "n", "s1", "s2"], "left")
     none = F.col("id").isNull() | (F.col("n") == 0)
-    return done.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(none, F.col("id")).otherwise(F.col("component")).alias("component_id"), F.when(none, F.lit(0)).otherwise(F.col("n_links")).alias("n_links"))
+    return done.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(none, F.col("id")).otherwise(F.col("component")).alias("component_id"), *(F.when(none, F.lit(0)).otherwise(F.col(x)).alias(x) for x in links_))
+
+
+def all_degrees(rows: DataFrame, classes: DataFrame, parts: DataFrame, k: int, percent: int, block: int, scratch: Scratch) -> DataFrame:
+    """Rows (rep, n_links) of the nodes of parts (rep, component): with how many others of its component each links.
+
+    A component's nodes are dealt to blocks by hash. Each two of its blocks meet, and all
+    their pairs are verified; one task holds two blocks.
+    """
+    own = scratch.keep(classes.join(parts, "rep").select("component", "rep", "n", "s1", "s2"), "open-classes")
+    blocks = own.groupBy("component").agg(F.ceil(F.sum(F.col("n") + BLOCK_SET) / block).alias("blocks"))
+    # repeated keys: the class's own set decides, and the classes of one are one node in one block
+    sets = _marked(rows, own.select(F.col("rep").alias("id"))).mapInArrow(_sets(k), "id long, s1 long, s2 long, shingles array<long>").withColumnRenamed("id", "rep")
+    sets = own.join(blocks, "component").join(sets, ["rep", "s1", "s2"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    sets = scratch.keep(sets.dropDuplicates(["rep", "s1", "s2"]).select("component", "block", "blocks", "rep", "shingles"), "open-sets")
+
+    def count(table: pa.Table) -> pa.Table:
+        reps, blocks = (table.column(x).to_numpy() for x in ("rep", "block"))
+        shingles = table.column("shingles").combine_chunks()
+        flat, sizes = shingles.flatten().to_numpy(), shingles.value_lengths().to_numpy().astype(np.int64)
+        order = np.argsort(sizes, kind="stable")
+        ends = np.cumsum(sizes)
+        flat = np.concatenate([flat[:0], *(flat[ends[i] - sizes[i] : ends[i]] for i in order)])
+        reps, blocks, sizes = reps[order], blocks[order], sizes[order]
+        starts = np.concatenate(([0], np.cumsum(sizes)))
+        terms, flat = np.unique(flat, return_inverse=True)
+        across = table.column("block_a")[0].as_py() != table.column("block_b")[0].as_py()
+        has, found = np.zeros(len(terms), bool), []
+        for i in range(len(reps) - 1):
+            top = int(np.searchsorted(sizes, 100 * sizes[i] // percent, "right"))  # sizes ascend: j is the larger set
+            if top <= i + 1:
+                continue
+            mine = flat[starts[i] : starts[i + 1]]
+            has[mine] = True
+            common = np.add.reduceat(has[flat[starts[i + 1] : starts[top]]], starts[i + 1 : top] - starts[i + 1], dtype=np.int64)
+            has[mine] = False
+            j = np.arange(i + 1, top)
+            j = j[(100 * common >= percent * (sizes[i] + sizes[i + 1 : top] - common)) & (reps[i + 1 : top] != reps[i])]
+            j = j[blocks[j] != blocks[i]] if across else j
+            found.append(np.stack((np.minimum(reps[i], reps[j]), np.maximum(reps[i], reps[j]))))
+        pairs = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1), axis=1)
+        rep, n = np.unique(pairs, return_counts=True)
+        return pa.table({"rep": pa.array(rep, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    met = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select("component", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), "block", "rep", "shingles")
+    some = met.groupBy("component", "block_a", "block_b").applyInArrow(count, "rep long, n long")
+    return some.groupBy("rep").agg(F.sum("n").cast("long").alias("n_links"))
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

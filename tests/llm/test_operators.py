@@ -138,6 +138,37 @@ def test_jaccard_large_family(spark):
     assert by_id(jaccard.jaccard_components(df, k=4, percent=85), "n_shingles", "component_id") == components(rows, 4, 85)
 
 
+def links_expected(rows, k, percent):
+    sets = []
+    for key, t in rows:
+        w = WORD.findall((t or "").lower())
+        sets.append((key, frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) or frozenset([tuple(w)] if w else [])))
+    least, near = {}, defaultdict(set)
+    for key, s in sets:
+        least[s] = min(key, least.get(s, key))
+    for a in least:
+        for b in least:
+            if a and b and least[a] != least[b] and 100 * len(a & b) >= percent * len(a | b):
+                near[least[a]].add(least[b])
+    return Counter((key, len(s), len(near[least[s]]) if s else 0) for key, s in sets)
+
+
+def test_jaccard_counts_all_links(spark):
+    rows = [(k, t) for k, t in ROWS if k != 10]  # lower() differs from A-Z there
+    for family, size in ((80, 50), (81, 30)):
+        base = prose(300, family).split()
+        for i in range(size):
+            words = list(base)
+            for j in range(i % 7):
+                words[(i * 13 + j * 29) % len(base)] = f"edit{family}_{i}_{j}"
+            rows.append((1000 * family + i, " ".join(words)))
+    rows += [(80003, rows[-1][1]), (80003, prose(30, 82)), (90000, rows[-2][1])]
+    want = links_expected(rows, 4, 85)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard.jaccard_components(df, k=4, percent=85, block=4000).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in got) == want and max(n for _, _, n in want) > 20
+
+
 def test_jaccard_odd_rows(spark, empty):
     df = spark.createDataFrame([(None, prose(50, 1)), (3, prose(50, 1)), (3, prose(50, 1)), (3, None)], "doc_id long, text string")
     got = sorted(jaccard.jaccard_components(df).collect(), key=str)
