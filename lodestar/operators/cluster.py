@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,12 +151,29 @@ def clara(points: DataFrame, k: int, samples: int = 5, size: int | None = None,
     return best
 
 
-def clarans(points: DataFrame, k: int, local: int = 2, neighbours: int = 20, seed: int = 0) -> tuple[list[tuple[int, int]], int]:
-    """Random-neighbour search: each start takes any of ``neighbours`` seeded candidates' best swaps while one helps."""
-    best = None
+def clarans(points: DataFrame, k: int, local: int = 2, rate: float = 0.0125, seed: int = 0) -> tuple[list[tuple[int, int]], int]:
+    """Random-neighbour search: each start takes the first of its drawn swaps that helps, till a whole draw does not.
+
+    A draw is afresh from all swaps of a medoid with another row, ceil(rate * k * (n - k))
+    of them, so it grows with the table. k rows and one swap at the driver.
+    """
+    spark, n = points.sparkSession, points.count()
+    retries, best = math.ceil(rate * k * (n - k)), None
     for i in range(local):
-        start = [(r.kp_ind, r.bits) for r in sampled(points, k, seed + 100 * i).collect()]
-        found = pam(points, start, candidates=sampled(points, neighbours + k, seed + 100 * i + 1).select("kp_ind", "bits").persist())
-        if best is None or found[1] < best[1]:
-            best = found
+        medoids = [(r.kp_ind, r.bits) for r in sampled(points, k, seed + 100 * i).collect()]
+        now = cost(two_nearest(points, spark.createDataFrame(medoids, "m long, center long"))).first().cost
+        for step in itertools.count():
+            table = spark.createDataFrame(medoids, "m long, center long")
+            place = F.xxhash64(F.lit(seed + 100 * i + 1), F.lit(step), "h", "m")
+            others = points.where(~F.col("kp_ind").isin(*[m for m, _ in medoids])).select(F.col("kp_ind").alias("h"), "bits")
+            drawn = others.crossJoin(F.broadcast(table.select("m"))).withColumn("place", place).orderBy("place", "h", "m").limit(retries).persist()
+            deltas = swap_costs(two_nearest(points, table), drawn.select(F.col("h").alias("kp_ind"), "bits").distinct())
+            swap = deltas.where("delta < 0").join(drawn, ["h", "m"]).orderBy("place", "h", "m").first()
+            drawn.unpersist()
+            if swap is None:
+                break
+            medoids = sorted([x for x in medoids if x[0] != swap.m] + [(swap.h, swap.bits)])
+            now += swap.delta
+        if best is None or now < best[1]:
+            best = medoids, now
     return best

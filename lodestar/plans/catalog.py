@@ -601,8 +601,8 @@ def named(spark, found):
 
 @query(None)
 def fastpam(spark, d):
-    v = cluster.sampled(tables.vectors(spark, d), 120, 1).select("kp_ind", "bits").persist()
-    return named(spark, cluster.pam(v, cluster.build(v, 3), rounds=10))
+    v = tables.vectors(spark, d).select("kp_ind", "bits").persist()
+    return named(spark, cluster.pam(v, cluster.build(v, 3)))
 
 
 @query(None)
@@ -612,7 +612,7 @@ def clara(spark, d):
 
 @query(None)
 def clarans(spark, d):
-    return named(spark, cluster.clarans(tables.vectors(spark, d).select("kp_ind", "bits"), 3, local=1))
+    return named(spark, cluster.clarans(tables.vectors(spark, d).select("kp_ind", "bits").persist(), 3))
 
 
 @query(None)
