@@ -1,12 +1,15 @@
 """Quality classifier from weak labels.
 
-Heuristic labellers vote -1 or 0 (no opinion) on each document, and one votes 1 where
-no other speaks; two of them look
-for words and word beginnings that the labelled documents show to be toxic, if there
-are any. For each of two questions, junk and toxic, expectation-maximisation over the counts of vote
-patterns, taken over all documents, estimates how each labeller votes on either
-class. The posterior of a document's votes is its label for a hashed linear scorer,
-fitted on a bounded sample and applied to every document.
+Overlapping heuristic labellers speak against a document or stay silent. For each of two
+questions, junk and toxic, expectation-maximisation over the counts of vote patterns,
+taken over all documents, estimates how often each labeller speaks on good documents and
+on each kind of bad ones; nothing but a count of one or two stands behind the estimates.
+The posterior of a document's votes is its label for a hashed linear scorer of its words
+and statistics, without the votes, which is fitted on a bounded sample and decides about
+every document.
+
+Where labelled documents are given, one half of them teaches the toxic word lists of some
+labellers. The other half anchors the estimation: these documents keep their class.
 """
 
 from __future__ import annotations
@@ -18,17 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.scratch import Scratch
 from lodestar.llm.words import _TABLES, Words, chunks, mix, texts, windows
 
-DIM_BITS = 15
+DIM_BITS = 16
+#: At most so many documents teach the scorers, half of them such as some labeller speaks against.
 SAMPLE = 6000
-#: At most so many labelled documents teach the learned word lists, those of least key hash.
+#: At most so many labelled documents teach the word lists, those of least key hash.
 LABELLED = 20_000
-#: A learned word or beginning stands in at least so many toxic documents, and for each clean one in so many.
-LEAST_TOXIC, PER_CLEAN = 8, 8
-HEAD_BYTES = (5, 6, 7, 8, 9)
-#: Labellers are built to speak against a good document no more often than this, and against a bad one at least so often.
-FALSE_ALARM, LEAST_ALARM = 0.001, 0.05
+HEAD_BYTES = (5, 7, 9)
 #: Words of open insult; two overlapping lists for two labellers.
 INSULTS = ("idiot", "moron", "stupid", "clown", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "dumb", "imbecile", "filthy", "vermin", "retard", "bastard", "bitch", "asshole")
 STRONG_INSULTS = ("idiot", "moron", "scum", "worthless", "pathetic", "loser", "imbecile", "vermin", "retard", "bastard", "bitch", "asshole")
@@ -40,7 +41,7 @@ _LETTER = _UPPER | ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 128)
 _DIGIT = (_BYTES >= 48) & (_BYTES <= 57)
 _SYMBOL = np.isin(_BYTES, np.frombuffer(b"!#$%&*+/<=>@\\^_`{|}~", np.uint8))
 
-#: name, statistic, bad beyond; statistics are fractions of a document. Last votes `all clear`: 1 where no rule speaks.
+#: name, statistic, bad beyond; statistics are fractions of a document.
 JUNK_RULES = (
     ("shouting", "upper", 0.30),
     ("symbols", "symbols", 0.05),
@@ -49,7 +50,19 @@ JUNK_RULES = (
     ("repeats", "repeats", 0.20),
     ("few letters", "other", 0.45),
 )
-TOXIC_RULES = ("any insult", "strong insult", "personal insult", "repeated insult", "learned word", "learned beginning")
+#: name, list that it looks for, least finds, least finds for each run of letters.
+TOXIC_RULES = (
+    ("any insult", 0, 1, 0.0),
+    ("strong insult", 1, 1, 0.0),
+    ("personal insult", 2, 1, 0.0),
+    ("taught word", 3, 1, 0.006),
+    ("taught words", 3, 2, 0.012),
+    ("taught beginning", 4, 1, 0.008),
+    ("doubtful beginnings", 5, 2, 0.012),
+)
+#: Brings the sums of weights over the root of the number of features near the range of logits.
+_SCALE = 10.0
+LABELLERS = len(JUNK_RULES) + len(TOXIC_RULES)
 
 
 def word_hashes(words: tuple[str, ...]) -> np.ndarray:
@@ -73,19 +86,26 @@ def letter_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list
 
 
 class Lists:
-    """Sorted hashes of learned toxic words and beginnings."""
+    """Sorted hashes: toxic words, word beginnings that few clean documents have, and beginnings that some have."""
+
+    def __init__(self, words: np.ndarray, heads: np.ndarray, doubtful: np.ndarray):
+        self.words, self.heads, self.doubtful = words, heads, doubtful
+
 
-    def __init__(self, words: np.ndarray, heads: np.ndarray):
-        self.words, self.heads = words, heads
+NOTHING_TAUGHT = Lists(*[np.zeros(0, np.uint64)] * 3)
 
 
-NOTHING_LEARNED = Lists(np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+def _among(hashes: np.ndarray, list_: np.ndarray) -> np.ndarray:
+    """Which hashes a sorted list holds."""
+    if not len(list_):
+        return np.zeros(len(hashes), bool)
+    return list_[np.minimum(np.searchsorted(list_, hashes), len(list_) - 1)] == hashes
 
 
 class _Chunk:
-    """Votes and hashed features of a run of texts."""
+    """Statistics, votes and hashed features of a run of texts."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, learned: Lists):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
         n = len(offsets) - 1
         w = Words(data, offsets, lower=True)
         doc = np.repeat(np.arange(n), w.counts)
@@ -107,142 +127,225 @@ class _Chunk:
             "upper": part(_UPPER[data]) / np.maximum(letters, 1), "symbols": part(_SYMBOL[data]) / length, "marked": of_words(tail >= 2),
             "bare": of_words(solid[w.ends] == solid[w.starts]), "repeats": of_words(same), "other": 1 - letters / length - part(data == 32) / length,
         }
-        empty = w.counts == 0
-        junk = [np.where(empty | (self.stats[s] > bad), -1, 0) for _, s, bad in JUNK_RULES]
-        home, (runs, *heads) = letter_runs(data, offsets)  # an insult counts without the marks around it
-        hits = [np.bincount(home[np.isin(runs, x)], minlength=n) for x in (*_LISTS, learned.words)]
-        begun = np.zeros(len(home), bool)
-        for h in heads if len(learned.heads) else ():
-            begun |= np.isin(h, learned.heads)
-        hits.append(np.bincount(home[begun], minlength=n))
-        toxic = [np.where(h > 0, -1, 0) for h in hits]
-        toxic.insert(3, np.where(hits[0] > 1, -1, 0))
-        clear = [(np.max(np.stack(x), 0) == np.min(np.stack(x), 0)) & (x[0] == 0) for x in (junk, toxic)]
-        self.votes = np.stack([*junk, clear[0].astype(int), *toxic, clear[1].astype(int)], 1).astype(np.int8)
-        self.w, self.doc, self.n = w, doc, n
-        self.data = data
+        self.empty = w.counts == 0
+        self.home, (self.runs, *self.heads) = letter_runs(data, offsets)  # an insult counts without the marks around it
+        self.w, self.doc, self.n, self.data = w, doc, n, data
+
+    def votes(self, lists: Lists) -> np.ndarray:
+        """A bit for each labeller that speaks against a text, the junk rules' first."""
+        speaks = [self.empty | (self.stats[s] > bad) for _, s, bad in JUNK_RULES]
+        runs = np.bincount(self.home, minlength=self.n)
+        found = [_among(self.runs, x) for x in (*_LISTS, lists.words)]
+        for x in (lists.heads, lists.doubtful):
+            begun = np.zeros(len(self.runs), bool)
+            for h in self.heads if len(x) else ():
+                begun |= _among(h, x)
+            found.append(begun)
+        hits = [np.bincount(self.home[x], minlength=self.n) for x in found]
+        speaks += [hits[at] >= np.maximum(least, share * runs) for _, at, least, share in TOXIC_RULES]
+        return sum(x.astype(np.int32) << i for i, x in enumerate(speaks))
 
     def features(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct hashed features of each text: words, their first five and last two bytes, statistics by tenths, votes."""
+        """Distinct hashed features of each text: runs of letters, their beginnings, the last two bytes of words, statistics by twentieths."""
         w, size = self.w, np.uint64(64 - DIM_BITS)
-        units = _TABLES[True][self.data]
-        heads = windows(units, w.starts, np.minimum(w.starts + 5, w.ends)) ^ np.uint64(1)
-        tails = windows(units, np.maximum(w.ends - 2, w.starts), w.ends) ^ np.uint64(2)
+        tails = windows(_TABLES[True][self.data], np.maximum(w.ends - 2, w.starts), w.ends) ^ np.uint64(2)
         levels = np.stack([np.minimum(x * 20, 20).astype(np.uint64) for x in self.stats.values()], 1)
         dense = mix((np.arange(levels.shape[1], dtype=np.uint64)[None] + np.uint64(1)) * np.uint64(1000) + levels)
-        votes = mix((np.arange(self.votes.shape[1], dtype=np.uint64)[None] + np.uint64(101)) * np.uint64(1000) + (self.votes + 1).astype(np.uint64))
-        rows = np.arange(self.n)
-        doc = np.concatenate((self.doc, self.doc, self.doc, np.repeat(rows, dense.shape[1]), np.repeat(rows, votes.shape[1])))
-        hashed = mix(np.concatenate((w.hashes, heads, tails, dense.ravel(), votes.ravel()))) >> size
-        both = np.sort((doc.astype(np.uint64) << np.uint64(DIM_BITS)) | hashed)
+        parts = [(self.home, self.runs), (self.doc, tails), (np.repeat(np.arange(self.n), dense.shape[1]), dense.ravel())]
+        parts += [(self.home[h != 0], h[h != 0] ^ np.uint64(77 + i)) for i, h in enumerate(self.heads)]
+        doc, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        both = np.sort((doc.astype(np.uint64) << np.uint64(DIM_BITS)) | (mix(hashes) >> size))
         both = both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
         at = np.searchsorted(both >> np.uint64(DIM_BITS), np.arange(self.n + 1))
         return (both & np.uint64((1 << DIM_BITS) - 1)).astype(np.int64), at
 
 
-def _each(batches: Iterator[pa.RecordBatch], learned: Lists) -> Iterator[tuple[pa.Array, _Chunk]]:
+def votes_of(masks: np.ndarray) -> np.ndarray:
+    """Rows of -1 (speaks against) and 0 (silent) from the bits of each mask."""
+    return -((np.asarray(masks, np.int64)[:, None] >> np.arange(LABELLERS)) & 1).astype(np.int8)
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, _Chunk]]:
     for batch in batches:
         data, offsets = texts(batch.column("text"))
         for lo, hi in chunks(offsets):
-            yield batch.column("key").slice(lo, hi - lo), _Chunk(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], learned)
+            yield batch.slice(lo, hi - lo), _Chunk(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
 
 
 class LabelModel:
-    """Two classes, good and bad; each labeller has a vote distribution for either."""
+    """Class 0 is good; class 1 + j is the kind of bad that labeller j notices first.
+
+    Each labeller has a distribution of its three votes in each class, silence (0) included.
+    Several kinds of bad let labellers that never speak of the same document be right all the same.
+    """
 
     def __init__(self, labellers: int):
-        self.prior, self.table = np.array([0.5, 0.5]), np.full((2, labellers, 3), 1 / 3)
+        self.prior, self.table = np.full(labellers + 1, 1 / (labellers + 1)), np.full((labellers + 1, labellers, 3), 1 / 3)
+
+    def classes(self, votes: np.ndarray) -> np.ndarray:
+        logs = np.log(self.prior)[None] + sum(np.log(self.table[:, j, votes[:, j].astype(int) + 1]).T for j in range(votes.shape[1]))
+        logs = np.exp(logs - logs.max(1, keepdims=True))
+        return logs / logs.sum(1, keepdims=True)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """Probability of good for rows of votes; no opinion is no evidence."""
-        logs = np.log(self.prior)[:, None] + sum(np.log(self.table[:, j, votes[:, j].astype(int) + 1]) * (votes[:, j] != 0) for j in range(votes.shape[1]))
-        return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
+        """Probability of good for rows of votes."""
+        return self.classes(votes)[:, 0]
+
+    def fit(self, votes: np.ndarray, counts: np.ndarray, known: np.ndarray | None = None, rounds: int = 500, tolerance: float = 1e-5) -> LabelModel:
+        """votes: distinct patterns; counts: documents of each; known: 1 good, -1 bad, 0 not known, for each pattern.
 
-    def fit(self, votes: np.ndarray, counts: np.ndarray, rounds: int = 100, tolerance: float = 1e-6) -> LabelModel:
-        """votes: distinct patterns; counts: documents of each. Starts from the vote: any -1 is suspect."""
+        Starts from the votes: documents that no labeller speaks against are good, others
+        are of the kinds of those that do.
+        """
         if not len(votes):
             return self
-        good = np.where((votes < 0).any(1), 0.05, 0.95)
+        known = np.zeros(len(votes), int) if known is None else known
+        against = votes < 0
+        spoken = against.any(1)
+
+        def anchored(share: np.ndarray) -> np.ndarray:
+            share = share.copy()
+            share[known > 0] = np.eye(share.shape[1])[0]
+            share[known < 0, 0] = 0
+            return share / np.maximum(share.sum(1, keepdims=True), 1e-300)
+
+        kinds = np.where(spoken[:, None], 0.99 * against / np.maximum(against.sum(1, keepdims=True), 1), 0.01 / votes.shape[1])
+        share = anchored(np.concatenate((np.where(spoken, 0.01, 0.99)[:, None], kinds), 1))
         for _ in range(rounds):
-            for c, weight in enumerate((counts * (1 - good), counts * good)):
-                self.prior[c] = (weight.sum() + 1) / (counts.sum() + 2)
+            weight = share * counts[:, None]
+            self.prior = (weight.sum(0) + 0.1) / (weight.sum() + 0.1 * weight.shape[1])
+            for c in range(weight.shape[1]):
                 for j in range(votes.shape[1]):
-                    share = np.bincount(votes[:, j].astype(int) + 1, weight, 3) + 0.1
-                    share /= share.sum()
-                    alarm = max(share[0], LEAST_ALARM) if c == 0 else min(share[0], FALSE_ALARM)
-                    self.table[c, j] = share * (1 - alarm) / (1 - share[0])
-                    self.table[c, j, 0] = alarm
-            new = self.posterior(votes)
-            if np.abs(new - good).max() < tolerance:
+                    found = np.bincount(votes[:, j].astype(int) + 1, weight[:, c], 3) + ((0.1, 4.9, 0.1) if c == 0 else (0.5, 0.5, 0.1))
+                    self.table[c, j] = found / found.sum()
+            new = anchored(self.classes(votes))
+            moved, share = np.abs(new - share).max(), new
+            if moved < tolerance:
                 break
-            good = new
         return self
 
     def accuracies(self) -> np.ndarray:
         """Per labeller, the share of its opinions that are right."""
-        right = self.prior[0] * self.table[0, :, 0] + self.prior[1] * self.table[1, :, 2]
-        wrong = self.prior[0] * self.table[0, :, 2] + self.prior[1] * self.table[1, :, 0]
+        bad = self.prior[1:] / self.prior[1:].sum()
+        bad_table = (bad[:, None, None] * self.table[1:]).sum(0)
+        right = (1 - self.prior[0]) * bad_table[:, 0] + self.prior[0] * self.table[0, :, 2]
+        wrong = (1 - self.prior[0]) * bad_table[:, 2] + self.prior[0] * self.table[0, :, 0]
         return right / (right + wrong)
 
 
-def train_scorer(features: list[np.ndarray], targets: np.ndarray, epochs: int = 6, rate: float = 0.2, decay: float = 1e-5) -> np.ndarray:
-    """Weights of a logistic scorer of binary features, the bias last; AdaGrad in a fixed order."""
-    weights, seen = np.zeros((1 << DIM_BITS) + 1), np.full((1 << DIM_BITS) + 1, 1e-2)
-    order = np.random.default_rng(0)
+def train_scorer(features: list[np.ndarray], bad: np.ndarray, epochs: int = 4, rate: float = 0.3, decay: float = 1e-4, least: float = 3.0, slight: float = 1.0) -> np.ndarray:
+    """Weights of a logistic scorer of badness over binary features, the bias last.
+
+    A feature's value is the log of how much more often bad documents have it than good ones,
+    less ``slight``, over the root of the document's number of features; one that fewer than
+    ``least`` documents have counts nothing. AdaGrad in a fixed order.
+    """
+    dim = 1 << DIM_BITS
+    has = np.zeros((2, dim))
+    for f, b in zip(features, bad, strict=True):
+        has[0, f] += 1 - b
+        has[1, f] += b
+    odds = np.log((has[1] + 0.5) / (bad.sum() + 1)) - np.log((has[0] + 0.5) / ((1 - bad).sum() + 1))
+    odds[has.sum(0) < least] = 0
+    odds = np.sign(odds) * np.maximum(np.abs(odds) - slight, 0)
+    weights, seen = np.append(np.where(odds != 0, 0.3, 0.0), 0.0), np.full(dim + 1, 1e-2)
+    rows = [f[odds[f] != 0] for f in features]
+    values = [np.append(odds[r] * _SCALE / np.sqrt(max(1, len(f))), 1.0) for f, r in zip(features, rows, strict=True)]
+    rows, order = [np.append(r, dim) for r in rows], np.random.default_rng(0)
     for _ in range(epochs):
-        for i in order.permutation(len(features)):
-            f = np.append(features[i], 1 << DIM_BITS)
-            scale = 1 / np.sqrt(len(f))
-            error = (1 / (1 + np.exp(-np.clip(weights[f].sum() * scale, -30, 30))) - targets[i]) * scale
-            step = error + decay * weights[f]
-            seen[f] += step * step
-            weights[f] -= rate * step / np.sqrt(seen[f])
+        for i in order.permutation(len(rows)):
+            at, x = rows[i], values[i]
+            step = (1 / (1 + np.exp(-np.clip(weights[at] @ x, -30, 30))) - bad[i]) * x + decay * weights[at]
+            seen[at] += step * step
+            weights[at] -= rate * step / np.sqrt(seen[at])
+    weights[:dim] *= odds
     return weights
 
 
+
+
+
 class QualityModel:
     """Label models and scorers for junk and toxic."""
 
-    parts = (slice(0, len(JUNK_RULES) + 1), slice(len(JUNK_RULES) + 1, len(JUNK_RULES) + len(TOXIC_RULES) + 2))
+    parts = (slice(0, len(JUNK_RULES)), slice(len(JUNK_RULES), LABELLERS))
 
-    def __init__(self, learned: Lists, models: list[LabelModel], weights: list[np.ndarray]):
-        self.learned, self.models, self.weights = learned, models, weights
+    def __init__(self, lists: Lists, models: list[LabelModel], weights: list[np.ndarray]):
+        self.lists, self.models, self.weights = lists, models, weights
 
-    def scores(self, chunk: _Chunk) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def scores(self, chunk: _Chunk) -> list[np.ndarray]:
+        """Probabilities of good text and of clean text, by the scorers."""
         flat, at = chunk.features()
-        scale = 1 / np.sqrt(np.diff(at) + 1)
-        out = []
+        scale, out = _SCALE / np.sqrt(np.maximum(np.diff(at), 1)), []
         for w in self.weights:
             sums = np.concatenate(([0.0], np.cumsum(w[flat])))
-            out.append(1 / (1 + np.exp(-np.clip((np.diff(sums[at]) + w[-1]) * scale, -30, 30))))
-        return out, [m.posterior(chunk.votes[:, p]) for m, p in zip(self.models, self.parts, strict=True)]
+            out.append(1 / (1 + np.exp(np.clip(np.diff(sums[at]) * scale + w[-1], -30, 30))))
+        return out
+
+    def labels(self, chunk: _Chunk) -> list[np.ndarray]:
+        """The label models' posteriors of good and of clean."""
+        votes = votes_of(chunk.votes(self.lists))
+        return [m.posterior(votes[:, p]) for m, p in zip(self.models, self.parts, strict=True)]
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
 
 
-def learn_lists(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", labelled: int = LABELLED) -> Lists:
-    """Toxic words and beginnings from at most ``labelled`` labelled documents; equal texts count once."""
-    known = labels.where("toxic is not null").select(F.col(key).cast("long").alias("key"), F.col("toxic").cast("int").alias("toxic")).where("key is not null")
-    bounded = known.orderBy(F.xxhash64("key"), "key").limit(labelled)
-    rows = _rows(docs, key, text).join(F.broadcast(bounded), "key").dropDuplicates(["text", "toxic"])  # labelled rows of 12 bytes
+def _known(labels: DataFrame, key: str, teaching: bool) -> DataFrame:
+    """One row (key, quality, toxic) for each labelled key of one half: 1 good, -1 bad, 0 not known or contradictory."""
+    rows = labels.select(F.col(key).cast("long").alias("key"), *[F.col(c).cast("int").alias(c) if c in labels.columns else F.lit(None).cast("int").alias(c) for c in ("quality", "toxic")])
+    rows = rows.where("key is not null").where((F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(2)) == 0) == teaching)
+
+    def side(c: str, good: int):
+        low, high = F.min(c), F.max(c)
+        return F.when(low != high, 0).otherwise(F.when(low.isNull(), 0).when((low > 0).cast("int") == good, 1).otherwise(-1)).alias(c)
+
+    return rows.groupBy("key").agg(side("quality", 1), side("toxic", 0))
+
+
+def learn_lists(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", labelled: int = LABELLED, scratch: Scratch | None = None) -> Lists:
+    """Toxic words and beginnings from at most ``labelled`` documents of the teaching half; equal texts count once.
+
+    A listed word or beginning stands in 3 toxic documents at least, in a share of them
+    five times its share of the clean ones, and 3 of 4 documents that have it are toxic; a
+    doubtful beginning in 4, three times, and 3 of 10.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "quality")
+    bounded = _known(labels, key, True).where("toxic <> 0").orderBy(F.xxhash64("key"), "key").limit(labelled)
+    rows = _rows(docs, key, text).join(F.broadcast(bounded), "key").dropDuplicates(["text", "toxic"])  # labelled rows of 16 bytes
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = texts(batch.column("text"))
-            toxic = np.asarray(batch.column("toxic")) > 0
+            toxic = np.asarray(batch.column("toxic")) < 0
             for lo, hi in chunks(offsets, 8 << 20):
                 home, (runs, *heads) = letter_runs(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                for head, hashes in ((False, runs), *[(True, h) for h in heads]):
+                mine = toxic[lo:hi]
+                parts = [(2, np.zeros(1, np.uint64), np.array([mine.sum()]), np.array([(~mine).sum()]))]
+                for kind, hashes in ((0, runs), *[(1, h) for h in heads]):
                     pairs = _distinct(hashes, home)
                     found, at = np.unique(pairs[0], return_inverse=True)
-                    bad = toxic[lo:hi][pairs[1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(len(found), head)), pa.array(np.bincount(at, bad, len(found)).astype(np.int64)), pa.array(np.bincount(at, ~bad, len(found)).astype(np.int64))], ["h", "head", "toxic", "clean"])
+                    bad = mine[pairs[1]]
+                    parts.append((kind, found, np.bincount(at, bad, len(found)), np.bincount(at, ~bad, len(found))))
+                for kind, h, t, c in parts:
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), kind, np.int32)), pa.array(t.astype(np.int64)), pa.array(c.astype(np.int64))], ["h", "kind", "t", "c"])
+
+    total = rows.select("text", "toxic").mapInArrow(count, "h long, kind int, t long, c long").groupBy("kind", "h").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    total = scratch.keep(total, "counts")
+    whole = total.where("kind = 2").first()
+    if whole is None or not whole.t:
+        return NOTHING_TAUGHT
+    usual = (F.col("c") + 1) * (whole.t / max(whole.c, 1))
+
+    def often(least: int, times: float, part: float):
+        return (F.col("t") >= least) & (F.col("t") >= times * usual) & (F.col("t") >= part * (F.col("t") + F.col("c")))
 
-    total = rows.select("text", "toxic").mapInArrow(count, "h long, head boolean, toxic long, clean long").groupBy("h", "head").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    found = total.where((F.col("t") >= LEAST_TOXIC) & (F.col("t") >= PER_CLEAN * F.col("c"))).select("h", "head").collect()  # bounded by the sample's words
-    return Lists(*(np.sort(np.array([r.h for r in found if r.head == head], np.int64).view(np.uint64)) for head in (False, True)))
+    listed, doubtful = often(3, 5.0, 0.75), (F.col("kind") == 1) & often(4, 3.0, 0.3)
+    found = total.where("kind < 2").where(listed | doubtful).select("h", "kind", listed.alias("listed"), doubtful.alias("doubtful")).collect()  # bounded by the words of ``labelled`` texts
+    scratch.drop("counts")
+    sides = ([r.h for r in found if r.kind == 0 and r.listed], [r.h for r in found if r.kind == 1 and r.listed], [r.h for r in found if r.doubtful])
+    return Lists(*(np.sort(np.array(x, np.int64).view(np.uint64)) for x in sides))
 
 
 def _distinct(hashes: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,44 +356,48 @@ def _distinct(hashes: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndar
     return h[keep], d[keep]
 
 
-def fit(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> QualityModel:
-    """Votes are counted over all documents; the scorers learn from at most ``sample`` of them, the least key hashes.
+def fit(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, scratch: Scratch | None = None) -> QualityModel:
+    """Votes are counted over all documents; the scorers learn from at most ``sample`` of them, the least row hashes.
 
-    labels (key, toxic), where given, teaches two of the labellers; see learn_lists.
+    labels (key, quality 1 or 0, toxic 1 or 0; nulls are not known), where given: see the
+    module and learn_lists. Rows of equal key and text teach once; an empty table gives a
+    model without evidence.
     """
-    labellers = QualityModel.parts[1].stop
-    learned = learn_lists(docs, labels, key, text) if labels is not None else NOTHING_LEARNED
-    rows = _rows(docs, key, text)
+    scratch = scratch or Scratch(docs.sparkSession, "quality")
+    lists = learn_lists(docs, labels, key, text, scratch=scratch) if labels is not None else NOTHING_TAUGHT
+    rows = _rows(docs, key, text).withColumn("h", F.xxhash64("key", "text"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[bytes, int] = {}
-        for _, chunk in _each(batches, learned):
-            patterns, counts = np.unique(chunk.votes, axis=0, return_counts=True)
-            for p, c in zip(patterns, counts.tolist(), strict=True):
-                total[p.tobytes()] = total.get(p.tobytes(), 0) + c
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["votes", "n"])
-
-    counted = rows.mapInArrow(vote, "votes binary, n long").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()  # 3**labellers rows at most
-    votes = np.array([np.frombuffer(r.votes, np.int8) for r in counted], np.int8).reshape(-1, labellers)
-    counts = np.array([r.n for r in counted], float)
-    models = []
-    for p in QualityModel.parts:
-        patterns, at = np.unique(votes[:, p], axis=0, return_inverse=True) if len(votes) else (votes[:, p], np.zeros(0, int))
-        models.append(LabelModel(votes[:, p].shape[1]).fit(patterns, np.bincount(at.ravel(), counts, len(patterns))))
-
-    hashed = rows.withColumn("h", F.xxhash64("key"))
-    cut = [r.h for r in hashed.select("h").orderBy("h").limit(sample).collect()]
-    chosen = hashed.where(F.col("h") <= F.lit(cut[-1])).select("key", "text") if cut else rows.limit(0)
+        for batch, chunk in _each(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("h"), pa.array(chunk.votes(lists), pa.int32())], ["key", "h", "votes"])
+
+    voted = scratch.keep(rows.mapInArrow(vote, "key long, h long, votes int"), "votes")
+    known = [F.lit(0).alias(c) for c in ("quality", "toxic")]
+    judged = voted
+    if labels is not None:
+        judged, known = voted.join(_known(labels, key, False), "key", "left"), [F.coalesce(c, F.lit(0)).alias(c) for c in ("quality", "toxic")]
+    counted = judged.groupBy("votes", *known).agg(F.count(F.lit(1)).alias("n")).orderBy("votes", "quality", "toxic").collect()  # 9 * 2**LABELLERS rows at most
+    votes, counts, models = votes_of([r.votes for r in counted]), np.array([r.n for r in counted], float), []
+    for p, side in zip(QualityModel.parts, ("quality", "toxic"), strict=True):
+        both = np.concatenate((votes[:, p], np.array([r[side] for r in counted], np.int8)[:, None]), 1)
+        patterns, at = np.unique(both, axis=0, return_inverse=True) if len(both) else (both, np.zeros(0, int))
+        models.append(LabelModel(patterns.shape[1] - 1).fit(patterns[:, :-1], np.bincount(at.ravel(), counts, len(patterns)), patterns[:, -1]))
+
+    distinct = voted.groupBy("h").agg(F.first("votes").alias("votes"))
+    some = [r.h for spoken in ("votes = 0", "votes <> 0") for r in distinct.where(spoken).select("h").orderBy("h").limit(sample // 2).collect()]
+    scratch.drop("votes")
+    chosen = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(h,) for h in some], "h long")), "h").select("key", "text", "h")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, chunk in _each(batches, learned):
+        for batch, chunk in _each(batches):
             flat, at = chunk.features()
-            yield pa.RecordBatch.from_arrays([keys, pa.array([v.tobytes() for v in chunk.votes], pa.binary()), pa.array([flat[a:b].astype(np.uint16).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["key", "votes", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(chunk.votes(lists), pa.int32()), pa.array([flat[a:b].astype(np.uint16).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["h", "votes", "features"])
 
-    got = sorted(chosen.mapInArrow(featured, "key long, votes binary, features binary").limit(sample).collect(), key=lambda r: (r.key is not None, r.key or 0, r.features))
+    got = {r.h: r for r in chosen.dropDuplicates(["h"]).mapInArrow(featured, "h long, votes int, features binary").toLocalIterator()}
+    got = [got[h] for h in sorted(got)]
     features = [np.frombuffer(r.features, np.uint16).astype(np.int64) for r in got]
-    own = np.array([np.frombuffer(r.votes, np.int8) for r in got], np.int8).reshape(-1, labellers)
-    return QualityModel(learned, models, [train_scorer(features, m.posterior(own[:, p])) for m, p in zip(models, QualityModel.parts, strict=True)])
+    own = votes_of([r.votes for r in got])
+    return QualityModel(lists, models, [train_scorer(features, 1 - m.posterior(own[:, p])) for m, p in zip(models, QualityModel.parts, strict=True)])
 
 
 SCORES = "key long, quality double, clean double, quality_label double, clean_label double, keep boolean"
@@ -299,19 +406,19 @@ SCORES = "key long, quality double, clean double, quality_label double, clean_la
 def classify(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", model: QualityModel | None = None, threshold: float = 0.5) -> DataFrame:
     """Rows (key, quality, clean, quality_label, clean_label, keep).
 
-    quality and clean are the scorers' probabilities of good text and of text
-    without insults; the labels are the label models' posteriors. keep: both scores
-    reach the threshold. Null, empty and blank texts count as junk by every vote.
-    Null and repeated keys are kept; other columns are ignored; an empty table gives
-    no rows.
+    quality and clean are the scorers' probabilities of good text and of text without
+    insults; the labels are the label models' posteriors. keep: both scores reach the
+    threshold, and the text has a word. Null, empty and blank texts are never kept. Null
+    and repeated keys are kept; other columns are ignored; an empty table gives no rows.
     """
     model = model or fit(docs, labels, key, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 * 2**DIM_BITS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, chunk in _each(batches, shared.value.learned):
-            (quality, clean), (a, b) = shared.value.scores(chunk)
-            yield pa.RecordBatch.from_arrays([keys, *[pa.array(x, pa.float64()) for x in (quality, clean, a, b)], pa.array((quality >= threshold) & (clean >= threshold))], ["key", "quality", "clean", "quality_label", "clean_label", "keep"])
+        for batch, chunk in _each(batches):
+            (quality, clean), (a, b) = shared.value.scores(chunk), shared.value.labels(chunk)
+            keep = (quality >= threshold) & (clean >= threshold) & ~chunk.empty
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *[pa.array(x, pa.float64()) for x in (quality, clean, a, b)], pa.array(keep)], ["key", "quality", "clean", "quality_label", "clean_label", "keep"])
 
     return _rows(docs, key, text).mapInArrow(run, SCORES).withColumnRenamed("key", key)
 
@@ -320,15 +427,14 @@ def good_documents(docs: DataFrame, labels: DataFrame | None = None, key: str =
     """The rows of docs that classify() keeps, all columns, without a join: rows stream through the scorer."""
     model = model or fit(docs, labels, key, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    at = names.index(text)
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for _, chunk in _each([pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], ["key", "text"])], shared.value.learned):
-                (quality, clean), _ = shared.value.scores(chunk)
-                keep.append((quality >= threshold) & (clean >= threshold))
+            for _, chunk in _each([pa.RecordBatch.from_arrays([batch.column(at)], ["text"])]):
+                quality, clean = shared.value.scores(chunk)
+                keep.append((quality >= threshold) & (clean >= threshold) & ~chunk.empty)
             yield batch.filter(pa.array(np.concatenate([*keep, np.zeros(0, bool)])))
 
     return docs.mapInArrow(run, docs.schema)

@@ -287,6 +287,53 @@ def test_quality_odd_rows(docs, empty):
     assert weak_labels.classify(empty).count() == 0 and weak_labels.good_documents(empty).columns == empty.columns
 
 
+def test_quality_on_held_out_labels(spark):
+    """A quarter of the labels is kept from the classifier; good, junk and toxic documents of it, by language."""
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.xxhash64(F.lit(99), "doc_id"), F.lit(4)) == 0
+    model = weak_labels.fit(docs, labels.where(~held))
+    known = labels.where(held).withColumnRenamed("quality", "good").join(docs, "doc_id").select(*docs.columns, "good", "toxic")
+    kept = {r.doc_id: r for r in weak_labels.classify(known, model=model).collect()}
+    rows = known.select("doc_id", "lang", "good", "toxic").collect()
+
+    def share(chosen, of):
+        return np.mean([of(kept[r.doc_id]) for r in rows if chosen(r)])
+
+    assert share(lambda r: r.toxic == 1, lambda k: not k.keep) >= 0.9
+    for lang in ("en", "de", "fr", "es"):
+        assert share(lambda r: r.lang == lang and r.good == 0, lambda k: k.quality < 0.5) >= 0.9, lang
+        assert share(lambda r: r.lang == lang and r.good == 1 and r.toxic == 0, lambda k: k.keep) >= 0.97, lang
+        if lang != "es":  # some nine toxic documents to learn from
+            assert share(lambda r: r.lang == lang and r.toxic == 1, lambda k: not k.keep) >= 0.9, lang
+    label_says = [(k.quality_label >= 0.5) and (k.clean_label >= 0.5) for k in kept.values()]
+    assert any(a != k.keep for a, k in zip(label_says, kept.values(), strict=True))  # the scorer decides, not the votes
+
+
+def test_quality_repeated_rows_and_odd_labels(spark, docs):
+    rows = [(None, prose(60, 1)), (None, None), (5, prose(60, 1)), (5, prose(60, 1)), (5, "!!! ### $$$ !!!"), (6, "")]
+    df = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, key string")
+    labels = spark.createDataFrame([(5, 1, 0), (5, 0, 0), (None, 0, 1), (77, None, None)], "doc_id long, quality int, toxic int")
+    got = Counter((r.doc_id, r.keep) for r in weak_labels.classify(df, labels).collect())
+    assert sum(got.values()) == 6 and got[None, False] >= 1 and got[6, False] == 1
+    assert weak_labels.good_documents(df, labels).columns == df.columns
+    assert weak_labels.classify(df, labels.limit(0)).count() == 6
+
+
+def test_label_model_keeps_known_classes_and_kinds_of_bad():
+    """Two kinds of bad documents, each noticed by one labeller alone, and one labeller that is mostly wrong."""
+    rng = np.random.default_rng(1)
+    kind = rng.choice(3, 6000, p=[0.8, 0.1, 0.1])
+    votes = -np.stack([(kind == 1) & (rng.random(6000) < 0.95), (kind == 2) & (rng.random(6000) < 0.95), rng.random(6000) < 0.2], 1).astype(np.int8)
+    known = np.where(rng.random(6000) < 0.3, np.where(kind == 0, 1, -1), 0)
+    patterns, at = np.unique(np.concatenate((votes, known[:, None]), 1), axis=0, return_inverse=True)
+    model = weak_labels.LabelModel(3).fit(patterns[:, :3], np.bincount(at.ravel()).astype(float), patterns[:, 3])
+    assert ((model.posterior(votes) > 0.5) == (kind == 0)).mean() > 0.97
+    assert (model.accuracies()[:2] > 0.95).all() and model.accuracies()[2] < 0.5
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.8
