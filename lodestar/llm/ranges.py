@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKET_BYTES = 32 << 20
+#: No more ranges than this; beyond it they get larger, and tasks, which stream through them, longer.
+MOST_BUCKETS = 1 << 14
 
 
 def total_bytes(df: DataFrame, text: str) -> tuple[int, int]:
@@ -16,6 +18,11 @@ def total_bytes(df: DataFrame, text: str) -> tuple[int, int]:
     return row.n, row.b or 0
 
 
+def buckets_of(size: int, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """Ranges for so many bytes."""
+    return min(MOST_BUCKETS, max(1, -(-size // bucket_bytes)))
+
+
 def bounds(df: DataFrame, key: str, buckets: int) -> list[int]:
     """At most ``buckets - 1`` increasing key values that cut the rows into near-equal ranges."""
     if buckets < 2:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.ranges import BUCKET_BYTES, bounds, range_of, total_bytes
+from lodestar.llm.ranges import BUCKET_BYTES, bounds, buckets_of, range_of, total_bytes
 from lodestar.llm.words import mix, windows
 
 K, S, SIZE = 16, 5, 128
@@ -113,7 +113,7 @@ def in_sequence(docs: DataFrame, key: str, text: str, bucket_bytes: int = BUCKET
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n, size = total_bytes(docs, text)
-    cuts = bounds(rows, "key", max(1, -(-size // bucket_bytes)))
+    cuts = bounds(rows, "key", buckets_of(size, bucket_bytes))
     dealt = rows.withColumn("bucket", F.lit(len(cuts)) - range_of("key", cuts))  # bucket 0 has the largest keys; nulls stand last
     firsts = sorted((r.bucket, r.first) for r in dealt.groupBy("bucket").agg(F.max("key").alias("first")).collect())  # one row a bucket
     follows = [(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]

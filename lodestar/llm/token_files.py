@@ -3,7 +3,7 @@
 A file row is one block: ``range`` and ``block`` give its place, ``payload`` is a
 self-describing byte string. Little-endian layout of a payload::
 
-    magic "TKB1" | u32 bits | u64 documents | u64 ids
+    magic "TKB2" | u32 bits | u64 documents | u64 ids | u64 documents of a null key, which come first
     i64 key of each document | u64 exclusive end of each document, in ids
     ids, ``bits`` bits each, least significant bit first, padded to a byte
 
@@ -14,6 +14,7 @@ is reached by its block's key range (Parquet statistics on ``first_key`` and
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -22,17 +23,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.ranges import BUCKET_BYTES, total_bytes
+from lodestar.llm.ranges import BUCKET_BYTES, buckets_of, total_bytes
 from lodestar.llm.words import chunks, ragged, texts
 
-MAGIC = b"TKB1"
+MAGIC = b"TKB2"
 BLOCK_IDS = 1 << 18
+RUN = 1024
 BLOCKS = "range int, block int, range_start long, n_docs long, n_ids long, first_key long, last_key long, payload binary"
-#: Stands for a null key inside a block; it sorts first.
-NULL_KEY = -(1 << 63)
+#: The split of words into pieces that inside_words() knows, a fixed value of the tokenizer's file.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def bit_width(vocabulary: int) -> int:
@@ -59,147 +61,139 @@ def unpack_bits(data: bytes, bits: int, start: int, stop: int) -> np.ndarray:
     return (flat.astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(1, dtype=np.uint32)
 
 
-def pack_block(keys: np.ndarray, counts: np.ndarray, ids: np.ndarray, bits: int) -> bytes:
-    head = MAGIC + struct.pack("<IQQ", bits, len(keys), len(ids))
+def pack_block(keys: np.ndarray, counts: np.ndarray, ids: np.ndarray, bits: int, nulls: int = 0) -> bytes:
+    head = MAGIC + struct.pack("<IQQQ", bits, len(keys), len(ids), nulls)
     return head + keys.astype("<i8").tobytes() + np.cumsum(counts).astype("<u8").tobytes() + pack_bits(ids, bits)
 
 
-def open_block(payload: bytes) -> tuple[np.ndarray, np.ndarray, Callable[[int, int], np.ndarray]]:
-    """Keys, id offsets (one more than keys), and a reader of any id range."""
+def open_block(payload: bytes) -> tuple[np.ndarray, int, np.ndarray, Callable[[int, int], np.ndarray]]:
+    """Keys, how many of the first are null, id offsets (one more than keys), and a reader of any id range."""
     if payload[:4] != MAGIC:
         raise ValueError("not a token block")
-    bits, docs, ids = struct.unpack_from("<IQQ", payload, 4)
-    keys = np.frombuffer(payload, "<i8", docs, 24)
-    ends = np.frombuffer(payload, "<u8", docs, 24 + 8 * docs).astype(np.int64)
-    body = memoryview(payload)[24 + 16 * docs :]
+    bits, docs, ids, nulls = struct.unpack_from("<IQQQ", payload, 4)
+    keys = np.frombuffer(payload, "<i8", docs, 32)
+    ends = np.frombuffer(payload, "<u8", docs, 32 + 8 * docs).astype(np.int64)
+    body = memoryview(payload)[32 + 16 * docs :]
     if docs and int(ends[-1]) != ids:
         raise ValueError("a token block's offsets do not match its ids")
-    return keys, np.concatenate(([0], ends)), lambda start, stop: unpack_bits(body, bits, start, stop)
+    return keys, nulls, np.concatenate(([0], ends)), lambda start, stop: unpack_bits(body, bits, start, stop)
 
 
-class WordEncoder:
-    """Ids of whole texts from a tokenizer that works inside whitespace-delimited words.
+def inside_words(spec: dict) -> bool:
+    """Whether a tokenizer's file shows that no token, and no rule that makes one, reaches across ASCII white space.
 
-    The tokenizer must drop white space, lower-case, and split words by PIECES before
-    its merges, as the word-end BPE here does. Then a text's ids are those of its
-    words in order, and a word's those of its pieces. Words of plain Latin letters
-    and signs are lower-cased and split by Arrow, and each distinct piece meets the
-    merges once; any other word is encoded by the whole tokenizer.
+    Then the ids of a text are those of its white-space-delimited words, in order. It needs
+    normal forms that change or join nothing across a blank, a split of which every
+    alternative matches characters that are not white space and drops the rest, a byte-level
+    step that adds no blank, added tokens without blanks, and neither cutting nor padding.
+    """
+    forms = (spec.get("normalizer") or {}).get("normalizers", [])
+    splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    blanks = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    return (
+        all(f == blanks or f in ({"type": "NFC"}, {"type": "Lowercase"}) for f in forms)
+        and len(splits) == 2
+        and splits[0] == {"type": "Split", "pattern": {"Regex": WORD_SPLIT}, "behavior": "Removed", "invert": True}
+        and splits[1]["type"] == "ByteLevel"
+        and not splits[1]["add_prefix_space"]
+        and not splits[1]["use_regex"]
+        and spec["model"]["type"] == "BPE"
+        and not spec["model"].get("dropout")
+        and not spec.get("truncation")
+        and not spec.get("padding")
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or len(t["content"].split()) != 1 for t in spec.get("added_tokens", []))
+    )
+
+
+class TextEncoder:
+    """Ids of whole texts by the tokenizers library.
+
+    Where the tokenizer's file shows that its tokens lie inside words (see inside_words),
+    every distinct white-space-delimited word goes through the whole tokenizer once and its
+    ids are kept, at most ``memory`` words of them. For any other file each text goes
+    through the tokenizer as it is.
     """
 
-    #: The tokenizer's own split, a fixed value.
-    PIECES = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
-    #: Letters that no normal form changes; without the signs that special tokens begin with.
-    PLAIN = r"^[\x21-\x3B\x3D-\x7E\x{A1}\x{BF}-\x{FF}]*$"
-    _line = 200
+    _line = 2000
 
     def __init__(self, path: str, memory: int = 500_000):
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
-
-        self.tokenizer, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.merges.normalizer = None
-        self.merges.pre_tokenizer = Sequence([Split(" ", "removed"), ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.last[i] = token.endswith("</w>")
+
+        with open(path, encoding="utf-8") as f:
+            self.by_words = inside_words(json.load(f))
+        self.tokenizer = Tokenizer.from_file(path)
         self.memory = memory
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.starts, self.sizes = np.zeros(1 << 20, np.uint16 if len(self.last) <= 1 << 16 else np.uint32), np.zeros(self.memory + 2, np.int64), np.zeros(self.memory + 2, np.int64)
+        self.flat, self.starts, self.sizes = np.zeros(1 << 20, np.uint32), np.zeros(self.memory, np.int64), np.zeros(self.memory, np.int64)
         self.used = 0
-        self._store([""], np.zeros(0, np.int64), np.zeros(1, np.int64))  # blanks at an end split off an empty piece
 
-    def _store(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _whole(self, many: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = [np.zeros(0, np.uint32)], []
+        for lo in range(0, len(many), self._line):
+            for e in self.tokenizer.encode_batch_fast(many[lo : lo + self._line], add_special_tokens=False):
+                ids.append(np.array(e.ids, np.uint32))
+                sizes.append(len(e))
+        return np.concatenate(ids), np.array(sizes, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        ids, sizes = self._whole(words)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         n = len(self.known)
         self.flat[self.used : self.used + len(ids)] = ids
-        self.starts[n : n + len(names)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[n : n + len(names)] = sizes
+        self.starts[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n : n + len(words)] = sizes
         self.used += len(ids)
-        self.known.update(zip(names, range(n, n + len(names)), strict=True))
-
-    def _learn(self, pieces: list[str]) -> None:
-        for lo in range(0, len(pieces), 20 * self._line):
-            part = pieces[lo : lo + 20 * self._line]
-            lines = [part[i : i + self._line] for i in range(0, len(part), self._line)]
-            got = self.merges.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)
-            ids = np.concatenate([np.array(e.ids, np.int64) for e in got])
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(part):
-                raise ValueError("the tokenizer does not end each piece with a word end")
-            self._store(part, ids, np.diff(ends, prepend=0))
-
-    def _places(self, names: list[str], learn) -> np.ndarray:
-        """Where the names stand in the store; unknown ones are learned first."""
-        found = list(map(self.known.get, names))
-        new = [x for x, at in zip(names, found, strict=True) if at is None]
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        """Where distinct words stand in the store; unknown ones are encoded first."""
+        found = list(map(self.known.get, words))
+        new = [x for x, at in zip(words, found, strict=True) if at is None]
         if new:
             if len(self.known) + len(new) > self.memory:
+                self.memory = max(self.memory, len(words))
                 self._clear()
-                if len(names) > self.memory:
-                    self.memory = 2 * len(names)
-                    self._clear()
-                new = [x for x in names if x]
-            learn(new)
-            found = list(map(self.known.get, names))
+                new = words
+            self._learn(new)
+            found = list(map(self.known.get, words))
         return np.array(found, np.int64)
 
-    def _whole(self, words: list[str]) -> None:
-        got = [self.tokenizer.encode(w[1:], add_special_tokens=False).ids for w in words]
-        self._store(words, np.array([i for x in got for i in x], np.int64), np.array([len(x) for x in got], np.int64))
-
-    @staticmethod
-    def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        return flat[np.repeat(starts, sizes) + ragged(sizes)]
-
-    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and number of ids of distinct words."""
-        plain = np.asarray(pc.match_substring_regex(words, self.PLAIN))
-        counts, ids = np.zeros(len(words), np.int64), np.zeros(0, self.flat.dtype)
-        if plain.any():
-            spaced = pc.replace_substring_regex(pc.utf8_lower(words.filter(pa.array(plain))), self.PIECES, r"\1 ")
-            split = pc.ascii_split_whitespace(pc.utf8_rtrim_whitespace(spaced))
-            offsets = np.asarray(split.offsets, np.int64)
-            coded = split.flatten().dictionary_encode()
-            at = self._places(coded.dictionary.to_pylist(), self._learn)[np.asarray(coded.indices, np.int64)]
-            sizes = self.sizes[at]
-            ids = self._gather(self.flat, self.starts[at], sizes)
-            counts[plain] = np.diff(np.concatenate(([0], np.cumsum(sizes)))[offsets - offsets[0]])
-        if not plain.all():
-            # names of whole words begin with a blank, which no piece has
-            at = self._places([f" {w}" for w in words.filter(pa.array(~plain)).to_pylist()], self._whole)
-            counts[~plain] = self.sizes[at]
-            order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
-            both = np.concatenate((ids, self._gather(self.flat, self.starts[at], self.sizes[at])))
-            starts = np.zeros(len(words), np.int64)
-            starts[order] = np.cumsum(counts[order]) - counts[order]
-            ids = self._gather(both, starts, counts)
-        return ids, counts
+    def _split(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the store of all words of the texts, and their bounds by text."""
+        split = pc.ascii_split_whitespace(column)
+        offsets = np.asarray(split.offsets, np.int64)
+        coded = split.flatten().dictionary_encode()  # blanks at a text's ends leave empty words, of no ids
+        at = self._places(coded.dictionary.to_pylist())
+        return at[np.asarray(coded.indices, np.int64)], offsets - offsets[0]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many each text has."""
-        split = pc.ascii_split_whitespace(column)
-        offsets = np.asarray(split.offsets, np.int64)
-        # splitting leaves an empty word at a text's blank ends
-        coded = split.flatten().dictionary_encode()
-        flat, sizes = self._words(coded.dictionary)
-        at = np.asarray(coded.indices, np.int64)
-        counts = sizes[at]
-        ids = self._gather(flat, (np.cumsum(sizes) - sizes)[at], counts)
-        return ids, np.diff(np.concatenate(([0], np.cumsum(counts)))[offsets - offsets[0]])
+        if not self.by_words:
+            return self._whole(column.to_pylist())
+        at, bounds = self._split(column)
+        sizes = self.sizes[at]
+        ids = self.flat[np.repeat(self.starts[at], sizes) + ragged(sizes)]
+        return ids, np.diff(np.concatenate(([0], np.cumsum(sizes)))[bounds])
+
+    def counts(self, column: pa.Array) -> np.ndarray:
+        """How many ids each text has."""
+        if not self.by_words:
+            return self._whole(column.to_pylist())[1]
+        at, bounds = self._split(column)
+        return np.diff(np.concatenate(([0], np.cumsum(self.sizes[at])))[bounds])
 
 
-_coders: dict[str, WordEncoder] = {}
+_coders: dict[str, TextEncoder] = {}
 
 
-def word_encoder(path: str) -> WordEncoder:
+def text_encoder(path: str) -> TextEncoder:
     """One encoder a worker process, so that tasks share what it knows."""
     if path not in _coders:
-        _coders[path] = WordEncoder(path)
+        _coders[path] = TextEncoder(path)
     return _coders[path]
 
 
@@ -214,30 +208,33 @@ def write_blocks(docs: DataFrame, scratch, tokenizer_path: str, end_id: int, key
     come first and read back with a null key. Rows with equal keys are kept, ordered
     by their text. Other columns are ignored. An empty table writes no block.
     """
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     _, size = total_bytes(docs, text)
-    ordered = rows.repartitionByRange(max(1, -(-size // bucket_bytes)), "key").sortWithinPartitions("key", "text")
+    ordered = rows.repartitionByRange(buckets_of(size, bucket_bytes), F.asc_nulls_first("key")).sortWithinPartitions(F.asc_nulls_first("key"), "text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = word_encoder(tokenizer_path)
+        coder = text_encoder(tokenizer_path)
         bits = bit_width(max(coder.tokenizer.get_vocab_size(), end_id + 1))
-        place, number, begun, held = TaskContext.get().partitionId(), 0, 0, []
+        place, number, begun, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
 
         def flush():
-            nonlocal number, begun, held
-            keys, counts, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-            row = [place, number, begun, len(keys), len(ids), int(keys[0]), int(keys[-1]), pack_block(keys, counts, ids, bits)]
-            number, begun, held = number + 1, begun + len(ids), []
+            nonlocal number, begun, held, size
+            nulls, keys, counts, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            n = int(nulls.sum())
+            first, last = (None if nulls[i] else int(keys[i]) for i in (0, -1))
+            row = [place, number, begun, len(keys), len(ids), first, last, pack_block(keys, counts, ids, bits, n)]
+            number, begun, held, size = number + 1, begun + len(ids), [], 0
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["range", "block", "range_start", "n_docs", "n_ids", "first_key", "last_key", "payload"])
 
         for batch in batches:
             column = batch.column("text")
             _, offsets = texts(column)
-            keys = np.asarray(batch.column("key"))
+            nulls, keys = np.asarray(batch.column("key").is_null()), np.asarray(batch.column("key").fill_null(0))
             for lo, hi in chunks(offsets, 4 << 20):
                 ids, counts = with_end(*coder.encode(column.slice(lo, hi - lo)), end_id)
-                held.append((keys[lo:hi], counts, ids))
-                if sum(len(x[2]) for x in held) >= BLOCK_IDS:
+                held.append((nulls[lo:hi], keys[lo:hi], counts, ids))
+                size += len(ids)
+                if size >= BLOCK_IDS:
                     yield flush()
         if held:
             yield flush()
@@ -248,25 +245,24 @@ def write_blocks(docs: DataFrame, scratch, tokenizer_path: str, end_id: int, key
 def read_documents(blocks: DataFrame) -> DataFrame:
     """Per document of written blocks: key, start (ids of all documents before), n_tokens, ids_crc32.
 
-    Each block holds its start inside its range; the ranges' totals, one row for
-    each ``bucket_bytes`` of text, are summed on the driver.
+    Each block holds its start inside its range; the ranges' totals are summed in runs of
+    RUN ranges, and the runs' totals before that. Documents meet the sums after they are
+    unpacked, so that no payload is shuffled.
     """
-    totals = blocks.groupBy("range").agg(F.sum("n_ids").alias("n")).orderBy("range").collect()
-    before, starts = 0, []
-    for r in totals:
-        starts.append((r.range, before))
-        before += r.n
-    offsets = blocks.sparkSession.createDataFrame(starts, "range int, before long")
+    totals = blocks.groupBy("range").agg(F.sum("n_ids").alias("n")).withColumn("run", F.floor(F.col("range") / RUN))
+    runs = totals.groupBy("run").agg(F.sum("n").alias("n"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select("run", before(Window.orderBy("run")).alias("earlier"))  # one row for RUN ranges
+    offsets = totals.withColumn("inner", before(Window.partitionBy("run").orderBy("range"))).join(runs, "run").select("range", (F.col("earlier") + F.col("inner")).alias("before"))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, payload in zip(batch.column("at").to_pylist(), batch.column("payload"), strict=True):
-                keys, offsets, read = open_block(payload.as_py())
+            for place, at, payload in zip(batch.column("range").to_pylist(), batch.column("range_start").to_pylist(), batch.column("payload"), strict=True):
+                keys, nulls, offsets, read = open_block(payload.as_py())
                 ids = read(0, int(offsets[-1])).astype("<u4")
                 raw = memoryview(ids.tobytes())
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(offsets[:-1] + at, pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64())], ["key", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64(), mask=np.arange(len(keys)) < nulls), pa.array(np.full(len(keys), place), pa.int32()), pa.array(offsets[:-1] + at, pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64())], ["key", "range", "at", "n_tokens", "ids_crc32"])
 
-    placed = blocks.join(F.broadcast(offsets), "range").select((F.col("before") + F.col("range_start")).alias("at"), "payload")
-    read = placed.mapInArrow(unpack, "key long, start long, n_tokens long, ids_crc32 long")
-    return read.withColumn("key", F.when(F.col("key") != NULL_KEY, F.col("key")))
+    read = blocks.select("range", "range_start", "payload").mapInArrow(unpack, "key long, range int, at long, n_tokens long, ids_crc32 long")
+    return read.join(offsets, "range").select("key", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

@@ -392,11 +392,51 @@ def test_token_files(spark, docs, empty):
     assert token_files.read_documents(token_files.write_blocks(odd, Scratch(spark, "test"), TOKENIZER, 2)).count() == 3
 
 
-def test_word_encoder_is_the_tokenizer():
+def test_token_files_odd_keys(spark):
+    rows = [(None, "b"), (None, "a"), (-(1 << 63), "c d"), ((1 << 63) - 1, None), (3, "x"), (3, "x")]
+    df = spark.createDataFrame([(k, t, "n", 1) for k, t in rows], "doc_id long, text string, range string, payload int").repartition(3)
+    got = token_files.read_documents(token_files.write_blocks(df, Scratch(spark, "test"), TOKENIZER, 2, bucket_bytes=2)).collect()
+    assert sorted((r.key for r in got), key=str) == sorted((k for k, _ in rows), key=str)
+    spans = sorted((r.start, r.start + r.n_tokens) for r in got)
+    assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert [r.key for r in sorted(got, key=lambda r: r.start)] == [None, None, -(1 << 63), 3, 3, (1 << 63) - 1]
+
+
+def odd_texts(n, seed):
+    """Texts over all of Unicode, thick with blanks of every kind, marks that combine, letters that change case oddly and special tokens."""
+    rng = np.random.default_rng(seed)
+    odd = [*" \t\n\x0b\x0c\r\x1c\x85\xa0\u1680\u2003\u2028\u3000\u200b\u0301\u0308\u0327\u0345\u093c", *"ΣσςİıßŉǅﬁÅ½①٣漢あ각ㄱ가́𝔄🙂", "'s", "'LL", "'", "<|endoftext|>", "<|startoftext|>", "<|", "\x00", "\ufeff", "\U0010ffff"]
+    out = []
+    for _ in range(n):
+        parts = []
+        for kind, point in zip(rng.integers(0, 4, int(rng.integers(0, 40))), rng.integers(0, 0x110000, 40), strict=False):
+            wide = chr(point) if not 0xD800 <= point < 0xE000 else "x"
+            parts.append((odd[point % len(odd)], wide, chr(32 + point % 95), chr(point % 0x600))[kind])
+        out.append("".join(parts))
+    return out
+
+
+@pytest.mark.parametrize("memory", [50, 500_000])
+def test_text_encoder_is_the_tokenizer(memory):
+    from tokenizers import Tokenizer
+
+    tok, coder = Tokenizer.from_file(TOKENIZER), token_files.TextEncoder(TOKENIZER, memory=memory)
+    assert coder.by_words
+    texts = [t or "" for _, t in ROWS] + ["ǅ ŉ ﬁ ① é", "a\x1cb\x85c\x00", "ÀÉ ß 3.14 ½ ª × ÷", " ", "e \u0301", "e\n\u0301"] + odd_texts(4000, 7)
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    for lo in (0, 30):
+        ids, counts = coder.encode(pa.array(texts[lo:]))
+        assert counts.tolist() == [len(x) for x in want[lo:]] == coder.counts(pa.array(texts)[lo:]).tolist()
+        assert ids.tolist() == [i for x in want[lo:] for i in x]
+
+
+def test_text_encoder_takes_any_tokenizer_whole():
     from tokenizers import Tokenizer
 
-    tok, coder = Tokenizer.from_file(TOKENIZER), token_files.WordEncoder(TOKENIZER, memory=50)
-    texts = [t or "" for _, t in ROWS] + ["ǅ ŉ ﬁ ① é", "a\x1cb\x85c\x00", "ÀÉ ß 3.14 ½ ª × ÷"]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, coder = Tokenizer.from_file(path), token_files.TextEncoder(path)
+    assert not coder.by_words
+    texts = ["two  words", "", " lead", *odd_texts(200, 8)]
     ids, counts = coder.encode(pa.array(texts))
-    assert ids.tolist() == [i for t in texts for i in tok.encode(t, add_special_tokens=False).ids]
-    assert counts.sum() == len(ids)
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for x in want for i in x] and counts.tolist() == [len(x) for x in want] == coder.counts(pa.array(texts)).tolist()
