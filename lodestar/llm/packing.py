@@ -3,15 +3,24 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Sequence
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.scratch import Scratch
+from lodestar.llm.token_files import text_encoder
+from lodestar.llm.words import chunks, texts
+
 CAPACITIES = (512, 1024, 2048, 4096)
 SHARD_ROWS = 20_000
+#: Equal rows travel together, at most so many.
+COPIES = 1024
+#: Tokens that a bin costs beside its capacity, and how much dearer a token of the longest bins is than one of very short bins.
+OVERHEAD, LONG = 2.0, 0.01
 
 
 def word_count(text: Column) -> Column:
@@ -19,74 +28,123 @@ def word_count(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", -1), "")) + 1
 
 
-def best_fit(sizes: Sequence[int], capacities: Sequence[int], overhead: float = 16.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bin and offset of each size (descending order is best), and each bin's capacity.
+def bin_cost(capacity: int, largest: int, overhead: float = OVERHEAD, long: float = LONG) -> float:
+    """What a bin costs, in tokens of a very short bin: attention makes the tokens of long bins dearer."""
+    return capacity * (1 + long * capacity / largest) + overhead
+
+
+def best_fit(sizes: Sequence[int], capacities: Sequence[int], overhead: float = OVERHEAD, long: float = LONG) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bin and offset of each size, none above the largest capacity, and each bin's capacity.
 
-    A size goes where the least room is left over. Where no open bin has room, a bin
-    opens at the capacity of least cost for what it is expected to hold: a bin costs
-    its capacity plus ``overhead``, and its free room counts as filled as far as the
-    sizes still to come reach. At the end each bin shrinks to the smallest capacity
-    that holds its contents.
+    The largest size left opens a bin. For each permitted capacity the bin is filled, from
+    the histogram of all sizes left, with the size that fits the room best, again and again;
+    the capacity whose filled bin costs least for each token it holds is opened, and its
+    sizes leave the histogram, so that no two bins count on the same ones. Each bin shrinks
+    to the smallest capacity that holds its contents. Equal sizes are taken in their order.
     """
     capacities = sorted(capacities)
+    largest = capacities[-1]
     bins, offsets = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-    room: dict[int, list[int]] = {}
-    open_, filled, rest = 0, [], int(sum(sizes))  # open_: bit r set while a bin has room r
-    for i, size in enumerate(sizes):
-        fits = open_ >> size
-        rest -= size
-        if fits:
-            left = size + (fits & -fits).bit_length() - 1
-            b = room[left].pop()
-            if not room[left]:
-                open_ ^= 1 << left
-        else:
-            able = capacities[bisect_left(capacities, size) :]
-            left = min(able, key=lambda c: ((c + overhead) / (size + min(c - size, rest)), c))
-            b = len(filled)
-            filled.append(0)
-        bins[i], offsets[i] = b, filled[b]
-        filled[b] += size
-        left -= size
-        if left:
-            room.setdefault(left, []).append(b)
-            open_ |= 1 << left
-    final = np.array([capacities[bisect_left(capacities, n)] for n in filled], np.int64)
-    return bins, offsets, final
-
-
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: Column | None = None, capacities: Sequence[int] = CAPACITIES, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Rows (key, piece, start, n_tokens, bin, capacity, offset).
-
-    length gives a row's tokens, by default its words and an end token; a length
-    beyond the largest capacity is cut into pieces of that capacity and a rest, so
-    no token is lost. Null and empty texts are one end token. Rows are dealt by hash
-    to shards of about ``shard_rows``, each packed by descending size: a shard leaves
-    a few bins part full, so the loss stays a fraction that does not grow. Null and
-    repeated keys are packed like others; other columns are ignored; an empty table
-    gives no rows. bin: unique over the table, shard * 2**32 + number.
+    places: dict[int, list[int]] = defaultdict(list)
+    for i in range(len(sizes) - 1, -1, -1):
+        places[sizes[i]].append(i)
+    left = 0  # bit s is set while a size s is left
+    for s in places:
+        left |= 1 << s
+    costs = {c: bin_cost(c, largest, overhead, long) for c in capacities}
+
+    def filled(room: int, first: int) -> list[int]:
+        free, taken, used = left, [], {first: 1}
+        if len(places[first]) == 1:
+            free ^= 1 << first
+        while room > 0:
+            s = (free & ((2 << room) - 1)).bit_length() - 1
+            if s < 1:
+                break
+            taken.append(s)
+            room -= s
+            used[s] = used.get(s, 0) + 1
+            if used[s] == len(places[s]):
+                free ^= 1 << s
+        return taken
+
+    final = []
+    while left:
+        first, best = left.bit_length() - 1, None
+        for c in capacities[bisect_left(capacities, first) :]:
+            taken = filled(c - first, first)
+            held = first + sum(taken)
+            fit = capacities[bisect_left(capacities, held)]
+            price = costs[fit] / held
+            if best is None or price < best[0]:
+                best = price, fit, taken
+        at = 0
+        for s in (first, *best[2]):
+            i = places[s].pop()
+            if not places[s]:
+                left ^= 1 << s
+            bins[i], offsets[i] = len(final), at
+            at += s
+        final.append(best[1])
+    return bins, offsets, np.array(final, np.int64)
+
+
+def token_lengths(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (key, n): the tokens of each whole text and one end token. A null text counts as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = text_encoder(tokenizer_path)
+        for batch in batches:
+            column = batch.column("text")
+            _, offsets = texts(column)
+            for lo, hi in chunks(offsets, 4 << 20):
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(lo, hi - lo), pa.array(coder.counts(column.slice(lo, hi - lo)) + 1, pa.int64())], ["key", "n"])
+
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "key long, n long")
+
+
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: Column | None = None, capacities: Sequence[int] = CAPACITIES, shard_rows: int = SHARD_ROWS, tokenizer_path: str | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """Rows (key, piece, start, n_tokens, bin, capacity, offset): tokens start to start + n_tokens of a
+    document stand at offset in a bin.
+
+    tokenizer_path: a file of the tokenizers library; a document's tokens are those of its
+    whole text and an end token. Without it, length gives them, by default words and an end
+    token; a null or less than 1 counts as 1. A document beyond the largest capacity is cut
+    into pieces of that capacity and a rest, so no token is lost. Null and empty texts are
+    one end token. Rows are dealt to shards of about ``shard_rows`` by a hash of key, length
+    and number among equal ones, so that neither order nor partitions matter; each shard is
+    packed by itself and leaves a few bins part full, a loss that does not grow. Null and
+    repeated keys are packed like others; other columns are ignored; an empty table gives no
+    rows. bin: unique over the table, shard * 2**32 + number.
     """
+    scratch = scratch or Scratch(docs.sparkSession, "packing")
     largest = max(capacities)
-    rows = docs.select(F.col(key).cast("long").alias("key"), (word_count(F.col(text)) if length is None else length).cast("long").alias("n"), F.xxhash64(key, text).alias("h"))
-    shards = max(1, -(-docs.count() // shard_rows))
-    # rows of one hash are equal rows: a second hash of the partition spreads them
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("h", F.monotonically_increasing_id() % 1024), F.lit(shards)).cast("int"))
+    lengths = token_lengths(docs, tokenizer_path, key, text) if tokenizer_path else docs.select(F.col(key).cast("long").alias("key"), (word_count(F.col(text)) if length is None else length).cast("long").alias("n"))
+    lengths = lengths.select("key", F.greatest(F.coalesce("n", F.lit(1)), F.lit(1)).cast("long").alias("n"))
+    # rows of one key and length differ in nothing: their number is counted before they are dealt
+    counted = scratch.keep(lengths.groupBy("key", "n").agg(F.count(F.lit(1)).alias("copies")), "lengths")
+    shards = max(1, -(-(counted.agg(F.sum("copies")).first()[0] or 0) // shard_rows))
+    parts = counted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))))
+    parts = parts.withColumn("copies", F.least(F.lit(COPIES), F.col("copies") - F.col("part") * COPIES))
+    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("key", "n", "part"), F.lit(shards)).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        n = np.maximum(np.asarray(table.column("n").fill_null(1)), 1)
+        copies = np.asarray(table.column("copies"))
+        keys = table.column("key").combine_chunks().take(pa.array(np.repeat(np.arange(len(copies)), copies)))
+        n = np.repeat(np.asarray(table.column("n")), copies)
         pieces = -(-n // largest)
         row = np.repeat(np.arange(len(n)), pieces)
         piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         size = np.minimum(n[row] - piece * largest, largest)
-        hashes = np.asarray(table.column("h"))
-        order = np.lexsort((piece, hashes[row], -size))
+        null, values = np.asarray(keys.is_null()), np.asarray(keys.fill_null(0))
+        order = np.lexsort((piece, values[row], ~null[row], -size))
         bins, offsets, capacity = best_fit(size[order].tolist(), capacities)
-        keys = table.column("key").combine_chunks().take(pa.array(row[order]))
         return pa.table({
-            "key": keys, "piece": pa.array(piece[order], pa.int64()), "start": pa.array(piece[order] * largest, pa.int64()), "n_tokens": pa.array(size[order], pa.int64()),
+            "key": keys.take(pa.array(row[order])), "piece": pa.array(piece[order], pa.int64()), "start": pa.array(piece[order] * largest, pa.int64()), "n_tokens": pa.array(size[order], pa.int64()),
             "bin": pa.array((shard << 32) + bins, pa.int64()), "capacity": pa.array(capacity[bins], pa.int64()), "offset": pa.array(offsets, pa.int64()),
         })
 
-    out = rows.groupBy("shard").applyInArrow(run, "key long, piece long, start long, n_tokens long, bin long, capacity long, offset long")
+    out = dealt.select("key", "n", "copies", "shard").groupBy("shard").applyInArrow(run, "key long, piece long, start long, n_tokens long, bin long, capacity long, offset long")
     return out.withColumnRenamed("key", key)

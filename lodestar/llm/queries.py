@@ -52,7 +52,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir))
+    return packing.pack(table(spark, sf_dir), tokenizer_path=WORD_TOKENIZER)
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -360,10 +360,75 @@ def test_packing(spark, docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_of_tokens(spark, docs):
+    """Token ranges tile each document's tokens; the bins are the same however the rows are dealt."""
+    from tokenizers import Tokenizer
+
+    tok, ways = Tokenizer.from_file(TOKENIZER), []
+    for df in (docs, docs.repartition(7), docs.orderBy("text").coalesce(1)):
+        got = packing.pack(df, tokenizer_path=TOKENIZER, capacities=(64, 128, 512), shard_rows=10).collect()
+        ways.append(Counter(got))
+        ends = defaultdict(int)
+        for r in sorted(got, key=lambda r: (r.doc_id, r.piece)):
+            assert r.start == ends[r.doc_id] and 1 <= r.n_tokens <= 512
+            ends[r.doc_id] += r.n_tokens
+        assert ends == {k: len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for k, t in ROWS}
+    assert ways[0] == ways[1] == ways[2]
+
+
+def test_packing_odd_rows(spark):
+    rows = [(None, None), (None, -3), (1, 700), *[(2, 5)] * 3000, (3, 0)]
+    df = spark.createDataFrame([(k, n, "b", "c") for k, n in rows], "doc_id long, n long, text string, copies string")
+    from pyspark.sql import functions as F
+
+    got = packing.pack(df, length=F.col("n"), capacities=(16, 512), shard_rows=500).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter({(None, 1): 2, (1, 512): 1, (1, 188): 1, (2, 5): 3000, (3, 1): 1})
+    held = defaultdict(list)
+    for r in got:
+        held[r.bin].append((r.offset, r.n_tokens, r.capacity))
+    assert len(held) < 60 and all(max(o + n for o, n, _ in x) <= x[0][2] and len({o for o, _, _ in x}) == len(x) for x in held.values())
+
+
+def cheapest(sizes, capacities):
+    """Least cost of any partition of the sizes into bins."""
+    best = {frozenset(): 0.0}
+
+    def solve(rest):
+        if rest not in best:
+            first, *others = sorted(rest)
+            found = []
+            for mask in range(1 << len(others)):
+                own = [first, *[x for i, x in enumerate(others) if mask >> i & 1]]
+                held = sum(sizes[i] for i in own)
+                if held <= capacities[-1]:
+                    found.append(packing.bin_cost(min(c for c in capacities if c >= held), capacities[-1]) + solve(rest - set(own)))
+            best[rest] = min(found)
+        return best[rest]
+
+    return solve(frozenset(range(len(sizes))))
+
+
+def test_best_fit_is_near_the_optimum():
+    rng, exact = np.random.default_rng(3), 0
+    for _ in range(60):
+        capacities = tuple(sorted(rng.choice([20, 32, 50, 64, 100], 3, replace=False).tolist()))
+        sizes = sorted(rng.integers(1, capacities[-1] + 1, int(rng.integers(1, 9))).tolist(), reverse=True)
+        bins, offsets, capacity = packing.best_fit(sizes, capacities)
+        ends = np.zeros(len(capacity), np.int64)
+        for b, o, n in zip(bins, offsets, sizes, strict=True):
+            assert o == ends[b]
+            ends[b] += n
+        assert all(c == min(x for x in capacities if x >= e) for c, e in zip(capacity.tolist(), ends.tolist(), strict=True))
+        cost, least = sum(packing.bin_cost(c, capacities[-1]) for c in capacity.tolist()), cheapest(sizes, capacities)
+        assert least - 1e-9 <= cost <= least + packing.bin_cost(capacities[-1], capacities[-1])
+        exact += cost < least + 1e-9
+    assert exact >= 40
+
+
 def test_best_fit_fills():
     sizes = sorted(RNG.integers(1, 900, 3000).tolist(), reverse=True)
     _, _, capacity = packing.best_fit(sizes, (256, 512, 1024))
-    assert sum(sizes) / capacity.sum() > 0.98
+    assert sum(sizes) / capacity.sum() > 0.99 and len(set(capacity.tolist())) == 3
 
 
 @pytest.mark.parametrize("bits", [1, 7, 8, 11, 16, 17, 32])
