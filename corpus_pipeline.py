@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import decontaminate, jaccard, line_runs, packing, weak_labels
+from lodestar.llm.queries import WORD_TOKENIZER
 from lodestar.llm.scratch import Scratch
 
 NO_WORD = r"^[\x20\x09-\x0D]*$"
@@ -41,7 +42,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every token of what is left, in bins of the permitted lengths."""
-    return packing.pack(docs)
+    return packing.pack(docs, tokenizer_path=WORD_TOKENIZER)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
