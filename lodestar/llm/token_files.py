@@ -108,83 +108,138 @@ def inside_words(spec: dict) -> bool:
 class TextEncoder:
     """Ids of whole texts by the tokenizers library.
 
-    Where the tokenizer's file shows that its tokens lie inside words (see inside_words),
-    every distinct white-space-delimited word goes through the whole tokenizer once and its
-    ids are kept, at most ``memory`` words of them. For any other file each text goes
-    through the tokenizer as it is.
+    Where the tokenizer's file shows that its tokens lie inside words, and how words split
+    into pieces before its merges (see inside_words), a text's ids are those of its words in
+    order, and a word's those of its pieces. Words of plain Latin letters and signs are
+    lower-cased and split by Arrow, and each distinct piece meets the file's merges; any other
+    word goes through the whole tokenizer. At most ``memory`` pieces and words are kept for
+    later texts. With any other file each text goes through the tokenizer as it is.
     """
 
-    _line = 2000
+    #: WORD_SPLIT for Arrow's expressions.
+    PIECES = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
+    #: Letters that no normal form changes and one code point lower-cases; without the sign that special tokens begin with.
+    PLAIN = r"^[\x21-\x3B\x3D-\x7E\x{A1}\x{BF}-\x{FF}]*$"
+    _line = 200
 
     def __init__(self, path: str, memory: int = 500_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
         with open(path, encoding="utf-8") as f:
             self.by_words = inside_words(json.load(f))
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.merges.normalizer = None
+        self.merges.pre_tokenizer = Sequence([Split(" ", "removed"), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
         self.memory = memory
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.starts, self.sizes = np.zeros(1 << 20, np.uint32), np.zeros(self.memory, np.int64), np.zeros(self.memory, np.int64)
+        self.flat, self.starts, self.sizes = np.zeros(1 << 20, np.uint16 if len(self.last) <= 1 << 16 else np.uint32), np.zeros(self.memory + 2, np.int64), np.zeros(self.memory + 2, np.int64)
         self.used = 0
+        self._store([""], np.zeros(0, np.int64), np.zeros(1, np.int64))  # blanks at an end split off an empty piece
 
-    def _whole(self, many: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, sizes = [np.zeros(0, np.uint32)], []
-        for lo in range(0, len(many), self._line):
-            for e in self.tokenizer.encode_batch_fast(many[lo : lo + self._line], add_special_tokens=False):
-                ids.append(np.array(e.ids, np.uint32))
-                sizes.append(len(e))
-        return np.concatenate(ids), np.array(sizes, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        ids, sizes = self._whole(words)
+    def _store(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         n = len(self.known)
         self.flat[self.used : self.used + len(ids)] = ids
-        self.starts[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[n : n + len(words)] = sizes
+        self.starts[n : n + len(names)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n : n + len(names)] = sizes
         self.used += len(ids)
-        self.known.update(zip(words, range(n, n + len(words)), strict=True))
-
-    def _places(self, words: list[str]) -> np.ndarray:
-        """Where distinct words stand in the store; unknown ones are encoded first."""
-        found = list(map(self.known.get, words))
-        new = [x for x, at in zip(words, found, strict=True) if at is None]
+        self.known.update(zip(names, range(n, n + len(names)), strict=True))
+
+    def _learn(self, pieces: list[str]) -> None:
+        for lo in range(0, len(pieces), 20 * self._line):
+            part = pieces[lo : lo + 20 * self._line]
+            lines = [part[i : i + self._line] for i in range(0, len(part), self._line)]
+            got = self.merges.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, np.int64) for e in got])
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer does not end each piece with a word end")
+            self._store(part, ids, np.diff(ends, prepend=0))
+
+    def _places(self, names: list[str], learn) -> np.ndarray:
+        """Where the names stand in the store; unknown ones are learned first."""
+        found = list(map(self.known.get, names))
+        new = [x for x, at in zip(names, found, strict=True) if at is None]
         if new:
             if len(self.known) + len(new) > self.memory:
-                self.memory = max(self.memory, len(words))
                 self._clear()
-                new = words
-            self._learn(new)
-            found = list(map(self.known.get, words))
+                if len(names) > self.memory:
+                    self.memory = 2 * len(names)
+                    self._clear()
+                new = [x for x in names if x]
+            learn(new)
+            found = list(map(self.known.get, names))
         return np.array(found, np.int64)
 
-    def _split(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the store of all words of the texts, and their bounds by text."""
+    def _whole(self, words: list[str]) -> None:
+        got = [self.tokenizer.encode(w[1:], add_special_tokens=False).ids for w in words]
+        self._store(words, np.array([i for x in got for i in x], np.int64), np.array([len(x) for x in got], np.int64))
+
+    @staticmethod
+    def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return flat[np.repeat(starts, sizes) + ragged(sizes)]
+
+    def _words(self, words: pa.Array, wanted: bool) -> tuple[np.ndarray | None, np.ndarray]:
+        """Ids, if wanted, and number of ids of distinct words."""
+        plain = np.asarray(pc.match_substring_regex(words, self.PLAIN))
+        counts, ids = np.zeros(len(words), np.int64), np.zeros(0, self.flat.dtype)
+        if plain.any():
+            spaced = pc.replace_substring_regex(pc.utf8_lower(words.filter(pa.array(plain))), self.PIECES, r"\1 ")
+            split = pc.ascii_split_whitespace(pc.utf8_rtrim_whitespace(spaced))
+            offsets = np.asarray(split.offsets, np.int64)
+            coded = split.flatten().dictionary_encode()
+            at = self._places(coded.dictionary.to_pylist(), self._learn)[np.asarray(coded.indices, np.int64)]
+            sizes = self.sizes[at]
+            ids = self._gather(self.flat, self.starts[at], sizes) if wanted else ids
+            counts[plain] = np.diff(np.concatenate(([0], np.cumsum(sizes)))[offsets - offsets[0]])
+        if not plain.all():
+            # names of whole words begin with a blank, which no piece has
+            at = self._places([f" {w}" for w in words.filter(pa.array(~plain)).to_pylist()], self._whole)
+            counts[~plain] = self.sizes[at]
+            if wanted:
+                order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
+                both = np.concatenate((ids, self._gather(self.flat, self.starts[at], self.sizes[at])))
+                starts = np.zeros(len(words), np.int64)
+                starts[order] = np.cumsum(counts[order]) - counts[order]
+                ids = self._gather(both, starts, counts)
+        return ids, counts
+
+    def _split(self, column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Distinct words of all texts, each word's place among them, and the words' bounds by text."""
         split = pc.ascii_split_whitespace(column)
         offsets = np.asarray(split.offsets, np.int64)
-        coded = split.flatten().dictionary_encode()  # blanks at a text's ends leave empty words, of no ids
-        at = self._places(coded.dictionary.to_pylist())
-        return at[np.asarray(coded.indices, np.int64)], offsets - offsets[0]
+        # splitting leaves an empty word, of no ids, at a text's blank ends
+        coded = split.flatten().dictionary_encode()
+        return coded.dictionary, np.asarray(coded.indices, np.int64), offsets - offsets[0]
+
+    def _texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(column.to_pylist(), add_special_tokens=False)]
+        return np.concatenate([*got, np.zeros(0, np.uint32)]), np.array([len(x) for x in got], np.int64)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many each text has."""
         if not self.by_words:
-            return self._whole(column.to_pylist())
-        at, bounds = self._split(column)
-        sizes = self.sizes[at]
-        ids = self.flat[np.repeat(self.starts[at], sizes) + ragged(sizes)]
-        return ids, np.diff(np.concatenate(([0], np.cumsum(sizes)))[bounds])
+            return self._texts(column)
+        words, at, bounds = self._split(column)
+        flat, sizes = self._words(words, True)
+        counts = sizes[at]
+        ids = self._gather(flat, (np.cumsum(sizes) - sizes)[at], counts)
+        return ids, np.diff(np.concatenate(([0], np.cumsum(counts)))[bounds])
 
     def counts(self, column: pa.Array) -> np.ndarray:
         """How many ids each text has."""
         if not self.by_words:
-            return self._whole(column.to_pylist())[1]
-        at, bounds = self._split(column)
-        return np.diff(np.concatenate(([0], np.cumsum(self.sizes[at])))[bounds])
+            return self._texts(column)[1]
+        words, at, bounds = self._split(column)
+        return np.diff(np.concatenate(([0], np.cumsum(self._words(words, False)[1][at])))[bounds])
 
 
 _coders: dict[str, TextEncoder] = {}
