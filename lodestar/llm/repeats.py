@@ -36,18 +36,25 @@ BUCKET_BYTES = 16 << 20
 _HELD = 1 << 21
 _PLACES = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("rows", pa.binary()), ("places", pa.binary())])
 _PLACES_DDL = "bucket int, hashes binary, rows binary, places binary"
-_NO_HASH = b""
 
 
 def bucket_of(values: np.ndarray, buckets: int) -> np.ndarray:
     return ((values >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
 
 
+def _dealt(to: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
+    """Buckets that get something, ascending, and for each column the bytes that each gets."""
+    order = np.argsort(to, kind="stable")
+    full, cut = np.unique(to[order], return_index=True)
+    cut = np.append(cut, len(to))
+    return full, [[c[order[a:b]].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)] for c in columns]
+
+
 class _Sender:
-    """Gathers (hash, row, place); flush() gives rows for buckets of hashes.
+    """Gathers (hash, row, place); flush() gives rows for buckets of hashes, and from ``buckets`` on for buckets of rows.
 
     Of a hash with several places here, all but the first are known to repeat and
-    travel without their hash; the first stands for them, its hash sent twice.
+    travel straight to their rows' buckets; the first stands for them, its hash sent twice.
     """
 
     def __init__(self, buckets: int):
@@ -72,47 +79,29 @@ class _Sender:
             if not chosen.any():
                 continue
             h, r, p = hashes[chosen], rows[chosen], places[chosen]
-            to = bucket_of(h, self.buckets)
-            order = np.argsort(to, kind="stable")
-            cut = np.searchsorted(to[order], np.arange(self.buckets + 1))
-            full = np.flatnonzero(np.diff(cut))
-            h, r, p = h[order], r[order], p[order]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int32()), pa.array([_NO_HASH if known else h[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary()), pa.array([r[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary()), pa.array([p[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary())],
-                schema=_PLACES,
-            )
+            to = bucket_of(r, self.buckets) + np.int32(self.buckets) if known else bucket_of(h, self.buckets)
+            full, (hs, rs, ps) = _dealt(to, h, r, p)
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(x, pa.binary()) for x in ([b""] * len(full) if known else hs, rs, ps))], schema=_PLACES)
 
 
 def _repeated(buckets: int):
-    """Of a bucket of hashes the places that repeat, dealt to buckets of rows."""
+    """Of a bucket of hashes the places that repeat, dealt to buckets of rows; a bucket of rows goes on as it is."""
 
     def run(table: pa.Table) -> pa.Table:
-        got: list[tuple[np.ndarray, np.ndarray]] = []
-        hashes, rows, places = [], [], []
-        for h, r, p in zip(*(table.column(c) for c in ("hashes", "rows", "places")), strict=True):
-            r, p = np.frombuffer(r.as_py(), np.uint64), np.frombuffer(p.as_py(), np.uint32)
-            if h.as_py():
-                hashes.append(np.frombuffer(h.as_py(), np.uint64))
-                rows.append(r)
-                places.append(p)
-            else:
-                got.append((r, p))
-        if hashes:
-            h, r, p = np.concatenate(hashes), np.concatenate(rows), np.concatenate(places)
+        bucket = table.column("bucket")[0].as_py()
+        r, p = (np.frombuffer(b"".join(x.as_py() for x in table.column(c)), t) for c, t in (("rows", np.uint64), ("places", np.uint32)))
+        if bucket >= buckets:
+            full, sides = np.array([bucket - buckets], np.int32), [[r.tobytes()], [p.tobytes()]]
+        else:
+            h = np.frombuffer(b"".join(x.as_py() for x in table.column("hashes")), np.uint64)
             order = np.argsort(h, kind="stable")
             h, r, p = h[order], r[order], p[order]
             same = h[1:] == h[:-1]
             twice = np.zeros(len(h), bool)
             twice[1:] |= same
             twice[:-1] |= same
-            got.append((r[twice], p[twice]))
-        r, p = (np.concatenate(x) for x in zip(*got, strict=True))
-        to = bucket_of(r, buckets)
-        order = np.argsort(to, kind="stable")
-        r, p = r[order], p[order]
-        cut = np.searchsorted(to[order], np.arange(buckets + 1))
-        full = np.flatnonzero(np.diff(cut))
-        return pa.table({"bucket": pa.array(full, pa.int32()), "rows": pa.array([r[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary()), "places": pa.array([p[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary())})
+            full, sides = _dealt(bucket_of(r[twice], buckets), r[twice], p[twice])
+        return pa.table({"bucket": pa.array(full, pa.int32()), **{c: pa.array(x, pa.binary()) for c, x in zip(("rows", "places"), sides, strict=True)}})
 
     return run
 
