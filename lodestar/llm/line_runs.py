@@ -81,7 +81,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     ranges of the key, in ascending order, each against the runs of those before.
     Rows of one key are one document; rows with a null key keep all lines and claim
     none. An empty table gives no rows; columns of ``docs`` named like the added
-    ones are replaced.
+    ones, or _key, _text, _row, _lines or _gone, are replaced or dropped.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lines")
@@ -95,19 +95,21 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     cuts = lines.agg(F.percentile_approx("_key", [i / batches for i in range(1, batches)], 1000).alias("c")).first().c if batches > 1 else []
     cuts = sorted(set(cuts or []))
     runs, parts = LineRuns(scratch, buckets), []
-    for i, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
-        batch = lines
-        if low is not None:
-            batch = batch.where(F.col("_key") > low)
-        if high is not None:
-            batch = batch.where(F.col("_key") <= high)
-        firsts = batch.groupBy("h1", "h2").agg(F.min("_key").alias("_key"))
-        fresh = scratch.keep(runs.unseen(firsts), f"fresh-{i}")
-        # only the first holder of a fresh hash keeps the line; the key in the join spreads a frequent line
-        parts.append(scratch.keep(batch.join(fresh, ["h1", "h2", "_key"], "left_anti").select("_key", "_row", "pos"), f"drops-{i}"))
-        runs.add(fresh)
-        scratch.drop(f"fresh-{i}")
-    runs.close()
+    try:
+        for i, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+            batch = lines
+            if low is not None:
+                batch = batch.where(F.col("_key") > low)
+            if high is not None:
+                batch = batch.where(F.col("_key") <= high)
+            firsts = batch.groupBy("h1", "h2").agg(F.min("_key").alias("_key"))
+            fresh = scratch.keep(runs.unseen(firsts), f"fresh-{i}")
+            # only the first holder of a fresh hash keeps the line; the key in the join spreads a frequent line
+            parts.append(scratch.keep(batch.join(fresh, ["h1", "h2", "_key"], "left_anti").select("_key", "_row", "pos"), f"drops-{i}"))
+            runs.add(fresh)
+            scratch.drop(f"fresh-{i}")
+    finally:
+        runs.close()
     drops = parts[0]
     for part in parts[1:]:
         drops = drops.union(part)

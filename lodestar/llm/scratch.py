@@ -1,11 +1,12 @@
 """Intermediate tables in the folder that the whole cluster shares.
 
-``spark.checkpoint.dir`` is read from the session; only where it is unset does
-the driver's temporary folder stand in, which is right for local mode alone.
+``spark.checkpoint.dir`` is read from the session. Where it is unset, the driver's
+temporary folder stands in for a local master, and anything else is an error.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,7 +16,13 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/lodestar-shared"
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+    return f"{tempfile.gettempdir()}/lodestar-shared"
 
 
 class Scratch:
