@@ -66,7 +66,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5}
+    return {"op3_jaccard": OP3, "op5_line_dedup": OP5, "op7_repeats": OP7}
 
 
 OP5 = r"""
@@ -81,3 +81,29 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (first < doc_id) AS n_droppe
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (first IS NULL OR first >= doc_id), '')) AS kept_sha256
 FROM keyed LEFT JOIN firsts USING (k) GROUP BY doc_id
 """
+
+#: Windows of 35 words that start in two places or more; the words under them go.
+OP7 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 34), ' ') AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35)),
+r AS (SELECT k FROM s GROUP BY k HAVING count(*) > 1),
+g AS (SELECT DISTINCT doc_id, i + j AS pos FROM s SEMI JOIN r USING (k) CROSS JOIN generate_series(0, 34) t(j)),
+p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d)
+SELECT d.doc_id, any_value(len(d.w)) AS n_words, count(g.pos) AS n_removed, sha256(coalesce(string_agg(p.word, ' ' ORDER BY p.pos) FILTER (g.pos IS NULL), '')) AS kept_sha256
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN g ON g.doc_id = p.doc_id AND g.pos = p.pos GROUP BY d.doc_id
+"""
+
+#: Sets of 4-word shingles, links of 85 in 100, classes by least reachable doc_id; n_links counts the other sets that a set links with.
+OP3 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+h AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS k FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(md5(k), '' ORDER BY k)) AS s FROM h GROUP BY doc_id),
+c AS (SELECT s, any_value(n) AS n, min(doc_id) AS rep FROM n GROUP BY s),
+hr AS (SELECT c.rep, c.n, h.k FROM c JOIN h ON h.doc_id = c.rep),
+l AS (SELECT a.rep AS a, b.rep AS b FROM hr a JOIN hr b ON a.k = b.k AND a.rep <> b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT rep AS a, rep AS b FROM c UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+m AS (SELECT a AS rep, min(b) AS component FROM reach GROUP BY a),
+q AS (SELECT a AS rep, count(*) AS links FROM l GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.component, d.doc_id) AS component_id, coalesce(q.links, 0) AS n_links
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.s = n.s LEFT JOIN m ON m.rep = c.rep LEFT JOIN q ON q.rep = c.rep
+"""
