@@ -15,33 +15,47 @@ NO_WORD = r"^[\x20\x09-\x0D]*$"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weak-label classifier finds good and free of insults."""
+    """Documents that the weak-label classifier finds good and free of insults; null and blank texts go, null keys do not matter."""
     return weak_labels.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that an earlier document holds; a document that loses all its words goes."""
-    out = line_runs.dedup_lines(docs)
+    """Texts without lines that an earlier document holds; a document that loses all its words goes.
+
+    Rows with a null key stay as they are; rows of one key are one document. Columns other
+    than doc_id, text and n_chars are not touched, whatever their names.
+    """
+    other = {c: f"in_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    out = line_runs.dedup_lines(docs.withColumnsRenamed(other))
     left = out.where((F.col("n_dropped") == 0) | ~F.col("kept").rlike(NO_WORD))
-    changed = left.withColumns({"text": F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("text"))})
-    return changed.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    text = F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("text"))
+    new = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    return left.select([(new[c] if c in new else F.col(other.get(c, c))).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the least id, of each class linked by five-word Jaccard of 0.8 or more."""
+    """One document, the least id, of each class linked by five-word Jaccard of 0.8 or more.
+
+    Rows with a null key and texts without words stay; rows of one key are one document,
+    which stays or goes whole.
+    """
     parts = jaccard.jaccard_components(docs, k=5, percent=80, counted=False)
     gone = parts.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark.
+
+    Rows with a null key and null texts stay; rows of one key go together. Items with a null
+    key or without words match nothing.
+    """
     bad = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every token of what is left, in bins of the permitted lengths."""
+    """Every token of what is left, in bins of the permitted lengths; see packing.pack for nulls and repeated rows."""
     return packing.pack(docs, tokenizer_path=WORD_TOKENIZER)
 
 
@@ -53,7 +67,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best-fit packing", packed),
 ]
 
-#: The learned and packing stages have no SQL; tests hold run() against brute force.
+#: The learned and packing stages have no SQL; tests hold each stage against brute force and run() against their chain.
 ORACLE_SQL = None
 
 
