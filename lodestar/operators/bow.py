@@ -13,7 +13,7 @@ def term_frequency(matches: DataFrame, features: int, word: str = "word") -> Dat
 
 def document_frequency(postings: DataFrame, images: int, word: str = "word") -> DataFrame:
     """(word, df, idf): distinct images of each word, ln(images / df)."""
-    return postings.groupBy(word).agg(F.countDistinct("image_id").alias("df")).withColumn("idf", F.log(F.lit(float(images)) / F.col("df")))
+    return postings.select(word, "image_id").distinct().groupBy(word).agg(F.count("image_id").alias("df")).withColumn("idf", F.log(F.lit(float(images)) / F.col("df")))
 
 
 def tfidf_search(matches: DataFrame, postings: DataFrame, features: int, images: int, word: str = "word") -> DataFrame:
@@ -22,10 +22,10 @@ def tfidf_search(matches: DataFrame, postings: DataFrame, features: int, images:
     Postings are cut to the query's words before anything is counted.
     """
     tf = term_frequency(matches, features, word)
-    own = postings.join(F.broadcast(tf.select(word)), word, "left_semi")
+    own = postings.join(tf.select(word), word, "left_semi")
     counts = own.groupBy(word, "image_id").agg(F.count(F.lit(1)).alias("n"))
     df = counts.groupBy(word).agg(F.count(F.lit(1)).alias("df"))
-    joined = counts.join(df, word).join(F.broadcast(tf), word)
+    joined = counts.join(df, word).join(tf, word)
     score = F.sum(F.col("nwi") * F.col("tf") * F.log(F.lit(float(images)) / F.col("df")) * F.col("n"))
     return joined.groupBy("image_id").agg(score.alias("score"))
 
@@ -67,17 +67,35 @@ def purge(postings: DataFrame, images: DataFrame, least: int = 3, word: str = "w
     image's by more than one; it stays with ``least`` postings by then. Words not yet
     judged stay.
     """
-    ids = images.select(F.col("image_id").alias("id")).distinct()
+    judged = judging_images(images)
     firsts = postings.groupBy(word).agg(F.min("image_id").alias("first_image"))
-    nexts = firsts.select("first_image").distinct().join(ids, F.col("id").between(F.col("first_image") + 2, F.col("first_image") + 4), "left").groupBy("first_image").agg(F.min("id").alias("near"))
-    # sparse ids: where none of the next few exists, the least larger id is looked up
-    far = nexts.where("near is null").select("first_image").join(ids, F.col("id") > F.col("first_image") + 1).groupBy("first_image").agg(F.min("id").alias("far"))
-    judged = nexts.join(far, "first_image", "left").select("first_image", F.coalesce("near", "far").alias("judged"))
-    kept = firsts.join(F.broadcast(judged), "first_image")
+    kept = firsts.join(judged, "first_image", "left")
     counts = postings.join(kept, word).groupBy(word, "first_image", "judged").agg(F.count(F.when(F.col("image_id") <= F.col("judged"), 1)).alias("n"))
     return counts.where(F.col("judged").isNull() | (F.col("n") >= least)).select(word, "first_image")
 
 
+def judging_images(images: DataFrame, span: int = 1 << 20) -> DataFrame:
+    """(first_image, judged): for each image id the least other one that exceeds it by more than one, null for the last.
+
+    It is the next id, or the one after where the next follows at once: leads within ranges
+    of ``span`` ids, and the two least ids of the ranges after, one row for each range.
+    """
+    ids = images.where("image_id is not null").select(F.col("image_id").cast("long").alias("first_image")).distinct().withColumn("_r", F.floor(F.col("first_image") / span))
+    inside = Window.partitionBy("_r").orderBy("first_image")
+    near = ids.withColumns({f"_n{i}": F.lead("first_image", i).over(inside) for i in (1, 2)})
+    ranges = near.groupBy("_r").agg(F.min("first_image").alias("_a"), F.min("_n1").alias("_b"))
+    order = Window.orderBy("_r")
+    after = ranges.select("_r", F.lead("_a").over(order).alias("_f1"), F.coalesce(F.lead("_b").over(order), F.lead("_a", 2).over(order)).alias("_f2"))
+    one = F.coalesce("_n1", "_f1")
+    two = F.when(F.col("_n2").isNotNull(), F.col("_n2")).when(F.col("_n1").isNotNull(), F.col("_f1")).otherwise(F.col("_f2"))
+    return near.join(after, "_r").select("first_image", F.when(one > F.col("first_image") + 1, one).otherwise(two).alias("judged"))
+
+
+def without_words(rows: DataFrame, gone: DataFrame, word: str = "word_id") -> DataFrame:
+    """Words or postings less those of deleted words."""
+    return rows.join(gone.select(word), word, "left_anti")
+
+
 def integrity(words: DataFrame, postings: DataFrame, word: str = "word") -> DataFrame:
     """Words without a posting."""
     return words.join(postings, word, "left_anti")

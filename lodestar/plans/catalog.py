@@ -36,7 +36,7 @@ nv AS (SELECT image_id, k, pos, resid / nullif(sqrt(sum(resid * resid) OVER (PAR
 MED = f"{VEC}, m AS (SELECT kp_ind AS m, bits AS center FROM b WHERE kp_ind < 4)"
 TWO = f"""{MED}, d AS (SELECT b.kp_ind, b.bits, m.m, {HAM.format('b.bits', 'm.center')} AS d, row_number() OVER (PARTITION BY b.kp_ind ORDER BY bit_count(xor(b.bits, m.center)), m.m) AS r FROM b CROSS JOIN m),
 a AS (SELECT kp_ind, bits, max(CASE WHEN r = 1 THEN m END) AS medoid, max(CASE WHEN r = 1 THEN d END) AS d1, max(CASE WHEN r = 2 THEN m END) AS medoid2, max(CASE WHEN r = 2 THEN d END) AS d2 FROM d GROUP BY ALL)"""
-SWAP = f"""{TWO}, q AS (SELECT h.kp_ind AS h, a.medoid, a.d1, a.d2, {HAM.format('h.bits', 'a.bits')} AS d FROM a CROSS JOIN (SELECT * FROM b WHERE kp_ind BETWEEN 10 AND 29) h),
+SWAP = f"""{TWO}, q AS (SELECT h.kp_ind AS h, a.medoid, a.d1, a.d2, {HAM.format('h.bits', 'a.bits')} AS d FROM a CROSS JOIN (SELECT * FROM b WHERE kp_ind >= 4) h),
 w AS (SELECT h, m.m, sum(CASE WHEN q.medoid = m.m THEN least(d, d2) - d1 ELSE least(d - d1, 0) END)::BIGINT AS delta FROM q CROSS JOIN m GROUP BY ALL)"""
 LINE = "u AS (SELECT l_orderkey % 50 AS row, l_linenumber AS pos, avg(l_quantity) AS x FROM lineitem WHERE l_linenumber <= 7 GROUP BY ALL)"
 
@@ -499,7 +499,7 @@ def two(spark, d):
 
 
 def deltas(spark, d):
-    return cluster.swap_costs(two(spark, d), tables.vectors(spark, d).where("kp_ind BETWEEN 10 AND 29"))
+    return cluster.swap_costs(two(spark, d), tables.vectors(spark, d).where("kp_ind >= 4"))
 
 
 MAJ = f"{TWO}, o AS (SELECT a.medoid AS k, l.pos, count(*) AS n, count(*) FILTER (l.x > 0) AS ones FROM a JOIN l USING (kp_ind) GROUP BY ALL), mb AS (SELECT k, bit_or(CASE WHEN 2 * ones > n THEN CASE WHEN pos = 63 THEN (-9223372036854775808)::BIGINT ELSE 1::BIGINT << pos::INT END ELSE 0::BIGINT END) AS bits FROM o GROUP BY 1)"
@@ -530,20 +530,16 @@ def fill_empty_cluster(spark, d):
     return cluster.farthest_of_largest(cluster.assign_bits(tables.vectors(spark, d), book(spark, d)))
 
 
-def some(spark, d, n=60):
-    return tables.vectors(spark, d).where(F.col("kp_ind") < n)
-
-
-PAIR = f"{VEC}, pw AS (SELECT i.kp_ind AS i, j.kp_ind AS j, sqrt(round(sum((i.x - j.x) * (i.x - j.x)), 9)) AS d FROM l i JOIN l j ON i.pos = j.pos AND i.kp_ind < j.kp_ind WHERE i.kp_ind < 60 AND j.kp_ind < 60 GROUP BY ALL)"
+PAIR = f"{VEC}, pw AS (SELECT i.kp_ind AS i, j.kp_ind AS j, sqrt(round(sum((i.x - j.x) * (i.x - j.x)), 9)) AS d FROM l i JOIN l j ON i.pos = j.pos AND i.kp_ind < j.kp_ind GROUP BY ALL)"
 
 
 def upper(spark, d):
-    return linalg.pairwise(some(spark, d), lambda a, b: F.sqrt(F.round(X.sq_euclidean(a, b), 9)), "vec")
+    return linalg.pairwise(tables.vectors(spark, d), lambda a, b: F.sqrt(F.round(X.sq_euclidean(a, b), 9)), "vec")
 
 
-@query(f"WITH {VEC} SELECT i.kp_ind AS i, j.kp_ind AS j, {HAM.format('i.bits', 'j.bits')} AS d FROM b i JOIN b j ON i.kp_ind < j.kp_ind WHERE j.kp_ind < 60")
+@query(f"WITH {VEC} SELECT i.kp_ind AS i, j.kp_ind AS j, {HAM.format('i.bits', 'j.bits')} AS d FROM b i JOIN b j ON i.kp_ind < j.kp_ind")
 def pairwise_distance(spark, d):
-    return linalg.pairwise(some(spark, d), X.hamming, "bits")
+    return linalg.pairwise(tables.vectors(spark, d), X.hamming, "bits")
 
 
 @query(f"WITH {VEC} SELECT i.kp_ind, sum(bit_count(xor(i.bits, j.bits)))::BIGINT AS total FROM b i CROSS JOIN b j GROUP BY 1 ORDER BY 2, 1 LIMIT 1")
@@ -642,9 +638,9 @@ def kmeans_codebook(spark, d):
 # linear algebra
 
 
-@query(f"WITH {PAIR} SELECT i, j, {S('d')} AS d FROM pw UNION ALL SELECT j, i, {S('d')} FROM pw UNION ALL SELECT kp_ind, kp_ind, 0.0::DOUBLE FROM v WHERE kp_ind < 60")
+@query(f"WITH {PAIR} SELECT i, j, {S('d')} AS d FROM pw UNION ALL SELECT j, i, {S('d')} FROM pw UNION ALL SELECT kp_ind, kp_ind, 0.0::DOUBLE FROM v")
 def full_distance_matrix(spark, d):
-    return linalg.full(upper(spark, d), some(spark, d).select(F.col("kp_ind").alias("i"))).withColumn("d", r6("d"))
+    return linalg.full(upper(spark, d), tables.vectors(spark, d).select(F.col("kp_ind").alias("i"))).withColumn("d", r6("d"))
 
 
 @query(f"WITH {PAIR} SELECT i, j, {S('d')} AS d FROM pw UNION ALL SELECT j, i, {S('d')} FROM pw")
@@ -654,13 +650,14 @@ def symmetrize(spark, d):
 
 @query(f"WITH {PAIR} SELECT i, j, CASE WHEN j = i + 1 THEN {S('d')} END AS d FROM pw")
 def contiguity_distance(spark, d):
-    near = some(spark, d).select(F.col("kp_ind").alias("i"), (F.col("kp_ind") + 1).alias("j"))
+    near = tables.vectors(spark, d).select(F.col("kp_ind").alias("i"), (F.col("kp_ind") + 1).alias("j"))
     return linalg.contiguous(upper(spark, d), near).withColumn("d", r6("d"))
 
 
-@query(f"WITH {PAIR}, w AS (SELECT kp_ind AS i, (kp_ind * 7) % 60 AS j FROM v WHERE kp_ind < 60) SELECT w.i, w.j, CASE WHEN w.i = w.j THEN 0.0 ELSE {S('pw.d')} END AS d FROM w LEFT JOIN pw ON pw.i = least(w.i, w.j) AND pw.j = greatest(w.i, w.j)")
+@query(f"WITH {PAIR}, w AS (SELECT kp_ind AS i, (kp_ind * 7) % (SELECT count(*) FROM v) AS j FROM v) SELECT w.i, w.j, CASE WHEN w.i = w.j THEN 0.0 ELSE {S('pw.d')} END AS d FROM w LEFT JOIN pw ON pw.i = least(w.i, w.j) AND pw.j = greatest(w.i, w.j)")
 def triangle_lookup(spark, d):
-    wanted = some(spark, d).select(F.col("kp_ind").alias("i"), (F.col("kp_ind") * 7 % 60).alias("j"))
+    v = tables.vectors(spark, d)
+    wanted = v.select(F.col("kp_ind").alias("i"), (F.col("kp_ind") * 7 % v.count()).alias("j"))
     return linalg.lookup(upper(spark, d), wanted).withColumn("d", r6("d"))
 
 
@@ -680,7 +677,7 @@ def double_center(spark, d):
 
 @query(f"WITH {PAIR} SELECT {S('sum(pw.d) / nullif(sum(bit_count(xor(a.bits, c.bits))), 0)')} AS scale FROM pw JOIN b a ON a.kp_ind = pw.i JOIN b c ON c.kp_ind = pw.j")
 def stress_scale(spark, d):
-    return linalg.stress_scale(upper(spark, d), linalg.pairwise(some(spark, d), lambda a, b: X.hamming(a, b).cast("double"), "bits")).select(r6("scale").alias("scale"))
+    return linalg.stress_scale(upper(spark, d), linalg.pairwise(tables.vectors(spark, d), lambda a, b: X.hamming(a, b).cast("double"), "bits")).select(r6("scale").alias("scale"))
 
 
 ZERO = "z AS (SELECT s_suppkey % 20 AS row, s_nationkey AS pos, (count(*) - 1)::DOUBLE AS x FROM supplier GROUP BY ALL)"
@@ -765,6 +762,52 @@ def gray_adjust(spark, d):
     return imaging.gray_adjust(pixels(spark, d), "image", "r", "g", "b").select("l_orderkey", "l_linenumber", (F.round("gray", 4) + 0.0).alias("gray"))
 
 
+FRAMES = f"{VEC}, g AS (SELECT kp_ind AS image, (pos % 8)::INT AS x, (pos // 8)::INT AS y, x AS v FROM l)"
+TAPS = """k AS (SELECT x, y, floor(sx)::INT + dx AS ix, floor(sy)::INT + dy AS iy, abs(1 - dx - (sx - floor(sx))) * abs(1 - dy - (sy - floor(sy))) AS w FROM t, range(2) a(dx), range(2) b(dy))"""
+
+
+def frames(spark, d):
+    """Vectors as frames of 8 by 8 pixels."""
+    return components_of(spark, d).select(F.col("kp_ind").alias("image"), (F.col("pos") % 8).alias("x"), F.floor(F.col("pos") / 8).cast("int").alias("y"), F.col("x").alias("v"))
+
+
+@query(f"WITH {FRAMES}, t AS (SELECT (i % 8)::INT AS x, (i // 8)::INT AS y, (i % 8) * 1.05::DOUBLE - 0.3::DOUBLE AS sx, (i // 8) * 0.9::DOUBLE + 0.2::DOUBLE AS sy FROM range(64) r(i)), {TAPS} SELECT image, k.x, k.y, {S('sum(w * v)')} AS v FROM k JOIN g ON g.x = ix AND g.y = iy GROUP BY ALL")
+def undistort(spark, d):
+    grid = spark.range(64).select((F.col("id") % 8).cast("int").alias("x"), F.floor(F.col("id") / 8).cast("int").alias("y"))
+    table = grid.select("x", "y", (F.col("x") * 1.05 - 0.3).alias("sx"), (F.col("y") * 0.9 + 0.2).alias("sy"))
+    return imaging.remap(frames(spark, d), table, ["v"]).withColumn("v", r6("v"))
+
+
+@query(f"""WITH {FRAMES}, t AS (SELECT (i % 4)::INT AS x, (i // 4)::INT AS y, (i % 4 + 0.5::DOUBLE) / 0.5::DOUBLE - 0.5::DOUBLE AS sx, (i // 4 + 0.5::DOUBLE) / 0.5::DOUBLE - 0.5::DOUBLE AS sy FROM range(16) r(i)), {TAPS}
+SELECT image, k.x, k.y, {S('sum(w * v)')} AS v FROM k JOIN g ON g.x = least(greatest(ix, 0), 7) AND g.y = least(greatest(iy, 0), 7) GROUP BY ALL""")
+def resize(spark, d):
+    return imaging.resize(frames(spark, d), 0.5, 8, 8, ["v"]).withColumn("v", r6("v"))
+
+
+@query(f"""WITH {FRAMES}, c AS (SELECT *, CASE WHEN x % 2 <> y % 2 THEN 'g' WHEN y % 2 = 0 THEN 'r' ELSE 'b' END AS c FROM g),
+n AS (SELECT a.image, a.x, a.y, b.c, b.v FROM c a JOIN c b ON a.image = b.image AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 WHERE a.c <> b.c OR (a.x = b.x AND a.y = b.y))
+SELECT image, x, y, {S("avg(v) FILTER (c = 'r')")} AS r, {S("avg(v) FILTER (c = 'g')")} AS g, {S("avg(v) FILTER (c = 'b')")} AS b FROM n GROUP BY ALL""")
+def demosaic(spark, d):
+    return imaging.demosaic(frames(spark, d)).select("image", "x", "y", *[r6(c).alias(c) for c in "rgb"])
+
+
+@query(f"WITH {FRAMES} SELECT image, (max(x) + 1)::INT AS width, (max(y) + 1)::INT AS height FROM g WHERE image = (SELECT min(image) FROM g) GROUP BY 1")
+def first_frame_dimensions(spark, d):
+    return imaging.first_dimensions(frames(spark, d))
+
+
+@query(f"WITH {PIX} SELECT l_orderkey, l_linenumber, round(0.299 * r + 0.587 * g + 0.114 * b, 4) + 0.0 AS gray FROM x")
+def grayscale(spark, d):
+    return pixels(spark, d).select("l_orderkey", "l_linenumber", (F.round(imaging.gray(F.col("r"), F.col("g"), F.col("b")), 4) + 0.0).alias("gray"))
+
+
+@query(f"WITH {TOK}, gone AS (SELECT DISTINCT word FROM p WHERE length(word) = 4) SELECT word, count(*) AS postings FROM p WHERE word NOT IN (SELECT word FROM gone) GROUP BY 1")
+def delete_word(spark, d):
+    p = tables.token_postings(spark, d)
+    gone = p.where(F.char_length("word") == 4).select("word").distinct()
+    return bow.without_words(p, gone, "word").groupBy("word").agg(F.count(F.lit(1)).alias("postings"))
+
+
 @query("SELECT event_id, TRY_CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS INT) AS k FROM events WHERE TRY_CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS INT) IS NOT NULL")
 def skip_bad_rows(spark, d):
     e = tables.events(spark, d).select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"))
