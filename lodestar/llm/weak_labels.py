@@ -319,7 +319,7 @@ def learn_lists(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
         for batch in batches:
             data, offsets = texts(batch.column("text"))
             toxic = np.asarray(batch.column("toxic")) < 0
-            for lo, hi in chunks(offsets, 8 << 20):
+            for lo, hi in chunks(offsets, 2 << 20):
                 home, (runs, *heads) = letter_runs(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 mine = toxic[lo:hi]
                 parts = [(2, np.zeros(1, np.uint64), np.array([mine.sum()]), np.array([(~mine).sum()]))]
