@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lodestar.llm.scratch import Scratch
@@ -23,10 +23,10 @@ def components(links: DataFrame, scratch: Scratch, name: str = "components") ->
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         number += 1
-        edges = scratch.keep(small, f"{name}-{number}")
+        sums = Observation()  # taken while the round is written, so that no further job reads it
+        edges = scratch.keep(small.observe(sums, F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")), f"{name}-{number}")
         scratch.drop(f"{name}-{number - 1}")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
-        if now == seen:
+        if sums.get == seen:
             break
-        seen = now
+        seen = sums.get
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())

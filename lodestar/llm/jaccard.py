@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lodestar.llm.components import components
@@ -259,7 +259,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         same = candidates(inner_c, percent, pivots, first).select(F.col("a").alias("ra"), F.explode("partners").alias("rb"))
         return wide.union(same).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a <> b").distinct()
 
-    def links(found: DataFrame, name: str) -> DataFrame:
+    def links(found: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """Verified pairs and how many they are."""
         found = scratch.keep(found, f"{name}-pairs")
         wanted = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
         sets = scratch.keep(_marked(rows, wanted).mapInArrow(_sets(k), "id long, s1 long, s2 long, shingles array<long>"), f"{name}-sets")
@@ -273,12 +274,14 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             both = both.join(held, [f"id_{g}", f"s1_{g}", f"s2_{g}"])
         both = both.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "x", "y")
         common = F.size(F.array_intersect("x", "y"))
-        out = scratch.keep(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct(), f"{name}-links")
+        sums = Observation()
+        out = both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
+        out = scratch.keep(out.observe(sums, F.count(F.lit(1)).alias("n")), f"{name}-links")
         scratch.drop(f"{name}-sets", f"{name}-pairs")
-        return out
+        return out, sums.get["n"]
 
     zero = F.lit(0).cast("long").alias("comp")
-    all_links = links(pairs(outer.select("*", zero), inner.select("*", zero), PIVOTS, True), "first")
+    all_links, _ = links(pairs(outer.select("*", zero), inner.select("*", zero), PIVOTS, True), "first")
     # the rounds after it read large blocks alone
     outer, inner = (scratch.keep(x.join(x.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > FULL_BLOCK).select("token"), "token"), f"large-{i}") for i, x in enumerate((outer, inner)))
     scratch.drop("postings")
@@ -286,17 +289,18 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     known = [F.min(b).alias(b) for b in PARITY]
     by_id = [classes.groupBy(F.col("gkey").alias("id")).agg((F.count(F.lit(1)) == 1).cast("long").alias("solo"), *known), classes.groupBy(F.col("rep").alias("id")).agg((F.count(F.lit(1)) == 1).cast("long").alias("solo"), *known)]
     outer, inner = outer.join(by_id[0], "id"), inner.join(by_id[1], "id")
+    part = scratch.keep(components(all_links, scratch, "stars"), "parts")
     for i, pivots in enumerate((*MIDDLE, None)):
-        part = scratch.keep(components(all_links, scratch, f"stars-{i}"), f"parts-{i}")
         labels = classes.join(part.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         # a group whose sets lie in several components meets everything: it is labelled by its own key
         by_group = labels.groupBy(F.col("gkey").alias("id")).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).select("id", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("id").bitwiseOR(F.lit(-(1 << 63)))).alias("comp"))
         by_class = labels.select(F.col("rep").alias("id"), F.col("component").alias("comp"))
-        all_links = all_links.union(links(pairs(outer.join(by_group, "id"), inner.join(by_class, "id"), pivots, False), f"round-{i}"))
-        scratch.drop(f"parts-{i}")
-    # a group of several components may meet its pairs again
-    all_links = scratch.keep(all_links.distinct(), "links")
-    final = scratch.keep(components(all_links, scratch, "stars"), "parts")
+        new, found = links(pairs(outer.join(by_group, "id"), inner.join(by_class, "id"), pivots, False), f"round-{i}")
+        if found:  # else the components stand
+            # a group of several components may meet its pairs again
+            all_links = scratch.keep(all_links.union(new).distinct(), f"links-{i}")
+            part = scratch.keep(components(all_links, scratch, f"stars-{i}"), f"parts-{i}")
+    final = part
     labelled = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left")
     if counted:
         # a pair that meets in a small block was verified; the rounds left out pairs of large ones alone
