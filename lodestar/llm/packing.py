@@ -17,6 +17,8 @@ from lodestar.llm.words import chunks, texts
 
 CAPACITIES = (512, 1024, 2048, 4096)
 SHARD_ROWS = 20_000
+#: Pieces of words that a worker keeps while it counts tokens; they stay in its memory.
+PIECES = 100_000
 #: Equal rows travel together, at most so many.
 COPIES = 1024
 #: Tokens that a bin costs beside its capacity, and how much dearer a token of the longest bins is than one of very short bins.
@@ -93,7 +95,7 @@ def token_lengths(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", tex
     """Rows (key, n): the tokens of each whole text and one end token. A null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = text_encoder(tokenizer_path)
+        coder = text_encoder(tokenizer_path, PIECES)
         for batch in batches:
             column = batch.column("text")
             _, offsets = texts(column)

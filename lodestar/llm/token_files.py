@@ -242,14 +242,14 @@ class TextEncoder:
         return np.diff(np.concatenate(([0], np.cumsum(self._words(words, False)[1][at])))[bounds])
 
 
-_coders: dict[str, TextEncoder] = {}
+_coders: dict[tuple[str, int], TextEncoder] = {}
 
 
-def text_encoder(path: str) -> TextEncoder:
-    """One encoder a worker process, so that tasks share what it knows."""
-    if path not in _coders:
-        _coders[path] = TextEncoder(path)
-    return _coders[path]
+def text_encoder(path: str, memory: int = 500_000) -> TextEncoder:
+    """One encoder a worker process, so that tasks share what it knows; it stays while the process lives."""
+    if (path, memory) not in _coders:
+        _coders[path, memory] = TextEncoder(path, memory)
+    return _coders[path, memory]
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
