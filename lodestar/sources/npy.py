@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 def read_npy(spark: SparkSession, path: str, dtype: str | None = None) -> DataFrame:
     """(path, row, values): each first-axis entry of each file, row-major whatever its order in the file.
 
-    dtype, where given, must equal the file's, or the read fails.
+    dtype, where given, must equal the file's, or the read fails. Of a whole-number or
+    boolean dtype, values are array<long>; else they are array<double>, and the read fails
+    at a whole number that no double or long holds. An empty array has no rows.
     """
     import pandas as pd
 
+    whole = dtype is not None and np.dtype(dtype).kind in "iub"
+
     def load(batches):
         for pdf in batches:
             for p, content in zip(pdf.path, pdf.content, strict=True):
@@ -24,11 +28,17 @@ def read_npy(spark: SparkSession, path: str, dtype: str | None = None) -> DataFr
                     raise ValueError(f"{p} holds {a.dtype}, not {dtype}")
                 if a.dtype.kind not in "fiub" or a.ndim not in (1, 2):
                     raise ValueError(f"{p}: {a.dtype} of {a.ndim} dimensions is not supported")
-                rows = a.reshape(len(a), -1).astype(float)
+                if not len(a):
+                    continue
+                rows = a.reshape(len(a), a.size // len(a)).astype(np.int64 if whole else float)
+                if a.dtype.kind in "iu" and a.size:
+                    least, most = (-(1 << 63), (1 << 63) - 1) if whole else (-(1 << 53), 1 << 53)
+                    if int(a.min()) < least or int(a.max()) > most:
+                        raise ValueError(f"{p} holds whole numbers that values cannot hold")
                 yield pd.DataFrame({"path": p, "row": range(len(a)), "values": list(rows)})
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(load, "path string, row long, values array<double>")
+    return files.mapInPandas(load, f"path string, row long, values array<{'long' if whole else 'double'}>")
 
 
 def npy_bytes(values: list[list[float]], dtype: str = "<f4") -> bytes:
