@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.scratch import Scratch
-from lodestar.llm.words import _TABLES, Words, chunks, mix, texts, windows
+from lodestar.llm.words import _TABLES, Words, between, chunks, mix, prefix, texts
 
 DIM_BITS = 16
 #: At most so many documents teach the scorers, half of them such as some labeller speaks against.
 SAMPLE = 6000
 #: At most so many labelled documents teach the word lists, those of least key hash.
 LABELLED = 20_000
+#: Texts of about so many bytes are scored at a time; their arrays take some 80 times that.
+SCORED_BYTES = 1 << 18
 HEAD_BYTES = (5, 7, 9)
 #: Words of open insult; two overlapping lists for two labellers.
 INSULTS = ("idiot", "moron", "stupid", "clown", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "dumb", "imbecile", "filthy", "vermin", "retard", "bastard", "bitch", "asshole")
@@ -73,16 +75,15 @@ def word_hashes(words: tuple[str, ...]) -> np.ndarray:
 _LISTS = tuple(word_hashes(x) for x in (INSULTS, STRONG_INSULTS, PERSONAL_INSULTS))
 
 
-def letter_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Text index of each run of letters, and hashes of the whole run and of its beginnings (0 where shorter)."""
+def letter_runs(data: np.ndarray, offsets: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Text index of each run of letters, and hashes of the whole run and of its beginnings (0 where shorter), from the bytes' sums."""
     code = _LETTER[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     begin = np.flatnonzero(code & (edge[:-1] | ~np.concatenate(([False], code[:-1]))[: len(code)]))
     end = np.flatnonzero(code & (edge[1:] | ~np.concatenate((code[1:], [False]))[: len(code)])) + 1
-    units = _TABLES[True][data]
-    heads = [np.where(end - begin > n, windows(units, begin, np.minimum(begin + n, end)) ^ np.uint64(n), np.uint64(0)) for n in HEAD_BYTES]
-    return np.searchsorted(offsets, begin, "right") - 1, [windows(units, begin, end), *heads]
+    heads = [np.where(end - begin > n, between(sums, begin, np.minimum(begin + n, end)) ^ np.uint64(n), np.uint64(0)) for n in HEAD_BYTES]
+    return np.searchsorted(offsets, begin, "right") - 1, [between(sums, begin, end), *heads]
 
 
 class Lists:
@@ -107,7 +108,8 @@ class _Chunk:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         n = len(offsets) - 1
-        w = Words(data, offsets, lower=True)
+        hashed = prefix(_TABLES[True][data])
+        w = Words(data, offsets, lower=True, sums=hashed)
         doc = np.repeat(np.arange(n), w.counts)
         many = np.maximum(w.counts, 1)
 
@@ -128,8 +130,8 @@ class _Chunk:
             "bare": of_words(solid[w.ends] == solid[w.starts]), "repeats": of_words(same), "other": 1 - letters / length - part(data == 32) / length,
         }
         self.empty = w.counts == 0
-        self.home, (self.runs, *self.heads) = letter_runs(data, offsets)  # an insult counts without the marks around it
-        self.w, self.doc, self.n, self.data = w, doc, n, data
+        self.home, (self.runs, *self.heads) = letter_runs(data, offsets, hashed)  # an insult counts without the marks around it
+        self.w, self.doc, self.n, self.hashed = w, doc, n, hashed
 
     def votes(self, lists: Lists) -> np.ndarray:
         """A bit for each labeller that speaks against a text, the junk rules' first."""
@@ -148,7 +150,7 @@ class _Chunk:
     def features(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct hashed features of each text: runs of letters, their beginnings, the last two bytes of words, statistics by twentieths."""
         w, size = self.w, np.uint64(64 - DIM_BITS)
-        tails = windows(_TABLES[True][self.data], np.maximum(w.ends - 2, w.starts), w.ends) ^ np.uint64(2)
+        tails = between(self.hashed, np.maximum(w.ends - 2, w.starts), w.ends) ^ np.uint64(2)
         levels = np.stack([np.minimum(x * 20, 20).astype(np.uint64) for x in self.stats.values()], 1)
         dense = mix((np.arange(levels.shape[1], dtype=np.uint64)[None] + np.uint64(1)) * np.uint64(1000) + levels)
         parts = [(self.home, self.runs), (self.doc, tails), (np.repeat(np.arange(self.n), dense.shape[1]), dense.ravel())]
@@ -165,10 +167,11 @@ def votes_of(masks: np.ndarray) -> np.ndarray:
     return -((np.asarray(masks, np.int64)[:, None] >> np.arange(LABELLERS)) & 1).astype(np.int8)
 
 
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, _Chunk]]:
+def _each(batches: Iterator[pa.RecordBatch], at: int | str = "text") -> Iterator[tuple[pa.RecordBatch, _Chunk]]:
+    """Slices of the batches and what their texts, in column ``at``, hold."""
     for batch in batches:
-        data, offsets = texts(batch.column("text"))
-        for lo, hi in chunks(offsets):
+        data, offsets = texts(batch.column(at))
+        for lo, hi in chunks(offsets, SCORED_BYTES):
             yield batch.slice(lo, hi - lo), _Chunk(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
 
 
@@ -320,7 +323,8 @@ def learn_lists(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
             data, offsets = texts(batch.column("text"))
             toxic = np.asarray(batch.column("toxic")) < 0
             for lo, hi in chunks(offsets, 2 << 20):
-                home, (runs, *heads) = letter_runs(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                part = data[offsets[lo] : offsets[hi]]
+                home, (runs, *heads) = letter_runs(part, offsets[lo : hi + 1] - offsets[lo], prefix(_TABLES[True][part]))
                 mine = toxic[lo:hi]
                 parts = [(2, np.zeros(1, np.uint64), np.array([mine.sum()]), np.array([(~mine).sum()]))]
                 for kind, hashes in ((0, runs), *[(1, h) for h in heads]):
@@ -430,11 +434,8 @@ def good_documents(docs: DataFrame, labels: DataFrame | None = None, key: str =
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for _, chunk in _each([pa.RecordBatch.from_arrays([batch.column(at)], ["text"])]):
-                quality, clean = shared.value.scores(chunk)
-                keep.append((quality >= threshold) & (clean >= threshold) & ~chunk.empty)
-            yield batch.filter(pa.array(np.concatenate([*keep, np.zeros(0, bool)])))
+        for rows, chunk in _each(batches, at):
+            quality, clean = shared.value.scores(chunk)
+            yield rows.filter(pa.array((quality >= threshold) & (clean >= threshold) & ~chunk.empty))
 
     return docs.mapInArrow(run, docs.schema)

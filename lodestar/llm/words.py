@@ -48,18 +48,29 @@ def _table(lower: bool) -> np.ndarray:
 _TABLES = {flag: _table(flag) for flag in (False, True)}
 
 
-def windows(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of units[start:end] for each pair, independent of where it stands."""
-    power, inverse = powers(len(units) + 1)
+def prefix(units: np.ndarray) -> np.ndarray:
+    """Sums that hash any window of units; see between()."""
+    with np.errstate(over="ignore"):
+        return np.concatenate(([np.uint64(0)], np.cumsum(units * powers(len(units) + 1)[0][: len(units)], dtype=np.uint64)))
+
+
+def between(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of units[start:end] for each pair, independent of where it stands, from their prefix()."""
     with np.errstate(over="ignore"):
-        sums = np.concatenate(([np.uint64(0)], np.cumsum(units * power[: len(units)], dtype=np.uint64)))
-        return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _P)
+        return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts] + (ends - starts).astype(np.uint64) * _P)
+
+
+def windows(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return between(prefix(units), starts, ends)
 
 
 class Words:
-    """Words of a run of texts: starts, ends (bytes), hashes, and per text the slice first[i]:first[i + 1]."""
+    """Words of a run of texts: starts, ends (bytes), hashes, and per text the slice first[i]:first[i + 1].
+
+    sums: the prefix() of the bytes' units, where the caller has it.
+    """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, sums: np.ndarray | None = None):
         space = np.ones(len(data) + 2, bool)
         space[1:-1] = _SPACE[data]
         edge = np.zeros(len(data) + 1, bool)
@@ -67,7 +78,7 @@ class Words:
         inside = ~space[1:]
         self.starts = np.flatnonzero(inside[: len(data)] & (space[: len(data)] | edge[: len(data)]))
         self.ends = np.flatnonzero(~space[1:-1] & (space[2:] | edge[1:])) + 1
-        self.hashes = windows(_TABLES[lower][data], self.starts, self.ends)
+        self.hashes = between(prefix(_TABLES[lower][data]) if sums is None else sums, self.starts, self.ends)
         self.first = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.first)
 
