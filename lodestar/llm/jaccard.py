@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.components import components
 from lodestar.llm.scratch import Scratch
-from lodestar.llm.words import Words, chunks, mix, texts, windows
+from lodestar.llm.words import Words, chunks, mix, texts, tidy, windows
 
 SKETCH_BITS = 18
 FULL_BLOCK = 8  # up to so many groups of one shingle, the first round pairs all
@@ -82,6 +82,7 @@ def count_sketch(docs: DataFrame, text: str, k: int, bits: int = SKETCH_BITS) ->
     blocks = 64
     wide = (1 << bits) // blocks
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
         for batch in batches:
@@ -114,6 +115,7 @@ def signatures(docs: DataFrame, text: str, k: int, percent: int, classes: np.nda
     """Rows (id, n, s1, s2, gkey, prefix, b0 to b3): set size, two hashes of the set, group key, prefix in global order and parities."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)  # 2**SKETCH_BITS bytes
 
+    @tidy
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency, bits = shared.value, int(len(shared.value)).bit_length() - 1
         for batch in batches:
@@ -182,6 +184,7 @@ def candidates(postings: DataFrame, percent: int, pivots: int | None, first: boo
             if len(j):
                 yield ids[i], ids[j]
 
+    @tidy
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         def emit(cols):
@@ -369,6 +372,7 @@ def all_degrees(rows: DataFrame, classes: DataFrame, parts: DataFrame, k: int, p
     return some.groupBy("rep").agg(F.sum("n").cast("long").alias("n_links"))
 
 
+@tidy
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by token, those whose token stands in more than one row."""
     before, held = None, None  # the token before the held last row, and that row
@@ -399,6 +403,7 @@ def _marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _sets(k: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = 0

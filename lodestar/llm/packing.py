@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.scratch import Scratch
 from lodestar.llm.token_files import text_encoder
-from lodestar.llm.words import chunks, texts
+from lodestar.llm.words import chunks, texts, tidy
 
 CAPACITIES = (512, 1024, 2048, 4096)
 SHARD_ROWS = 20_000
@@ -94,6 +94,7 @@ def best_fit(sizes: Sequence[int], capacities: Sequence[int], overhead: float =
 def token_lengths(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, n): the tokens of each whole text and one end token. A null text counts as empty."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = text_encoder(tokenizer_path, PIECES)
         for batch in batches:

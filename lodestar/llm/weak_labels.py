@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.scratch import Scratch
-from lodestar.llm.words import _TABLES, Words, between, chunks, mix, prefix, texts
+from lodestar.llm.words import _TABLES, Words, between, chunks, mix, prefix, texts, tidy
 
 DIM_BITS = 16
 #: At most so many documents teach the scorers, half of them such as some labeller speaks against.
 SAMPLE = 6000
 #: At most so many labelled documents teach the word lists, those of least key hash.
 LABELLED = 20_000
-#: Texts of about so many bytes are scored at a time; their arrays take some 80 times that.
+#: Texts of about so many bytes are scored at a time.
 SCORED_BYTES = 1 << 18
 HEAD_BYTES = (5, 7, 9)
 #: Words of open insult; two overlapping lists for two labellers.
@@ -318,11 +318,12 @@ def learn_lists(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     bounded = _known(labels, key, True).where("toxic <> 0").orderBy(F.xxhash64("key"), "key").limit(labelled)
     rows = _rows(docs, key, text).join(F.broadcast(bounded), "key").dropDuplicates(["text", "toxic"])  # labelled rows of 16 bytes
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = texts(batch.column("text"))
             toxic = np.asarray(batch.column("toxic")) < 0
-            for lo, hi in chunks(offsets, 2 << 20):
+            for lo, hi in chunks(offsets, 2 * SCORED_BYTES):
                 part = data[offsets[lo] : offsets[hi]]
                 home, (runs, *heads) = letter_runs(part, offsets[lo : hi + 1] - offsets[lo], prefix(_TABLES[True][part]))
                 mine = toxic[lo:hi]
@@ -371,6 +372,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", t
     lists = learn_lists(docs, labels, key, text, scratch=scratch) if labels is not None else NOTHING_TAUGHT
     rows = _rows(docs, key, text).withColumn("h", F.xxhash64("key", "text"))
 
+    @tidy
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, chunk in _each(batches):
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("h"), pa.array(chunk.votes(lists), pa.int32())], ["key", "h", "votes"])
@@ -392,6 +394,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", t
     scratch.drop("votes")
     chosen = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(h,) for h in some], "h long")), "h").select("key", "text", "h")
 
+    @tidy
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, chunk in _each(batches):
             flat, at = chunk.features()
@@ -418,6 +421,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_i
     model = model or fit(docs, labels, key, text)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 * 2**DIM_BITS weights
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, chunk in _each(batches):
             (quality, clean), (a, b) = shared.value.scores(chunk), shared.value.labels(chunk)
@@ -433,6 +437,7 @@ def good_documents(docs: DataFrame, labels: DataFrame | None = None, key: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, chunk in _each(batches, at):
             quality, clean = shared.value.scores(chunk)
