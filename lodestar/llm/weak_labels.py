@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.scratch import Scratch
-from lodestar.llm.words import _TABLES, Words, between, chunks, mix, prefix, texts, tidy
+from lodestar.llm.words import _TABLES, Words, between, chunks, mix, prefix, release, texts, tidy
 
 DIM_BITS = 16
 #: At most so many documents teach the scorers, half of them such as some labeller speaks against.
@@ -402,9 +402,12 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", t
 
     got = {r.h: r for r in chosen.dropDuplicates(["h"]).mapInArrow(featured, "h long, votes int, features binary").toLocalIterator()}
     got = [got[h] for h in sorted(got)]
-    features = [np.frombuffer(r.features, np.uint16).astype(np.int64) for r in got]
+    features = [np.frombuffer(r.features, np.uint16) for r in got]
     own = votes_of([r.votes for r in got])
-    return QualityModel(lists, models, [train_scorer(features, 1 - m.posterior(own[:, p])) for m, p in zip(models, QualityModel.parts, strict=True)])
+    weights = [train_scorer(features, 1 - m.posterior(own[:, p])) for m, p in zip(models, QualityModel.parts, strict=True)]
+    del got, features
+    release()  # the driver lives on for the stages after it
+    return QualityModel(lists, models, weights)
 
 
 SCORES = "key long, quality double, clean double, quality_label double, clean_label double, keep boolean"
