@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.scratch import Scratch
 from lodestar.llm.token_files import text_encoder
-from lodestar.llm.words import chunks, texts, tidy
+from lodestar.llm.words import chunks, release, texts, tidy
 
 CAPACITIES = (512, 1024, 2048, 4096)
 SHARD_ROWS = 20_000
@@ -97,6 +97,7 @@ def token_lengths(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", tex
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = text_encoder(tokenizer_path, PIECES)
+        release()  # what reading its file took
         for batch in batches:
             column = batch.column("text")
             _, offsets = texts(column)

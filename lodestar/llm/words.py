@@ -20,6 +20,8 @@ _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 CHUNK_BYTES = 1 << 20
+#: Batches of so many bytes leave enough free memory behind to give it back.
+LARGE_BYTES = 8 << 20
 _powers: list[np.ndarray] = []
 
 
@@ -121,11 +123,18 @@ def release() -> None:
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for mapInArrow; once its rows are out, the worker gives free memory back instead of holding it for its next task."""
+    """``run`` for mapInArrow; the worker gives free memory back after each large batch and at the end, instead of holding it."""
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            if batch.nbytes >= LARGE_BYTES:
+                del batch
+                release()
 
     @wraps(run)
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        yield from run(taken(batches))
         release()
 
     return tidied
