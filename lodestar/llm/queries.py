@@ -1,4 +1,4 @@
-"""The ten operators over whole tables, with production parameters, and their SQL."""
+"""The numbered operators over whole tables, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, jaccard, line_runs, packing, repeats, sharding, syncmers, token_counts, token_files, weak_labels
+from lodestar.llm import audit, decontaminate, jaccard, line_runs, packing, repeats, sharding, syncmers, token_counts, token_files, weak_labels
 from lodestar.llm.scratch import Scratch
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -60,13 +60,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(blocks).withColumnRenamed("key", "doc_id")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each filter in all 120 orders, for each source."""
+    return audit.audit(table(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    every = (op1_fingerprints, op2_sharding, op3_jaccard, op4_token_counts, op5_line_dedup, op6_decontaminate, op7_repeats, op8_quality, op9_packing, op10_token_files)
+    every = (op1_fingerprints, op2_sharding, op3_jaccard, op4_token_counts, op5_line_dedup, op6_decontaminate, op7_repeats, op8_quality, op9_packing, op10_token_files, op12_filter_audit)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard": OP3, "op5_line_dedup": OP5, "op7_repeats": OP7}
+    return {"op3_jaccard": OP3, "op5_line_dedup": OP5, "op7_repeats": OP7, "op12_filter_audit": OP12}
 
 
 OP5 = r"""
@@ -107,3 +112,22 @@ q AS (SELECT a AS rep, count(*) AS links FROM l GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.component, d.doc_id) AS component_id, coalesce(q.links, 0) AS n_links
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.s = n.s LEFT JOIN m ON m.rep = c.rep LEFT JOIN q ON q.rep = c.rep
 """
+
+#: Failure masks of five filters, then every order of them; 120 over the number of failed filters is each one's share of all orders.
+OP12 = r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+m AS (SELECT doc_id, part, (len(words) < 50)::INT + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::INT + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text))::INT
+  + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * (doc_id > first)::INT AS mask FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(letter, bit)),
+o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || letter FROM o JOIN f ON NOT contains(filter_order, letter)),
+s AS (SELECT filter_order, i::INT AS step, f.bit, (SELECT coalesce(sum(g.bit), 0)::INT FROM f g WHERE strpos(filter_order, g.letter) < i) AS gone
+  FROM o CROSS JOIN generate_series(1, 5) x(i) JOIN f ON f.letter = substr(filter_order, i, 1) WHERE length(filter_order) = 5)
+SELECT part, filter_order, step, coalesce(sum(n) FILTER (mask & (gone | bit) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & gone = 0), 0)::BIGINT AS removed,
+       coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & gone <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+       coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & gone = 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & gone = 0), 0)::BIGINT AS toxic_lost,
+       coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) FILTER (mask & bit <> 0), 0)::BIGINT AS shapley
+FROM c CROSS JOIN s GROUP BY part, filter_order, step
+"""
