@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import audit, decontaminate, jaccard, line_runs, packing, repeats, sharding, syncmers, token_counts, token_files, weak_labels
+from lodestar.llm import audit, decontaminate, jaccard, lexical, line_runs, packing, repeats, sharding, syncmers, token_counts, token_files, weak_labels
 from lodestar.llm.scratch import Scratch
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -65,13 +65,18 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of each benchmark item."""
+    return lexical.ranked(table(spark, sf_dir), table(spark, sf_dir, "benchmark"), Scratch(spark, "op13"))
+
+
 def queries() -> dict:
-    every = (op1_fingerprints, op2_sharding, op3_jaccard, op4_token_counts, op5_line_dedup, op6_decontaminate, op7_repeats, op8_quality, op9_packing, op10_token_files, op12_filter_audit)
+    every = (op1_fingerprints, op2_sharding, op3_jaccard, op4_token_counts, op5_line_dedup, op6_decontaminate, op7_repeats, op8_quality, op9_packing, op10_token_files, op12_filter_audit, op13_ranked_search)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard": OP3, "op5_line_dedup": OP5, "op7_repeats": OP7, "op12_filter_audit": OP12}
+    return {"op3_jaccard": OP3, "op5_line_dedup": OP5, "op7_repeats": OP7, "op12_filter_audit": OP12, "op13_ranked_search": OP13}
 
 
 OP5 = r"""
@@ -131,3 +136,14 @@ SELECT part, filter_order, step, coalesce(sum(n) FILTER (mask & (gone | bit) = 0
        coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) FILTER (mask & bit <> 0), 0)::BIGINT AS shapley
 FROM c CROSS JOIN s GROUP BY part, filter_order, step
 """
+
+#: Scores in 64-bit integers; // rounds down.
+OP13 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT count(*)::BIGINT AS docs, sum(len(terms))::BIGINT AS total FROM d WHERE len(terms) > 0),
+p AS (SELECT doc_id, term, count(*)::BIGINT AS tf, any_value(n) AS n FROM (SELECT doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d) GROUP BY doc_id, term),
+f AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p CROSS JOIN s GROUP BY term, docs),
+r AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // total))))::BIGINT AS score FROM q JOIN p USING (term) JOIN f USING (term) CROSS JOIN s GROUP BY item_id, doc_id)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank FROM r WHERE score > 0) WHERE rank <= 50
+"""
