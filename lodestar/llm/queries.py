@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import audit, decontaminate, jaccard, lexical, line_runs, packing, repeats, sharding, syncmers, token_counts, token_files, weak_labels
+from lodestar.llm import audit, decontaminate, jaccard, lexical, line_runs, packing, repeats, sharding, suffixes, syncmers, token_counts, token_files, weak_labels
 from lodestar.llm.scratch import Scratch
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -60,6 +60,13 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(blocks).withColumnRenamed("key", "doc_id")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without 200-byte strings that start in two places."""
+    out = suffixes.remove_repeats(table(spark, sf_dir))
+    n_removed = F.col("n_bytes") - F.octet_length("kept")
+    return out.select("doc_id", "n_bytes", n_removed.alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of each filter in all 120 orders, for each source."""
     return audit.audit(table(spark, sf_dir), table(spark, sf_dir, "labels"))
@@ -71,7 +78,7 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    every = (op1_fingerprints, op2_sharding, op3_jaccard, op4_token_counts, op5_line_dedup, op6_decontaminate, op7_repeats, op8_quality, op9_packing, op10_token_files, op12_filter_audit, op13_ranked_search)
+    every = (op1_fingerprints, op2_sharding, op3_jaccard, op4_token_counts, op5_line_dedup, op6_decontaminate, op7_repeats, op8_quality, op9_packing, op10_token_files, op11_suffix_dedup, op12_filter_audit, op13_ranked_search)
     return {f.__name__: f for f in every}
 
 
