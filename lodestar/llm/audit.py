@@ -79,9 +79,9 @@ def failures(docs: DataFrame, key: str = "doc_id", text: str = "text", part: str
             yield pa.RecordBatch.from_pylist([{"slot": slot, "document": False, "print": mark, "digest": d} for d in sorted(held)], _SCHEMA)
 
     found = scratch.keep(ranged.mapInArrow(judge, _OUT), "masks")
-    # one row a range, as 64 bits of fingerprint hold one text but by rare chance
+    # one row a range, as 64 bits of fingerprint hold one text but by rare chance: that bounds the broadcast by the number of ranges
     ends = found.where("not document").groupBy("print", "digest").agg(F.min("slot").alias("_first"))
-    known = found.where("document").join(ends, ["print", "digest"], "left")
+    known = found.where("document").join(F.broadcast(ends), ["print", "digest"], "left")
     mask = F.when(F.col("_first") < F.col("slot"), F.col("mask").bitwiseOR(copy)).otherwise(F.col("mask"))
     return known.select(F.col("key").alias(key), "part", mask.alias("mask"))
 
