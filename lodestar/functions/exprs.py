@@ -80,6 +80,12 @@ def sign_bits(vector: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
 
 
+def sign_words(vector: Column) -> Column:
+    """The signs of a long vector as an array of 64-bit words; the last one is padded with zeros."""
+    starts = F.sequence(F.lit(1), F.size(vector), F.lit(64))
+    return F.transform(starts, lambda at: sign_bits(F.slice(vector, at, F.lit(64))))
+
+
 def in_box(x: Column, low: Column, high: Column) -> Column:
     """low[j] <= x[j] < high[j] in every dimension."""
     return F.forall(F.arrays_zip(x.alias("x"), low.alias("l"), high.alias("h")), lambda t: (t["l"] <= t["x"]) & (t["x"] < t["h"]))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import exprs as X
 from lodestar.operators import bow, cluster, imaging, linalg, trajectory, vlad
-from lodestar.operators.knn import knn, lsh_candidates, nearest, ratio_test
+from lodestar.operators.knn import hamming_knn as banded_knn
+from lodestar.operators.knn import knn, lsh_candidates, ratio_test
 from lodestar.sources import datasets, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,7 +181,7 @@ def split(spark, d):
 
 def hamming2(spark, d):
     q, m = split(spark, d)
-    return knn(q, m, X.hamming, 2, "bits", "q", "word_id")
+    return knn(q, m, "hamming", 2, "bits", "q", "word_id")
 
 
 HK = f"""{VEC}, h AS (SELECT q.kp_ind AS q, m.kp_ind AS word_id, {HAM.format('q.bits', 'm.bits')} AS dist FROM b q, b m WHERE q.image_id >= 20 AND m.image_id < 20),
@@ -201,6 +202,18 @@ def ratio_test_matches(spark, d):
 QUERIES["ratio_test"], SQL["ratio_test"] = QUERIES.pop("ratio_test_matches"), SQL.pop("ratio_test_matches")
 
 
+#: 256 bits: the signs of a vector and of its rotations by 16, 32 and 48 places, so that copies and near copies share slices.
+WIDE = f"""{VEC}, w AS (SELECT image_id, kp_ind, (pos // 64)::INT AS word, bit_or(CASE WHEN x > 0 THEN CASE WHEN pos % 64 = 63 THEN (-9223372036854775808)::BIGINT ELSE 1::BIGINT << (pos % 64)::INT END ELSE 0::BIGINT END) AS bits
+FROM (SELECT image_id, kp_ind, x, t.turn * 64 + (pos + 64 - 16 * t.turn) % 64 AS pos FROM l CROSS JOIN range(4) t(turn)) GROUP BY ALL),
+h AS (SELECT q.kp_ind AS q, m.kp_ind AS word_id, sum(bit_count(xor(q.bits, m.bits)))::INT AS dist FROM w q JOIN w m USING (word) WHERE q.image_id >= 20 AND m.image_id < 20 GROUP BY ALL)"""
+
+
+@query(f"WITH {WIDE} SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY q ORDER BY dist, word_id))::INT AS rank FROM h) WHERE rank <= 2")
+def wide_hamming_knn(spark, d):
+    q, m = (x.withColumn("wide", X.sign_words(F.concat(*[F.concat(F.slice("vec", 16 * t + 1, 64 - 16 * t), F.slice("vec", 1, 16 * t)) if t else F.col("vec") for t in range(4)]))) for x in split(spark, d))
+    return banded_knn(q, m, 2, "wide", "q", "word_id")
+
+
 def knn_sql(term: str) -> str:
     return f"""WITH {VEC}, h AS (SELECT q.kp_ind AS q, m.kp_ind AS word_id, round(sum({term}), 6) + 0.0 AS dist FROM l q JOIN l m ON q.pos = m.pos WHERE q.image_id >= 20 AND m.image_id < 20 GROUP BY ALL)
 SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY q ORDER BY dist, word_id))::INT AS rank FROM h) WHERE rank <= 5"""
@@ -209,13 +222,13 @@ SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY q ORDER BY dist, word_
 @query(knn_sql("(q.x - m.x) * (q.x - m.x)"))
 def l2_knn(spark, d):
     q, m = split(spark, d)
-    return knn(q, m, lambda a, b: r6(X.sq_euclidean(a, b)), 5, "vec", "q", "word_id")
+    return knn(q, m, "l2", 5, "vec", "q", "word_id", 6)
 
 
 @query(knn_sql("abs(q.x - m.x)"))
 def l1_knn(spark, d):
     q, m = split(spark, d)
-    return knn(q, m, lambda a, b: r6(X.manhattan(a, b)), 5, "vec", "q", "word_id")
+    return knn(q, m, "l1", 5, "vec", "q", "word_id", 6)
 
 
 @query(f"WITH {VEC} SELECT kp_ind FROM v WHERE vec[1] >= -0.1 AND vec[1] < 0.1 AND vec[2] >= 0 AND vec[2] < 0.2")
@@ -291,7 +304,7 @@ def vlad_rebase(spark, d):
 SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY image_id ORDER BY dist, base_id))::INT AS rank FROM h) WHERE rank <= 5""")
 def vlad_query(spark, d):
     flat = vlad.flattened(normal(spark, d))
-    return knn(flat.where("image_id >= 20"), flat.where("image_id < 20").withColumnRenamed("image_id", "base_id"), lambda a, b: r6(X.sq_euclidean(a, b)), 5, "vec", "image_id", "base_id")
+    return knn(flat.where("image_id >= 20"), flat.where("image_id < 20").withColumnRenamed("image_id", "base_id"), "l2", 5, "vec", "image_id", "base_id", 6)
 
 
 @query(f"""WITH {FLAT}, h AS (SELECT m.image_id, sqrt(round(sum((q.v - m.v) * (q.v - m.v)), 9)) AS score FROM nv q JOIN nv m ON q.k = m.k AND q.pos = m.pos WHERE q.image_id = 24 AND m.image_id BETWEEN 5 AND 14 GROUP BY ALL)
