@@ -11,14 +11,17 @@ windows that it names form a stretch of less than two windows. Then
    smaller than their successors directly, the rest induced from them by bucket scans;
 3. windows whose common prefix with a neighbour in that order spans the window repeat.
 
-Names of very many different stretches, as at the edges of a passage that a third of all
-documents hold, are settled window by window with 128-bit hashes in an aggregation, so
-that no task has to hold such a group.
+A name of very many different stretches, as at the edges of a passage that a third of all
+documents hold, is no group for one task. Its windows are named anew, by what the windows
+of 16 neighbouring offsets of the seed have in common, and counted again; what is still
+many then, the windows that reach a few bytes over such an edge, is counted window by
+window under 128-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,10 @@ from lodestar.llm.words import _TABLES, CHUNK_BYTES, between, chunks, mix, power
 
 WINDOW, SEED = 200, 32
 BUCKET_BYTES = 16 << 20
-#: Stretches of one name that are sorted together; more are settled window by window.
-GROUP_LIMIT = 1 << 13
+#: Stretches of one name that are sorted together; those of a name of more are named anew.
+GROUP_LIMIT = 1 << 11
+#: Offsets of the seed that the first and the second new name comprise.
+FINER = (16, 1)
 #: Bytes whose suffixes are sorted together, but that one name's stretches are never parted.
 SORT_BYTES = 2 << 20
 _HELD = 1 << 20
@@ -133,13 +138,14 @@ def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int =
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, ...]:
-    """(name, hash, text, place, windows) of each stretch of up to _PLACE bytes of texts, in order.
+    """(name, hash, text, place, windows, offset) of each stretch of up to _PLACE bytes of texts, in order.
 
-    place is the first window's in its text; a stretch holds ``windows + window - 1`` bytes.
+    place is the first window's in its text, offset the seed's in that window; a stretch
+    holds ``windows + window - 1`` bytes.
     """
     n, span = len(data), window - seed + 1
     if n < window:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64))
     sums = prefix(_TABLES[False][data])
     with np.errstate(over="ignore"):
         seeds = (sums[seed:] - sums[:-seed]) * powers(n + 1)[1][: n - seed + 1]
@@ -153,7 +159,23 @@ def stretches(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, seed:
     count = np.diff(first, append=len(at))
     begin = starts[first]
     doc = np.searchsorted(offsets, begin, "right") - 1
-    return mix(seeds[at[first]]), between(sums, begin, begin + count + window - 1), doc, begin - offsets[doc], count
+    return mix(seeds[at[first]]), between(sums, begin, begin + count + window - 1), doc, begin - offsets[doc], count, at[first] - begin
+
+
+def finer(text: np.ndarray, place: np.ndarray, count: np.ndarray, offset: np.ndarray, window: int, step: int) -> tuple[np.ndarray, ...]:
+    """(name, hash, place, windows, offset) of the parts of stretches whose seeds stand at ``step`` neighbouring offsets.
+
+    The new name is the hash of the bytes that all windows of those offsets hold; equal windows have equal names.
+    """
+    seed, low = place + offset, (offset - count + 1) // step
+    classes = offset // step - low + 1
+    of, kind = np.repeat(np.arange(len(place)), classes), np.repeat(low, classes) + ragged(classes)
+    begin = np.maximum(place[of], seed[of] - kind * step - step + 1)
+    last = np.minimum(place[of] + count[of] - 1, seed[of] - kind * step)
+    core = seed[of] - kind * step
+    units = _TABLES[False][text]
+    name = mix(between(prefix(units), core, core + window - step + 1) ^ mix(kind.astype(np.uint64)))
+    return name, between(prefix(mix(units)), begin, last + window), begin, last - begin + 1, seed[of] - begin
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
@@ -194,14 +216,17 @@ class _Groups:
 
 
 _STRETCH = "name long, content long, row long, check int, spot long, twice boolean, known boolean"
-_CUT = "name long, row long, check int, spot long, bytes binary"
-_HASHED = "h1 long, h2 long, row long, check int, spot long"
 _MARK = "row long, check int, spot long"
 
 
-def _spot(place, count):
-    """A run of 1 to 256 windows in one number."""
-    return place << 8 | count - 1
+def _spot(place: np.ndarray, count: np.ndarray, offset: np.ndarray | int = 0) -> np.ndarray:
+    """A run of 1 to 256 windows and the seed's offset in the first, in one number."""
+    return place << 16 | offset << 8 | count - 1
+
+
+def _run(spot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, windows, offset)."""
+    return spot >> 16, (spot & 255) + 1, spot >> 8 & 255
 
 
 def _wanted(rows: pa.Table, asked: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
@@ -242,13 +267,13 @@ def repeated_windows(cut: pa.Table, window: int, sort_bytes: int = SORT_BYTES) -
         lo = hi
     of, place, count = (np.concatenate(x) for x in zip(*found, strict=True))
     out = cut.select(["row", "check"]).take(pa.array(of))
-    return out.append_column("spot", pa.array(_spot((spots[of] >> 8) + place, count)))
+    return out.append_column("spot", pa.array(_spot(_run(spots[of])[0] + place, count)))
 
 
 def _gone(size: int, spots: np.ndarray, window: int) -> np.ndarray:
     """Bounds [start, stop, start, stop, ...] of what the marked windows cover."""
-    start = spots >> 8
-    change = np.bincount(start, minlength=size + 1) - np.bincount(start + (spots & 255) + window, minlength=size + 1)
+    start, count, _ = _run(spots)
+    change = np.bincount(start, minlength=size + 1) - np.bincount(start + count + window - 1, minlength=size + 1)
     return np.flatnonzero(np.diff(np.cumsum(change)[:size] > 0, prepend=False, append=False))
 
 
@@ -277,8 +302,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
             data, offsets = texts(batch.column("text"))
             row, check = np.asarray(batch.column("row")), np.asarray(batch.column("check"))
             for part, own, doc, at in _pieces(data, offsets, window):
-                name, content, of, place, count = stretches(part, own, window, seed)
-                if len(name) and out.add(name, content, row[doc + of], check[doc + of], _spot(place + at, count)):
+                name, content, of, place, count, offset = stretches(part, own, window, seed)
+                if len(name) and out.add(name, content, row[doc + of], check[doc + of], _spot(place + at, count, offset)):
                     yield from out.flush()
         yield from out.flush()
         release()
@@ -287,49 +312,61 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     dealt = in_bucket(rows.where(F.octet_length("text") >= window), "row")
     sent = scratch.keep(rows.where(F.octet_length("text") >= window).select("row", "check", "text").mapInArrow(cut, _STRETCH), "stretches")
 
-    # stretches of one content, and contents of one name, counted in one pass over rows dealt by name
-    of_content, of_name = "PARTITION BY name, content", "PARTITION BY name"
-    counted = (
-        sent.where("not known").drop("known").repartition("name")
-        .withColumn("nth", F.expr(f"row_number() OVER ({of_content} ORDER BY row, check, spot)")).withColumn("same", F.expr(f"count(1) OVER ({of_content})"))
-        .withColumn("contents", F.expr(f"sum(if(nth = 1, 1, 0)) OVER ({of_name})"))
-        .select("name", "row", "check", "spot", (F.col("twice") | (F.col("same") > 1)).alias("marked"), ((F.col("nth") == 1) & (F.col("contents") > 1)).alias("asked"), (F.col("contents") > group_limit).alias("many"))
-        .where("marked or asked")
-    )
-    found = scratch.keep(counted, "counted")
-
-    def extract(many: bool):
+    def counted(stretch: DataFrame, name: str) -> DataFrame:
+        """Stretches that repeat as a whole (marked), and one of each content where a name has several (asked).
+
+        Both counts are taken in one pass over rows dealt by name; windows spill.
+        """
+        of_content, of_name = "PARTITION BY name, content", "PARTITION BY name"
+        rows = stretch.where("not known").select("name", "content", "row", "check", "spot", "twice").repartition("name")
+        rows = rows.withColumn("nth", F.expr(f"row_number() OVER ({of_content} ORDER BY row, check, spot)")).withColumn("same", F.expr(f"count(1) OVER ({of_content})"))
+        rows = rows.withColumn("contents", F.expr(f"sum(if(nth = 1, 1, 0)) OVER ({of_name})"))
+        told = rows.select("name", "row", "check", "spot", (F.col("twice") | (F.col("same") > 1)).alias("marked"), ((F.col("nth") == 1) & (F.col("contents") > 1)).alias("asked"), (F.col("contents") > group_limit).alias("many"))
+        return scratch.keep(told.where("marked or asked"), name)
+
+    def extracted(step: int):
+        """Bytes of the stretches that are asked for; of names of too many of them, the parts under their new names instead."""
+
         def run(table: pa.Table, asked: pa.Table) -> pa.Table:
-            out = [[] for _ in range(5)]
-            column, spots, names = table.column("text"), np.asarray(asked.column("spot")), np.asarray(asked.column("name"))
+            parts, out, column = _Groups(), [], table.column("text")
+            row, check = np.asarray(table.column("row")), np.asarray(table.column("check"))
+            spots, names, many = np.asarray(asked.column("spot")), np.asarray(asked.column("name")), np.asarray(asked.column("many"))
             for i, mine in _wanted(table, asked):
                 data = column[i].as_py()
-                places, counts = spots[mine] >> 8, (spots[mine] & 255) + 1
-                if many:
-                    units = np.frombuffer(data, np.uint8)
-                    at = np.repeat(places, counts) + ragged(counts)
-                    hashes = [between(prefix(t), at, at + window).view(np.int64) for t in (_TABLES[False][units], mix(_TABLES[False][units]))]
-                    rest = [_spot(at, 1)]
-                else:
-                    hashes, rest = [names[mine]], [spots[mine], np.array([data[a : a + n + window - 1] for a, n in zip(places.tolist(), counts.tolist(), strict=True)], object)]
-                n = len(hashes[0])
-                for held, x in zip(out, [*hashes, np.full(n, table.column("row")[i].as_py()), np.full(n, table.column("check")[i].as_py()), *rest], strict=True):
-                    held.append(x)
-            kinds = [pa.int64()] * (1 + many) + [pa.int64(), pa.int32(), pa.int64()] + [pa.binary()] * (not many)
-            columns = ["h1", "h2"] if many else ["name"]
-            return pa.table([pa.array(np.concatenate(x) if x else [], t) for x, t in zip(out, kinds, strict=True)], [*columns, "row", "check", "spot", *["bytes"] * (not many)])
-
-        asked = in_bucket(found.where("asked" + (" and many" if many else " and not many")).select("name", "row", "check", "spot"), "row")
-        return dealt.select("bucket", "row", "check", "text").groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(run, _HASHED if many else _CUT)
-
-    sorted_ = in_bucket(extract(False), "name").groupBy("bucket").applyInArrow(lambda t: repeated_windows(t, window, sort_bytes), _MARK)
-    marks = scratch.keep(sorted_, "sorted")
-    if not found.where("many").isEmpty():
-        hashed = scratch.keep(extract(True), "hashed")
-        again = hashed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-        marks = marks.union(scratch.keep(hashed.join(again, ["h1", "h2"]).select("row", "check", "spot"), "met"))
-        scratch.drop("hashed")
-    marks = marks.union(found.where("marked").select("row", "check", "spot")).union(sent.where("known").select("row", "check", "spot"))
+                for j in mine[~many[mine]].tolist():
+                    place, count, _ = _run(int(spots[j]))
+                    out.append((int(names[j]), 0, int(row[i]), int(check[i]), int(spots[j]), False, False, data[place : place + count + window - 1]))
+                if many[mine].any():
+                    name, content, *run_ = finer(np.frombuffer(data, np.uint8), *_run(spots[mine[many[mine]]]), window, step)
+                    parts.add(name, content, np.full(len(name), row[i]), np.full(len(name), check[i]), _spot(*run_))
+            columns = list(zip(*out, strict=True)) or [[]] * len(schema)
+            tables = [pa.table([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)]
+            for batch in parts.flush():
+                tables.append(pa.Table.from_batches([batch]).append_column("bytes", pa.nulls(batch.num_rows, pa.binary())).cast(schema))
+            return pa.concat_tables(tables)
+
+        schema = pa.schema([("name", pa.int64()), ("content", pa.int64()), ("row", pa.int64()), ("check", pa.int32()), ("spot", pa.int64()), ("twice", pa.bool_()), ("known", pa.bool_()), ("bytes", pa.binary())])
+        return run
+
+    found, cut_out = counted(sent, "counted"), []
+    marks = [sent.where("known").select("row", "check", "spot")]
+    for step in FINER:
+        marks.append(found.where("marked").select("row", "check", "spot"))
+        more = not found.where("asked and many").isEmpty()
+        asked = in_bucket(found.where("asked").select("name", "row", "check", "spot", "many"), "row")
+        met = scratch.keep(dealt.select("bucket", "row", "check", "text").groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(extracted(step), f"{_STRETCH}, bytes binary"), f"cut-{step}")
+        cut_out.append(met.where("bytes is not null").select("name", "row", "check", "spot", "bytes"))
+        if not more:
+            break
+        parts = met.where("bytes is null")
+        marks.append(scratch.keep(parts.where("known").select("row", "check", "spot"), f"known-{step}"))
+        found = counted(parts, f"counted-{step}")
+    else:  # of one window a stretch: what has another content under its name is another window
+        marks.append(found.where("marked").select("row", "check", "spot"))
+    sorted_ = in_bucket(reduce(DataFrame.union, cut_out), "name").groupBy("bucket").applyInArrow(lambda t: repeated_windows(t, window, sort_bytes), _MARK)
+    marks.append(scratch.keep(sorted_, "sorted"))
+    scratch.drop(*[f"cut-{step}" for step in FINER])
+    marks = reduce(DataFrame.union, marks)
 
     def finish(table: pa.Table, marked: pa.Table) -> pa.Table:
         spots, kept, spans = np.asarray(marked.column("spot")), table.column("text").to_pylist(), [[]] * table.num_rows

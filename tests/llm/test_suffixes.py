@@ -50,7 +50,7 @@ def docs(spark):
     return spark.createDataFrame([(k, t, "x", 1, b"y") for k, t in ROWS], "doc_id long, text string, row string, spot int, kept binary").repartition(3)
 
 
-@pytest.mark.parametrize("options", [{}, {"group_limit": 2}, {"group_limit": 8, "sort_bytes": 1, "bucket_bytes": 5000}, {"window": 64, "seed": 8}, {"window": 50, "seed": 50}])
+@pytest.mark.parametrize("options", [{}, {"group_limit": 1}, {"group_limit": 2}, {"group_limit": 8, "sort_bytes": 1, "bucket_bytes": 5000}, {"window": 64, "seed": 8}, {"window": 50, "seed": 50}])
 def test_repeats(docs, options):
     assert found(suffixes.remove_repeats(docs, **options)) == expected(ROWS, options.get("window", 200))
 
@@ -69,12 +69,25 @@ def test_texts_longer_than_a_part(spark, monkeypatch):
     whole = suffixes.stretches(data, offsets)
     parts = []
     for part, own, doc, at in suffixes._pieces(data, offsets, 200):
-        name, _, of, place, count = suffixes.stretches(part, own)
+        name, _, of, place, count, _ = suffixes.stretches(part, own)
         assert doc == 0 and not of.any()
         parts += [(n, p + i) for n, p, c in zip(name.tolist(), (at + place).tolist(), count.tolist(), strict=True) for i in range(c)]
     assert parts == [(n, p + i) for n, p, c in zip(whole[0].tolist(), whole[3].tolist(), whole[4].tolist(), strict=True) for i in range(c)]
 
 
+@pytest.mark.parametrize("step", suffixes.FINER)
+def test_finer_names(step):
+    """Parts cover the stretches' windows once, and equal windows have equal names."""
+    text = np.frombuffer("".join(np.random.default_rng(2).choice([f"w{i} " for i in range(40)], 900)).encode() * 2, np.uint8)
+    _, _, _, place, count, offset = suffixes.stretches(text, np.array([0, len(text)]))
+    name, _, begin, n, at = suffixes.finer(text, place, count, offset, 200, step)
+    windows = [(p + i, x) for p, k, x in zip(begin.tolist(), n.tolist(), name.tolist(), strict=True) for i in range(k)]
+    assert [p for p, _ in sorted(windows)] == list(range(len(text) - 199))
+    assert (at < 169).all() and (n <= step).all()
+    named = {}
+    assert all(named.setdefault(text[p : p + 200].tobytes(), x) == x for p, x in windows)
+
+
 @pytest.mark.parametrize("letters", [1, 2, 4, 256])
 def test_suffix_array(letters):
     for n in (1, 2, 3, 50, 700):
