@@ -1,15 +1,41 @@
-"""Binary k-means and k-medoids steps; distances come as columns, medoids as a small table."""
+"""Binary k-means and k-medoids; distances are Hamming, descriptors 64 bits (long) or more (array of longs).
+
+Searches over medoids compare candidates with points. Candidates go out in blocks of a
+checked size, each in a pass over the points that returns sums, so nothing of the size of
+the table is broadcast and no pair is a row. The driver holds the medoids alone.
+"""
 
 from __future__ import annotations
 
-import itertools
 import math
+from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
+
+from lodestar.functions.exprs import hamming, hamming_words
+from lodestar.functions.random import Xoroshiro128
+from lodestar.operators import bow
+from lodestar.operators.knn import PAIRS, as_words, blocks, differing, few, matrix, nearest
+from lodestar.sources.shared import kept
+
+Medoid = tuple[int, int | list[int]]
+
+
+def _distance(points: DataFrame):
+    return hamming_words if isinstance(points.schema["bits"].dataType, ArrayType) else hamming
+
 
-from lodestar.functions.exprs import hamming
-from lodestar.operators.knn import nearest
+def _words(medoids: list[Medoid]) -> np.ndarray:
+    return np.array([b if isinstance(b, list) else [b] for _, b in medoids], np.int64).view(np.uint64)
+
+
+def _table(spark: SparkSession, points: DataFrame, rows: list[Medoid], names: tuple[str, str] = ("m", "center")) -> DataFrame:
+    return spark.createDataFrame(rows, f"{names[0]} long, {names[1]} {points.schema['bits'].dataType.simpleString()}")
 
 
 def bit_sums(points: DataFrame, by: str) -> DataFrame:
@@ -25,7 +51,7 @@ def bit_majority(points: DataFrame, by: str) -> DataFrame:
 
 def assign_bits(points: DataFrame, centers: DataFrame) -> DataFrame:
     """points with k, dist of the nearest center; centers (k, center) are few."""
-    return nearest(points, centers, hamming, "bits")
+    return nearest(points, centers, _distance(points), "bits")
 
 
 def majority_step(points: DataFrame, centers: DataFrame) -> DataFrame:
@@ -34,18 +60,97 @@ def majority_step(points: DataFrame, centers: DataFrame) -> DataFrame:
     return centers.join(voted, "k", "left").select("k", F.coalesce("bits", "center").alias("bits"))
 
 
-def kmajority(points: DataFrame, k: int, seed: int = 0, rounds: int = 100) -> DataFrame:
-    """(k, bits): seeded distinct rows, then steps until none changes; k rows come to the driver each round."""
-    spark = points.sparkSession
-    first = points.select("bits").distinct().orderBy(F.xxhash64(F.lit(seed), "bits")).limit(k).collect()
-    current = [(i, r.bits) for i, r in enumerate(first)]
-    for _ in range(rounds):
-        centers = spark.createDataFrame(current, "k int, center long")
-        new = sorted((r.k, r.bits) for r in majority_step(points, centers).collect())
-        if new == current:
-            break
-        current = new
-    return spark.createDataFrame(current, "k int, bits long")
+def _votes(points: DataFrame, centers: np.ndarray, moved: dict[int, int], before: tuple[np.ndarray, dict[int, int]] | None) -> list:
+    """For each cluster: its size, set bits of each position, and members that were elsewhere under ``before``, in one pass.
+
+    moved puts a few points, by id, into other clusters than the nearest.
+    """
+    width = 64 * centers.shape[1]
+
+    def own(words: np.ndarray, ids: np.ndarray, book: np.ndarray, exceptions: dict[int, int]) -> np.ndarray:
+        k = np.argmin(differing(words, book), axis=1)
+        for i in np.flatnonzero(np.isin(ids, list(exceptions))) if exceptions else ():
+            k[i] = exceptions[int(ids[i])]
+        return k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, ones, changed = np.zeros(len(centers), np.int64), np.zeros((len(centers), width), np.int64), np.zeros(len(centers), np.int64)
+        for batch in batches:
+            words, ids = matrix(batch.column("value"), np.uint64), np.asarray(batch.column("id"))
+            for lo in range(0, len(ids), max(1, PAIRS // len(centers))):
+                w, i = words[lo : lo + max(1, PAIRS // len(centers))], ids[lo : lo + max(1, PAIRS // len(centers))]
+                plain = own(w, i, centers, {})
+                k = own(w, i, centers, moved) if moved else plain
+                if before:
+                    np.add.at(changed, plain, plain != own(w, i, *before))
+                n += np.bincount(k, minlength=len(centers))
+                bits = np.unpackbits(w.view(np.uint8).reshape(len(w), -1), axis=1, bitorder="little")
+                for c in np.unique(k):
+                    ones[c] += bits[k == c].sum(0, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centers))), pa.array(n), pa.array(changed), pa.array(list(ones), pa.list_(pa.int64()))], ["k", "n", "changed", "ones"])
+
+    rows = points.select(F.col("kp_ind").alias("id"), as_words(points, "bits").alias("value"))
+    sums = rows.mapInArrow(run, "k long, n long, changed long, ones array<long>").groupBy("k").agg(F.sum("n").alias("n"), F.sum("changed").alias("changed"), F.array(*[F.sum(F.col("ones")[i]) for i in range(width)]).alias("ones"))
+    return sorted(sums.collect())
+
+
+def kmajority(points: DataFrame, k: int, seed: int = 0, rounds: int = 100, start: list[int | list[int]] | None = None) -> tuple[list[tuple[int, int | list[int], int]], int, bool]:
+    """([(k, bits, members)], rounds, converged): binary k-means.
+
+    Each round sets every center to the majority of its members, an empty one stays, and
+    assigns every point to the nearest center, the lower of equals. It has converged when
+    no point then belongs elsewhere than before. Then each empty cluster, in order, takes
+    from the largest one, the lower of equals, the farthest point, the lowest id of equals;
+    the next round counts it there. Without more points than clusters the points, over and
+    over, are the centers. start: the first centers; else k points by seeded hash of the id.
+    """
+    single = not isinstance(points.schema["bits"].dataType, ArrayType)
+    n = points.count()
+    if not n:
+        return [], 0, True
+    if n <= k:
+        rows = [(r.kp_ind, r.bits) for r in points.orderBy("kp_ind").select("kp_ind", "bits").collect()]
+        return [(i, rows[i % n][1], int(i < n)) for i in range(k)], 0, True
+    centers = _words([(0, b) for b in start] if start else [(r.kp_ind, r.bits) for r in sampled(points, k, seed).select("kp_ind", "bits").collect()])
+    moved: dict[int, int] = {}
+    votes, done, number = _votes(points, centers, moved, None), False, 0
+    while number < rounds and not done:
+        number += 1
+        before = (centers, moved)
+        set_bits = np.array([[2 * x > max(v.n, 1) for x in v.ones] for v in votes])
+        new = np.packbits(set_bits, axis=1, bitorder="little").view(np.uint64)
+        centers = np.where(np.array([v.n for v in votes])[:, None] > 0, new, centers)
+        votes = _votes(points, centers, {}, before)
+        done = not any(v.changed for v in votes)
+        moved = _refilled(points, centers, [v.n for v in votes])
+        if moved:
+            votes = _votes(points, centers, moved, None)
+    signed = centers.view(np.int64).tolist()
+    return [(i, signed[i][0] if single else signed[i], votes[i].n) for i in range(k)], number, done
+
+
+def _refilled(points: DataFrame, centers: np.ndarray, sizes: list[int]) -> dict[int, int]:
+    """Point id to empty cluster: each takes the next farthest point of what is then the largest cluster."""
+    sizes, given = list(sizes), []
+    for k in [i for i, n in enumerate(sizes) if not n]:
+        largest = max(range(len(sizes)), key=lambda i: (sizes[i], -i))
+        sizes[largest] -= 1
+        sizes[k] += 1
+        given.append((largest, k))
+    if not given:
+        return {}
+    single = not isinstance(points.schema["bits"].dataType, ArrayType)
+    book = _table(points.sparkSession, points, [(i, b[0] if single else b) for i, b in enumerate(centers.view(np.int64).tolist())], ("k", "center"))
+    givers = sorted({a for a, _ in given})
+    own = assign_bits(points, book).where(F.col("k").isin(*givers))
+    far = own.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("dist"), "kp_ind"))).where(F.col("place") <= len(given))
+    farthest = {(r.k, r.place): r.kp_ind for r in far.select("k", "place", "kp_ind").collect()}
+    seen: dict[int, int] = {}
+    out = {}
+    for largest, k in given:
+        seen[largest] = seen.get(largest, 0) + 1
+        out[farthest[largest, seen[largest]]] = k
+    return out
 
 
 def farthest_of_largest(assigned: DataFrame, by: str = "k", id_: str = "kp_ind") -> DataFrame:
@@ -56,9 +161,10 @@ def farthest_of_largest(assigned: DataFrame, by: str = "k", id_: str = "kp_ind")
 
 
 def two_nearest(points: DataFrame, medoids: DataFrame) -> DataFrame:
-    """(id, medoid, d1, medoid2, d2) by Hamming distance; medoids (m, center) are few."""
-    book = F.broadcast(medoids.agg(F.collect_list(F.struct("m", "center")).alias("_book")))
-    order = F.array_sort(F.transform("_book", lambda b: F.struct(hamming(F.col("bits"), b["center"]).alias("d"), b["m"].alias("m"))))
+    """(id, medoid, d1, medoid2, d2) by Hamming distance; medoids (m, center) are few, which is checked."""
+    book = F.broadcast(few(medoids).agg(F.collect_list(F.struct("m", "center")).alias("_book")))
+    distance = _distance(points)
+    order = F.array_sort(F.transform("_book", lambda b: F.struct(distance(F.col("bits"), b["center"]).alias("d"), b["m"].alias("m"))))
     two = points.crossJoin(book).withColumn("_o", order)
     return two.select("kp_ind", "bits", F.get("_o", F.lit(0))["m"].alias("medoid"), F.get("_o", F.lit(0))["d"].alias("d1"), F.get("_o", F.lit(1))["m"].alias("medoid2"), F.get("_o", F.lit(1))["d"].alias("d2"))
 
@@ -67,17 +173,47 @@ def cost(assigned: DataFrame) -> DataFrame:
     return assigned.agg(F.sum("d1").cast("long").alias("cost"))
 
 
-def swap_costs(assigned: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(h, m, delta): change of cost when candidate h takes medoid m's place, for all pairs in one pass.
+def _cost_of(points: DataFrame, medoids: list[Medoid]) -> int:
+    return cost(two_nearest(points, _table(points.sparkSession, points, medoids))).first().cost
+
+
+def swap_costs(assigned: DataFrame, candidates: DataFrame, block_bytes: int | None = None) -> DataFrame:
+    """(h, m, delta): change of cost when candidate h takes medoid m's place, for all pairs; a pass for each block of candidates.
 
     Point j pays min(d(h,j) - d1, 0) whatever goes; where m is its own medoid it pays
-    min(d(h,j), d2) - d1 instead. So a sum for each h and a correction for each (h, m).
+    min(d(h,j), d2) - d1 instead. So a sum for each h and a correction for each (h, m). With
+    one medoid there is no second.
     """
-    pairs = assigned.select("medoid", "d1", "d2", F.col("bits").alias("_j")).crossJoin(F.broadcast(candidates.select(F.col("kp_ind").alias("h"), F.col("bits").alias("_h")))).withColumn("d", hamming(F.col("_h"), F.col("_j")))
-    gain = F.least(F.col("d") - F.col("d1"), F.lit(0))
-    lost = F.least("d", "d2") - F.col("d1") - gain
-    by = pairs.groupBy("h", "medoid").agg(F.sum(gain).cast("long").alias("g"), F.sum(lost).cast("long").alias("l"))
-    return by.select("h", F.col("medoid").alias("m"), (F.sum("g").over(Window.partitionBy("h")) + F.col("l")).alias("delta"))
+
+    def summed(ids: np.ndarray, words: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            gains, losses = {}, {}
+            for batch in batches:
+                value, medoid = matrix(batch.column("value"), np.uint64), np.asarray(batch.column("medoid"))
+                d1 = np.asarray(batch.column("d1")).astype(np.int64)
+                d2 = np.asarray(batch.column("d2").fill_null(1 << 30)).astype(np.int64)
+                step = max(1, PAIRS // len(ids))
+                for lo in range(0, len(medoid), step):
+                    at = slice(lo, lo + step)
+                    far = differing(words, value[at]).astype(np.int64)
+                    gain = np.minimum(far - d1[at], 0)
+                    loss = np.minimum(far, d2[at]) - d1[at] - gain
+                    for m in np.unique(medoid[at]).tolist():
+                        mine = medoid[at] == m
+                        gains[m] = gains.get(m, 0) + gain[:, mine].sum(1)
+                        losses[m] = losses.get(m, 0) + loss[:, mine].sum(1)
+            for m in gains:
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), m)), pa.array(gains[m]), pa.array(losses[m])], ["h", "medoid", "g", "l"])
+
+        return run
+
+    rows = assigned.select(as_words(assigned, "bits").alias("value"), F.col("medoid").cast("long").alias("medoid"), F.col("d1").cast("int").alias("d1"), F.col("d2").cast("int").alias("d2"))
+    pool = candidates.select("kp_ind", as_words(candidates, "bits").alias("value"))
+    out = "h long, medoid long, g long, l long"
+    parts = [rows.mapInArrow(summed(np.asarray(ids), words), out) for ids, words in blocks(pool, "kp_ind", "value", np.uint64, block_bytes)]
+    sums = reduce(DataFrame.union, parts) if parts else assigned.sparkSession.createDataFrame([], out)
+    by = sums.groupBy("h", "medoid").agg(F.sum("g").alias("g"), F.sum("l").alias("l"))
+    return by.select("h", F.col("medoid").alias("m"), (F.sum("g").over(Window.partitionBy("h")) + F.col("l")).cast("long").alias("delta"))
 
 
 def best_swap(deltas: DataFrame) -> DataFrame:
@@ -85,94 +221,174 @@ def best_swap(deltas: DataFrame) -> DataFrame:
     return deltas.orderBy("delta", "h", "m").limit(1)
 
 
+def best_swaps(deltas: DataFrame) -> DataFrame:
+    """For each medoid its swap of least cost (m, h, delta); ties go to the lower h."""
+    return deltas.groupBy("m").agg(F.min(F.struct("delta", "h")).alias("_b")).select("m", "_b.h", "_b.delta")
+
+
+def totals(points: DataFrame, candidates: DataFrame, chosen: list[Medoid] | None = None, block_bytes: int | None = None) -> DataFrame:
+    """(kp_ind, total): for each candidate the points' distances to the nearest of it and the chosen, in blocks of candidates."""
+
+    def summed(ids: np.ndarray, words: np.ndarray, held: np.ndarray | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(len(ids), np.int64)
+            for batch in batches:
+                value = matrix(batch.column("value"), np.uint64)
+                for lo in range(0, len(value), max(1, PAIRS // len(ids))):
+                    part = value[lo : lo + max(1, PAIRS // len(ids))]
+                    far = differing(words, part)
+                    sums += (far if held is None else np.minimum(far, differing(held, part).min(0))).sum(1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sums)], ["kp_ind", "total"])
+
+        return run
+
+    rows = points.select(as_words(points, "bits").alias("value"))
+    pool = candidates.select("kp_ind", as_words(candidates, "bits").alias("value"))
+    if chosen:
+        pool = pool.where(~F.col("kp_ind").isin(*[i for i, _ in chosen]))
+    parts = [rows.mapInArrow(summed(np.asarray(ids), words, _words(chosen) if chosen else None), "kp_ind long, total long") for ids, words in blocks(pool, "kp_ind", "value", np.uint64, block_bytes)]
+    sums = reduce(DataFrame.union, parts) if parts else points.sparkSession.createDataFrame([], "kp_ind long, total long")
+    return sums.groupBy("kp_ind").agg(F.sum("total").alias("total"))
+
+
 def distance_sums(points: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(kp_ind, total): of each candidate the distances to all points; candidates go out in a broadcast of checked size."""
-    pairs = points.select(F.col("bits").alias("_p")).crossJoin(candidates.select("kp_ind", "bits"))
-    return pairs.groupBy("kp_ind").agg(F.sum(hamming(F.col("bits"), F.col("_p"))).cast("long").alias("total"))
+    """(kp_ind, total): of each candidate the distances to all points."""
+    return totals(points, candidates)
+
+
+def _added(points: DataFrame, candidates: DataFrame, chosen: list[Medoid]) -> list[Medoid]:
+    """chosen and the candidate that lowers the cost most, the lower id of equals; one row comes to the driver."""
+    best = totals(points, candidates, chosen).orderBy("total", "kp_ind").first()
+    return chosen if best is None else [*chosen, (best.kp_ind, candidates.where(F.col("kp_ind") == best.kp_ind).first().bits)]
 
 
-def build(points: DataFrame, k: int, candidates: DataFrame | None = None) -> list[tuple[int, int]]:
-    """Greedy start: (id, bits) of k medoids; each next one lowers the cost most. One row a step comes to the driver."""
-    spark = points.sparkSession
-    candidates = points if candidates is None else candidates
-    chosen: list[tuple[int, int]] = []
+def build(points: DataFrame, k: int, candidates: DataFrame | None = None) -> list[Medoid]:
+    """Greedy start: (id, bits) of k medoids; each next one lowers the cost most."""
+    chosen: list[Medoid] = []
     for _ in range(k):
-        if not chosen:
-            scored = distance_sums(points, candidates)
-        else:
-            book = F.array(*[F.lit(b) for _, b in chosen])
-            near = points.select(F.col("bits").alias("_p")).withColumn("_d", F.array_min(F.transform(book, lambda b: hamming(F.col("_p"), b))))
-            pairs = near.crossJoin(candidates.select("kp_ind", "bits")).where(~F.col("kp_ind").isin(*[i for i, _ in chosen]))
-            scored = pairs.groupBy("kp_ind").agg(F.sum(F.least(hamming(F.col("bits"), F.col("_p")), "_d")).cast("long").alias("total"))
-        best = scored.join(candidates.select("kp_ind", "bits"), "kp_ind").orderBy("total", "kp_ind").first()
-        if best is None:
+        chosen = _added(points, points if candidates is None else candidates, chosen)
+    return chosen
+
+
+def lab(points: DataFrame, k: int, seed: int = 0) -> list[Medoid]:
+    """Greedy start over samples: each step draws ``10 + ceil(sqrt(n))`` rows afresh and takes of them what lowers their cost most.
+
+    Draws are positions in the order of ids; a step whose draw holds medoids alone ends the search.
+    """
+    placed = kept(bow.numbered(points.select("kp_ind", "bits"), ["kp_ind"], 0))
+    n, rng, chosen = placed.count(), Xoroshiro128(seed), []
+    for _ in range(min(k, n)):
+        drawn = points.sparkSession.createDataFrame([(x,) for x in rng.sample(10 + math.ceil(math.sqrt(n)), n)], "word_id long")
+        part = kept(placed.join(drawn, "word_id").select("kp_ind", "bits"))
+        now = _added(part, part, chosen)
+        if len(now) == len(chosen):
             break
-        chosen.append((best.kp_ind, best.bits))
-    del spark
+        chosen = now
     return chosen
 
 
-def pam(points: DataFrame, medoids: list[tuple[int, int]], rounds: int = 100, candidates: DataFrame | None = None) -> tuple[list[tuple[int, int]], int]:
+def _others(pool: DataFrame, medoids: list[Medoid]) -> DataFrame:
+    return pool.where(~F.col("kp_ind").isin(*[m for m, _ in medoids]))
+
+
+def _replaced(medoids: list[Medoid], m: int, new: Medoid) -> list[Medoid]:
+    return sorted([x for x in medoids if x[0] != m] + [new])
+
+
+def pam(points: DataFrame, medoids: list[Medoid], rounds: int = 100, candidates: DataFrame | None = None) -> tuple[list[Medoid], int]:
     """Swaps until the cost falls no more; a swap is taken only if it lowers the cost. k rows and one cost at the driver."""
-    spark = points.sparkSession
     pool = points if candidates is None else candidates
     now = None
     for _ in range(rounds):
-        table = spark.createDataFrame(medoids, "m long, center long")
-        own = two_nearest(points, table)
+        own = two_nearest(points, _table(points.sparkSession, points, medoids))
         now = cost(own).first().cost
-        swap = best_swap(swap_costs(own, pool.where(~F.col("kp_ind").isin(*[m for m, _ in medoids])))).join(pool.select(F.col("kp_ind").alias("h"), "bits"), "h").first()
+        swap = best_swap(swap_costs(own, _others(pool, medoids))).join(pool.select(F.col("kp_ind").alias("h"), "bits"), "h").first()
         if swap is None or swap.delta >= 0:
             break
-        medoids = sorted([x for x in medoids if x[0] != swap.m] + [(swap.h, swap.bits)])
+        medoids = _replaced(medoids, swap.m, (swap.h, swap.bits))
         now += swap.delta
     return medoids, now
 
 
-def sampled(points: DataFrame, n: int, seed: int) -> DataFrame:
-    """n rows by seeded hash of their id."""
-    return points.orderBy(F.xxhash64(F.lit(seed), "kp_ind"), "kp_ind").limit(n)
+def fast_pam(points: DataFrame, medoids: list[Medoid], rounds: int = 100, fasttol: float = 1.0, candidates: DataFrame | None = None) -> tuple[list[Medoid], int, int]:
+    """(medoids, cost, rounds): PAM that takes several swaps a round.
+
+    One pass gives each medoid its best swap. The best of all is taken; then the others, in
+    order of their first gain, are costed again on what the medoids have become and taken
+    if they still gain, at least (1 - fasttol) of the first gain. Costing one again passes
+    over the points and k medoids, not over pairs. k rows at the driver.
+    """
+    pool, taken = points if candidates is None else candidates, 0
+    now = _cost_of(points, medoids)
+    while taken < rounds:
+        taken += 1
+        own = kept(two_nearest(points, _table(points.sparkSession, points, medoids)))
+        swaps = best_swaps(swap_costs(own, _others(pool, medoids))).join(pool.select(F.col("kp_ind").alias("h"), "bits"), "h").where("delta < 0").collect()
+        if not swaps:
+            break
+        for i, swap in enumerate(sorted(swaps, key=lambda s: (s.delta, s.h, s.m))):
+            if any(x == swap.h for x, _ in medoids):
+                continue
+            new = _replaced(medoids, swap.m, (swap.h, swap.bits))
+            after = now + swap.delta if not i else _cost_of(points, new)
+            if after < now and after - now <= swap.delta * (1 - fasttol):
+                medoids, now = new, after
+    return medoids, now, taken
+
+
+def _place(*parts) -> Column:
+    """A seeded order that SQL and Python can repeat."""
+    return F.md5(F.concat_ws("|", *parts).cast("binary"))
+
+
+def sampled(points: DataFrame, n: int, seed: int, first: list[int] | None = None) -> DataFrame:
+    """n rows: those of ``first``, once each, filled up by seeded hash of the id."""
+    place = _place(F.lit(str(seed)), F.col("kp_ind").cast("string"))
+    ahead = [(~F.col("kp_ind").isin(*first)).cast("int")] if first else []
+    return points.orderBy(*ahead, place, "kp_ind").limit(n)
 
 
-def clara(points: DataFrame, k: int, samples: int = 5, size: int | None = None, seed: int = 0) -> tuple[list[tuple[int, int]], int]:
-    """PAM on samples that each keep the best medoids so far; the medoids of least cost over all points."""
-    size = size or 40 + 2 * k
-    best: tuple[list[tuple[int, int]], int] | None = None
+def clara(points: DataFrame, k: int, samples: int = 5, size: int | None = None, seed: int = 0, fast: bool = False) -> tuple[list[Medoid], int]:
+    """PAM on samples that each hold the best medoids so far; the medoids of least cost over all points.
+
+    Samples have 40 + 2k rows; with fast, FastPAM runs on 80 + 4k.
+    """
+    size = size or (80 + 4 * k if fast else 40 + 2 * k)
+    best: tuple[list[Medoid], int] | None = None
     for i in range(samples):
-        part = sampled(points, size, seed + i).select("kp_ind", "bits")
-        if best:
-            part = part.union(points.sparkSession.createDataFrame(best[0], "kp_ind long, bits long")).distinct()
-        part = part.persist()
-        found, _ = pam(part, build(part, k))
-        part.unpersist()
-        whole = cost(two_nearest(points, points.sparkSession.createDataFrame(found, "m long, center long"))).first().cost
+        part = kept(sampled(points, size, seed + i, [m for m, _ in best[0]] if best else None).select("kp_ind", "bits"))
+        found = fast_pam(part, build(part, k))[0] if fast else pam(part, build(part, k))[0]
+        whole = _cost_of(points, found)
         if best is None or whole < best[1]:
             best = found, whole
     return best
 
 
-def clarans(points: DataFrame, k: int, local: int = 2, rate: float = 0.0125, seed: int = 0) -> tuple[list[tuple[int, int]], int]:
+def clarans(points: DataFrame, k: int, local: int = 2, rate: float | None = None, seed: int = 0, fast: bool = False) -> tuple[list[Medoid], int]:
     """Random-neighbour search: each start takes the first of its drawn swaps that helps, till a whole draw does not.
 
-    A draw is afresh from all swaps of a medoid with another row, ceil(rate * k * (n - k))
-    of them, so it grows with the table. k rows and one swap at the driver.
+    A draw is afresh from all swaps of a medoid with another row, ceil(rate * k * (n - k)) of
+    them (rate 0.0125), so it grows with the table. With fast a draw is of rows alone,
+    ceil(rate * (n - k)) of them (rate 0.025), and each row meets all medoids at once: the
+    first row whose best swap helps is taken. k rows and one swap at the driver.
     """
-    spark, n = points.sparkSession, points.count()
-    retries, best = math.ceil(rate * k * (n - k)), None
+    spark, n, best = points.sparkSession, points.count(), None
+    rate = rate or (0.025 if fast else 0.0125)
+    retries = max(1, math.ceil(rate * (n - k) * (1 if fast else k)))
     for i in range(local):
-        medoids = [(r.kp_ind, r.bits) for r in sampled(points, k, seed + 100 * i).collect()]
-        now = cost(two_nearest(points, spark.createDataFrame(medoids, "m long, center long"))).first().cost
-        for step in itertools.count():
-            table = spark.createDataFrame(medoids, "m long, center long")
-            place = F.xxhash64(F.lit(seed + 100 * i + 1), F.lit(step), "h", "m")
-            others = points.where(~F.col("kp_ind").isin(*[m for m, _ in medoids])).select(F.col("kp_ind").alias("h"), "bits")
-            drawn = others.crossJoin(F.broadcast(table.select("m"))).withColumn("place", place).orderBy("place", "h", "m").limit(retries).persist()
-            deltas = swap_costs(two_nearest(points, table), drawn.select(F.col("h").alias("kp_ind"), "bits").distinct())
-            swap = deltas.where("delta < 0").join(drawn, ["h", "m"]).orderBy("place", "h", "m").first()
-            drawn.unpersist()
+        medoids = sorted((r.kp_ind, r.bits) for r in sampled(points, k, seed + 100 * i).select("kp_ind", "bits").collect())
+        now, step = _cost_of(points, medoids), 0
+        while n > k:
+            step += 1
+            others = _others(points, medoids).select(F.col("kp_ind").alias("h"), "bits")
+            swaps = others if fast else others.withColumn("m", F.explode(F.array(*[F.lit(m).cast("long") for m, _ in medoids])))
+            drawn = kept(swaps.withColumn("place", _place(F.lit(f"{seed + 100 * i + 1}|{step}"), *[F.col(c).cast("string") for c in (["h"] if fast else ["h", "m"])])).orderBy("place", "h", *([] if fast else ["m"])).limit(retries))
+            deltas = swap_costs(two_nearest(points, _table(spark, points, medoids)), drawn.select(F.col("h").alias("kp_ind"), "bits").distinct())
+            helps = deltas.where("delta < 0").join(drawn, ["h"] if fast else ["h", "m"])
+            swap = helps.orderBy("place", "h", "delta", "m").first()
             if swap is None:
                 break
-            medoids = sorted([x for x in medoids if x[0] != swap.m] + [(swap.h, swap.bits)])
+            medoids = _replaced(medoids, swap.m, (swap.h, swap.bits))
             now += swap.delta
         if best is None or now < best[1]:
             best = medoids, now

@@ -608,33 +608,52 @@ def named(spark, found):
     return spark.createDataFrame([(i, m, cost) for i, (m, _) in enumerate(rows)], "cluster long, medoid long, cost long")
 
 
+def points(spark, d):
+    return tables.vectors(spark, d).select("kp_ind", "bits")
+
+
 @query(None)
 def fastpam(spark, d):
-    v = tables.vectors(spark, d).select("kp_ind", "bits").persist()
-    return named(spark, cluster.pam(v, cluster.build(v, 3)))
+    v = points(spark, d)
+    return named(spark, cluster.fast_pam(v, cluster.build(v, 3))[:2])
 
 
 @query(None)
 def clara(spark, d):
-    return named(spark, cluster.clara(tables.vectors(spark, d).select("kp_ind", "bits"), 3, samples=2))
+    return named(spark, cluster.clara(points(spark, d), 3, samples=2))
+
+
+@query(None)
+def fastclara(spark, d):
+    return named(spark, cluster.clara(points(spark, d), 3, samples=2, fast=True))
 
 
 @query(None)
 def clarans(spark, d):
-    return named(spark, cluster.clarans(tables.vectors(spark, d).select("kp_ind", "bits").persist(), 3))
+    return named(spark, cluster.clarans(points(spark, d), 3))
 
 
 @query(None)
-def lab_init(spark, d):
-    v = tables.vectors(spark, d).select("kp_ind", "bits")
-    part = cluster.sampled(v, 10 + int(v.count() ** 0.5 + 0.999), 3).persist()
-    return spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cluster.build(part, 3))], "step long, kp_ind long")
+def fastclarans(spark, d):
+    return named(spark, cluster.clarans(points(spark, d), 3, fast=True))
 
 
 @query(None)
+def lab_init(spark, d):
+    return spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cluster.lab(points(spark, d), 3, 3))], "step long, kp_ind long")
+
+
+@query("SELECT vec_id AS kp_ind FROM embeddings ORDER BY vec_id >= 3, md5('7|' || vec_id::VARCHAR) LIMIT 46")
 def clara_sample(spark, d):
-    v = tables.vectors(spark, d)
-    return cluster.sampled(v, 46, 7).select("kp_ind").union(v.where("kp_ind < 3").select("kp_ind")).distinct()
+    return cluster.sampled(tables.vectors(spark, d), 46, 7, [0, 1, 2]).select("kp_ind")
+
+
+@query(None)
+def kmajority(spark, d):
+    """Binary k-means of all descriptors from the first eight, to the end: centers and members."""
+    v = points(spark, d)
+    start = [r.bits for r in v.where("kp_ind < 8").orderBy("kp_ind").collect()]
+    return spark.createDataFrame(cluster.kmajority(v, 8, start=start)[0], "k long, bits long, n long")
 
 
 @query(None)
