@@ -35,6 +35,24 @@ def top_images(scores: DataFrame, n: int = 5) -> DataFrame:
     return scores.orderBy(F.desc("score"), "image_id").limit(n)
 
 
+def tfidf_of_many(matches: DataFrame, postings: DataFrame, sizes: DataFrame, images: int, word: str = "word") -> DataFrame:
+    """(query_id, image_id, score): tfidf_search for each query of matches (query_id, word); sizes (query_id, features) counts matched and unmatched ones.
+
+    Postings are counted once for all queries.
+    """
+    tf = matches.groupBy("query_id", word).agg(F.count(F.lit(1)).alias("nwi")).join(sizes, "query_id").withColumn("tf", F.col("nwi") / F.col("features"))
+    counts = postings.join(matches.select(word).distinct(), word, "left_semi").groupBy(word, "image_id").agg(F.count(F.lit(1)).alias("n"))
+    df = counts.groupBy(word).agg(F.count(F.lit(1)).alias("df"))
+    score = F.sum(F.col("nwi") * F.col("tf") * F.log(F.lit(float(images)) / F.col("df")) * F.col("n"))
+    return counts.join(df, word).join(tf, word).groupBy("query_id", "image_id").agg(score.alias("score"))
+
+
+def top_of_many(scores: DataFrame, n: int = 5, places: int = 9) -> DataFrame:
+    """(query_id, rank, image_id, score): the n best of each query, by descending score of ``places`` places and then image id."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", places)), "image_id"))
+    return scores.withColumn("rank", rank).where(F.col("rank") <= n).select("query_id", "rank", "image_id", "score")
+
+
 def point_matches(matches: DataFrame, postings: DataFrame, word: str = "word_id") -> DataFrame:
     """(image_id, points): per image the pairs of query point and stored point of matched words."""
     joined = matches.join(postings, word)

@@ -152,21 +152,22 @@ def sub_codes(words: Column, bands: int) -> list[Column]:
     return [F.shiftrightunsigned(words[i // 4], 16 * (i % 4)).bitwiseAND(F.lit(0xFFFF)).cast("int") for i in range(bands)]
 
 
-def hamming_knn(queries: DataFrame, base: DataFrame, k: int, value: str, query_id: str, base_id: str, radius: int = 1, most: float = 0.1, block_bytes: int | None = None) -> DataFrame:
+def hamming_knn(queries: DataFrame, base: DataFrame, k: int, value: str, query_id: str, base_id: str, radius: int = 1, most: float = 0.1, block_bytes: int | None = None, few_pairs: int = 1 << 24) -> DataFrame:
     """The rows of ``knn`` for hamming, without all pairs where sub-codes prove the answer.
 
     Two descriptors of b slices that differ in fewer than b * (r + 1) bits differ in r bits
     at most in some slice. So a join on slices and their neighbours within r bits finds
     every base row nearer than that, and a query with k of them is done. r goes from 0 to
     ``radius``; queries that are not done, and those whose slices alone meet more than
-    ``most`` of the base, are compared with it in blocks. A pair that meets in several
-    slices counts at the first. Rows with a null value are left out.
+    ``most`` of the base, are compared with it in blocks; so are all queries where there
+    are no more than ``few_pairs`` pairs, which costs less than the joins. A pair that meets
+    in several slices counts at the first. Rows with a null value are left out.
     """
     q = kept(queries.where(F.col(value).isNotNull()).select(F.col(query_id).alias("query"), as_words(queries, value).alias("qv")))
     b = base.where(F.col(value).isNotNull()).select(F.col(base_id).cast("long").alias("base"), as_words(base, value).alias("bv"))
     one = q.select(F.size("qv").alias("n")).first()
     rows = b.count()
-    if one is None or not rows:
+    if one is None or rows * q.count() <= few_pairs:
         return knn(queries, base, "hamming", k, value, query_id, base_id)
     bands = one.n * 64 // BAND_BITS
     cut = lambda words: F.posexplode(F.array(*sub_codes(F.col(words), bands))).alias("band", "code")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,9 @@ from lodestar.functions import exprs as X
 from lodestar.operators import bow, cluster, imaging, linalg, trajectory, vlad
 from lodestar.operators.knn import hamming_knn as banded_knn
 from lodestar.operators.knn import knn, lsh_candidates, ratio_test
+from lodestar.operators.placemap import PlaceMap, Settings, load_map
 from lodestar.sources import datasets, tables
+from lodestar.sources.shared import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -211,7 +214,7 @@ h AS (SELECT q.kp_ind AS q, m.kp_ind AS word_id, sum(bit_count(xor(q.bits, m.bit
 @query(f"WITH {WIDE} SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY q ORDER BY dist, word_id))::INT AS rank FROM h) WHERE rank <= 2")
 def wide_hamming_knn(spark, d):
     q, m = (x.withColumn("wide", X.sign_words(F.concat(*[F.concat(F.slice("vec", 16 * t + 1, 64 - 16 * t), F.slice("vec", 1, 16 * t)) if t else F.col("vec") for t in range(4)]))) for x in split(spark, d))
-    return banded_knn(q, m, 2, "wide", "q", "word_id")
+    return banded_knn(q, m, 2, "wide", "q", "word_id", few_pairs=0)
 
 
 def knn_sql(term: str) -> str:
@@ -375,6 +378,46 @@ def concat_descriptors(spark, d):
     return flat.select("image_id", F.size("all").cast("long").alias("n"), r6(X.total(F.col("all"))).alias("total"))
 
 
+# maps
+
+#: Images 0 to 9 begin the map, 10 to 19 are matched against it, 20 on are queries.
+MAP = f"""{VEC}, w1 AS (SELECT row_number() OVER (ORDER BY image_id, kp_ind) - 1 AS word_id, image_id, kp_ind, bits FROM b WHERE image_id < 10),
+h2 AS (SELECT q.image_id, q.kp_ind, w.word_id, bit_count(xor(q.bits, w.bits)) AS dist FROM b q CROSS JOIN w1 w WHERE q.image_id BETWEEN 10 AND 19),
+k2 AS (SELECT *, row_number() OVER o AS rank, lead(dist) OVER o AS second FROM h2 WINDOW o AS (PARTITION BY kp_ind ORDER BY dist, word_id)),
+m2 AS (SELECT image_id, kp_ind, word_id FROM k2 WHERE rank = 1 AND dist < {RATIO} * second),
+w2 AS (SELECT row_number() OVER (ORDER BY image_id, kp_ind) - 1 + (SELECT count(*) FROM w1) AS word_id, image_id, kp_ind, bits FROM b WHERE image_id BETWEEN 10 AND 19 AND kp_ind NOT IN (SELECT kp_ind FROM m2)),
+w AS (SELECT * FROM w1 UNION ALL SELECT * FROM w2), po AS (SELECT word_id, image_id, kp_ind FROM w UNION ALL SELECT word_id, image_id, kp_ind FROM m2)"""
+
+
+def place_map(spark, d):
+    v = tables.vectors(spark, d).select("image_id", "kp_ind", "bits")
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/map-{uuid.uuid4().hex[:12]}"
+    meta = v.select("image_id", F.concat(F.lit("place "), "image_id").alias("place")).distinct()
+    target = PlaceMap(spark, path, Settings(ratio_ingest=RATIO, ratio_query=RATIO, purge=False))
+    for number, part in enumerate((v.where("image_id < 10"), v.where("image_id BETWEEN 10 AND 19"))):
+        target.add(part, meta, batch=number)
+        target.add(part, meta, batch=number)  # comes again: changes nothing
+    return load_map(spark, path, read_only=True), v.where("image_id >= 20")
+
+
+@query(f"WITH {MAP} SELECT w.word_id, any_value(w.bits) AS bits, any_value(w.image_id) AS first_image, count(*) AS postings, count(DISTINCT po.image_id) AS images FROM w JOIN po USING (word_id) GROUP BY 1")
+def map_ingest(spark, d):
+    found, _ = place_map(spark, d)
+    counts = found.table("postings").groupBy("word_id").agg(F.count(F.lit(1)).alias("postings"), F.countDistinct("image_id").alias("images"))
+    return found.table("words").join(counts, "word_id").select("word_id", "bits", "first_image", "postings", "images")
+
+
+@query(f"""WITH {MAP}, h AS (SELECT q.image_id AS query_id, q.kp_ind, w.word_id, bit_count(xor(q.bits, w.bits)) AS dist FROM b q CROSS JOIN w WHERE q.image_id >= 20),
+k AS (SELECT *, row_number() OVER o AS rank, lead(dist) OVER o AS second FROM h WINDOW o AS (PARTITION BY kp_ind ORDER BY dist, word_id)),
+f AS (SELECT query_id, word_id, count(*) AS nwi FROM k WHERE rank = 1 AND dist < {RATIO} * second GROUP BY ALL), r AS (SELECT image_id AS query_id, count(*) AS r FROM b WHERE image_id >= 20 GROUP BY 1),
+c AS (SELECT word_id, image_id, count(*) AS c FROM po GROUP BY ALL), df AS (SELECT word_id, count(*) AS df FROM c GROUP BY 1),
+s AS (SELECT query_id, image_id, sum(nwi * nwi / r * ln((SELECT count(DISTINCT image_id) FROM po) / df) * c) AS score FROM f JOIN c USING (word_id) JOIN df USING (word_id) JOIN r USING (query_id) GROUP BY ALL)
+SELECT query_id, rank, image_id, {S('score')} AS score, 'place ' || image_id AS place FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, image_id))::INT AS rank FROM s) WHERE rank <= 5""")
+def map_query(spark, d):
+    found, queries = place_map(spark, d)
+    return found.query(queries, described=True).withColumn("score", r6("score"))
+
+
 # trajectories
 
 BR = f"""{TRJ}, br AS (SELECT f.image_id, f.user_id, f.ts, p.ts AS pt, p.easting AS pe, p.northing AS pn, n.ts AS nt, n.easting AS ne, n.northing AS nn FROM f

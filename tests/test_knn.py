@@ -42,7 +42,7 @@ def frame(spark, rows, name, kind="long"):
 @pytest.mark.parametrize("most", [1.0, 0.1, 0.0])
 def test_sub_codes(spark, descriptors, radius, most):
     queries, base, far = descriptors
-    got = nn.hamming_knn(frame(spark, queries, "q"), frame(spark, base, "b"), 2, "v", "q", "b", radius, most)
+    got = nn.hamming_knn(frame(spark, queries, "q"), frame(spark, base, "b"), 2, "v", "q", "b", radius, most, few_pairs=0)
     assert found(got) == brute(far, 2)
 
 
@@ -54,7 +54,7 @@ def test_sub_codes_spare_the_blocks(spark, descriptors, monkeypatch):
     monkeypatch.setattr(nn, "knn", lambda q, *a, **b: (left.append(q.count()), whole(q, *a, **b))[1])
     near = queries[:16]
     twice = np.concatenate((base[:200], base[:200]))
-    got = found(nn.hamming_knn(frame(spark, near, "q"), frame(spark, twice, "b"), 2, "v", "q", "b"))
+    got = found(nn.hamming_knn(frame(spark, near, "q"), frame(spark, twice, "b"), 2, "v", "q", "b", few_pairs=0))
     assert left == [0]
     assert got == brute(np.bitwise_count(near.view(np.uint64)[:, None] ^ twice.view(np.uint64)[None]).sum(2), 2)
 
@@ -92,7 +92,7 @@ def test_ids_of_any_kind_and_one_word(spark):
     q = spark.createDataFrame([((1, "a"), 3), ((1, "b"), 12)], "f struct<i: int, s: string>, bits long")
     b = spark.createDataFrame([(7, 1), (5, 2), (9, 15), (11, None)], "w long, bits long")
     want = {("a", 1): (5, 1), ("a", 2): (7, 1), ("b", 1): (9, 2), ("b", 2): (5, 3)}
-    for got in (nn.knn(q, b, "hamming", 2, "bits", "f", "w"), nn.hamming_knn(q, b, 2, "bits", "f", "w")):
+    for got in (nn.knn(q, b, "hamming", 2, "bits", "f", "w"), nn.hamming_knn(q, b, 2, "bits", "f", "w", few_pairs=0), nn.hamming_knn(q, b, 2, "bits", "f", "w")):
         assert {(r.f.s, r["rank"]): (r.w, r.dist) for r in got.collect()} == want
 
 
