@@ -506,11 +506,39 @@ def desample(spark, d):
     return out.select("user_id", F.unix_micros("target").alias("target_us"), F.unix_micros("ts").alias("us"), "northing")
 
 
-@query("SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' - INTERVAL 250 MILLISECONDS AND ts <= TIMESTAMP '2024-01-12 00:00:00'")
+RANGE = """e AS (SELECT event_id, user_id, ts, TIMESTAMP '2024-01-05 00:00:00' AS start, TIMESTAMP '2024-01-12 00:00:00' AS stop FROM events), c AS (SELECT *, min(ts) OVER (PARTITION BY user_id) AS first FROM e),
+i AS (SELECT event_id, user_id, ts FROM c WHERE ts <= stop AND ts >= CASE WHEN first <= start - INTERVAL {0} THEN start - INTERVAL {0} ELSE start END)"""
+
+
+@query(f"WITH {RANGE.format('250 MILLISECONDS')} SELECT event_id, user_id FROM i")
 def fuzzy_time_range(spark, d):
     return trajectory.time_range(tables.events(spark, d), "user_id", "2024-01-05 00:00:00", "2024-01-12 00:00:00").select("event_id", "user_id")
 
 
+@query(f"WITH {RANGE.format('36 HOURS')} SELECT user_id, count(*) AS n, min(event_id) AS first_event, epoch_us(min(ts)) AS first_us FROM i GROUP BY 1")
+def bag_range(spark, d):
+    rows = trajectory.selected(tables.events(spark, d), "user_id", -1, "2024-01-05 00:00:00", "2024-01-12 00:00:00", 36 * 3600.0)
+    return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"), F.unix_micros(F.min("ts")).alias("first_us"))
+
+
+@query(f"""WITH {TRJ}, s AS (SELECT user_id, min(ts) AS s FROM t GROUP BY 1), q AS (SELECT user_id, k::DOUBLE * 40000.5 AS seconds, make_timestamp(epoch_us(s) + k * 40000500000) AS ts FROM s CROSS JOIN range(60) r(k)),
+br AS (SELECT q.user_id, q.seconds, q.ts, p.ts AS pt, p.easting AS pe, p.northing AS pn, n.ts AS nt, n.easting AS ne, n.northing AS nn FROM q ASOF JOIN t p ON q.user_id = p.user_id AND q.ts >= p.ts ASOF JOIN t n ON q.user_id = n.user_id AND q.ts <= n.ts),
+ip AS (SELECT *, CASE WHEN nt > pt THEN (epoch_us(ts) - epoch_us(pt)) / (epoch_us(nt) - epoch_us(pt)) ELSE 0 END AS r FROM br)
+SELECT user_id, seconds, epoch_us(ts) AS us, {S('pe + (ne - pe) * r')} AS easting, {S('pn + (nn - pn) * r')} AS northing FROM ip""")
+def position_at_seconds(spark, d):
+    t = tables.trajectory(spark, d)
+    wanted = t.select("user_id").distinct().withColumn("seconds", F.explode(F.array(*[F.lit(k * 40000.5) for k in range(60)])))
+    out = trajectory.at_offset(wanted, t, "user_id", ["easting", "northing"], strict=False)
+    return out.select("user_id", "seconds", F.unix_micros("ts").alias("us"), r6("easting").alias("easting"), r6("northing").alias("northing"))
+
+
+@query(f"WITH {TRJ}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM t), w AS (SELECT unnest([0, 7, -1, -3])::BIGINT AS place) SELECT user_id, place, easting, northing FROM r JOIN w ON i = CASE WHEN place < 0 THEN n + place ELSE place END")
+def position_by_index(spark, d):
+    t = tables.trajectory(spark, d)
+    wanted = t.select("user_id").distinct().withColumn("place", F.explode(F.array(*[F.lit(i).cast("long") for i in (0, 7, -1, -3)])))
+    return trajectory.at_index(wanted, t, "user_id", strict=False).select("user_id", "place", "easting", "northing")
+
+
 @query(f"WITH {TRJ} SELECT user_id, {S('(max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6')} AS seconds, count(*) AS n FROM t GROUP BY 1")
 def trajectory_duration(spark, d):
     return trajectory.duration(tables.trajectory(spark, d), "user_id").withColumn("seconds", r6("seconds"))
