@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from lodestar.operators.knn import hamming_knn as banded_knn
 from lodestar.operators.knn import knn, lsh_candidates, ratio_test
 from lodestar.operators.placemap import PlaceMap, Settings, load_map
 from lodestar.sources import datasets, tables
-from lodestar.sources.shared import shared_dir
+from lodestar.sources.shared import kept, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -751,17 +752,22 @@ def symmetrize(spark, d):
     return linalg.symmetrize(upper(spark, d)).withColumn("d", r6("d"))
 
 
-@query(f"WITH {PAIR} SELECT i, j, CASE WHEN j = i + 1 THEN {S('d')} END AS d FROM pw")
+def l2(a, b):
+    return F.sqrt(F.round(X.sq_euclidean(a, b), 9))
+
+
+@query(f"WITH {PAIR} SELECT i, j, {S('d')} AS d FROM pw WHERE j = i + 1")
 def contiguity_distance(spark, d):
-    near = tables.vectors(spark, d).select(F.col("kp_ind").alias("i"), (F.col("kp_ind") + 1).alias("j"))
-    return linalg.contiguous(upper(spark, d), near).withColumn("d", r6("d"))
+    v = tables.vectors(spark, d)
+    near = v.select(F.col("kp_ind").alias("i"), (F.col("kp_ind") + 1).alias("j"))
+    return linalg.contiguous(v, near, l2, "vec").withColumn("d", r6("d"))
 
 
 @query(f"WITH {PAIR}, w AS (SELECT kp_ind AS i, (kp_ind * 7) % (SELECT count(*) FROM v) AS j FROM v) SELECT w.i, w.j, CASE WHEN w.i = w.j THEN 0.0 ELSE {S('pw.d')} END AS d FROM w LEFT JOIN pw ON pw.i = least(w.i, w.j) AND pw.j = greatest(w.i, w.j)")
 def triangle_lookup(spark, d):
     v = tables.vectors(spark, d)
     wanted = v.select(F.col("kp_ind").alias("i"), (F.col("kp_ind") * 7 % v.count()).alias("j"))
-    return linalg.lookup(upper(spark, d), wanted).withColumn("d", r6("d"))
+    return linalg.between(v, wanted, l2, "vec").withColumn("d", r6("d"))
 
 
 def entries(spark, d):
@@ -824,14 +830,21 @@ def power_iteration_step(spark, d):
 
 @query(None)
 def largest_eigenvalue(spark, d):
-    g = linalg.gram(entries(spark, d)).persist()
-    return spark.createDataFrame([(round(v, 3),) for v, _ in linalg.eigenpairs(g, 50, rounds=30)], "value double")
+    """The largest and the smallest eigenvalue of the products of lineitem's seven columns."""
+    e = entries(spark, d)
+    g = kept(linalg.gram(e.select(F.col("pos").alias("row"), F.col("row").alias("pos"), "x")))
+    values = linalg.eigenpairs(g, 7)[0]  # the whole block: neighbouring small values would need many rounds of a shifted matrix
+    return spark.createDataFrame([("largest", round(values[0], 3)), ("smallest", round(values[-1], 3))], "which string, value double")
 
 
 @query(None)
 def svd(spark, d):
-    g = linalg.gram(entries(spark, d)).persist()
-    return spark.createDataFrame([(i, round(max(v, 0.0) ** 0.5, 3)) for i, (v, _) in enumerate(linalg.eigenpairs(g, 50, pairs=2, rounds=20))], "rank long, singular double")
+    """Singular values with their left and right vectors, each vector's largest entry positive."""
+    values, left, right = linalg.svd(entries(spark, d), 2)
+    rows = [side.select(F.lit(name).alias("side"), F.lit(j).alias("rank"), F.lit(round(v, 3)).alias("singular"), F.col(c).cast("long").alias("at"), F.col(f"x{j}").alias("x")) for name, side, c in (("left", left, "row"), ("right", right, "pos")) for j, v in enumerate(values)]
+    both = reduce(DataFrame.union, rows)
+    sign = F.signum(F.max_by("x", F.struct(F.round(F.abs("x"), 6), "at")).over(Window.partitionBy("side", "rank")))
+    return both.withColumn("x", r6(F.col("x") * sign))
 
 
 # imaging and rows
