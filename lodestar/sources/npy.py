@@ -49,6 +49,13 @@ def npy_bytes(values: list[list[float]], dtype: str = "<f4") -> bytes:
 
 
 def to_npy(df: DataFrame, group: str, order: str, values: str, dtype: str = "<f4") -> DataFrame:
-    """(group, content): the rows of each group as one .npy file's bytes; for binary sinks."""
-    packed = F.udf(lambda rows: npy_bytes([r[1] for r in sorted(rows, key=lambda r: r[0])], dtype), "binary")
-    return df.groupBy(group).agg(packed(F.collect_list(F.struct(F.col(order), F.col(values)))).alias("content"))
+    """(group, content): the rows of each group, in ``order``, as one .npy file's bytes; for binary sinks. One file is one task's."""
+    import pyarrow as pa
+    import pyarrow.compute  # noqa: F401
+
+    def pack(table: pa.Table) -> pa.Table:
+        rows = table.take(pa.compute.sort_indices(table.column("order")))
+        return pa.table({"group": rows.column("group").slice(0, 1), "content": pa.array([npy_bytes(rows.column("values").to_pylist(), dtype)], pa.binary())})
+
+    rows = df.select(F.col(group).alias("group"), F.col(order).alias("order"), F.col(values).alias("values"))
+    return rows.groupBy("group").applyInArrow(pack, f"group {df.schema[group].dataType.simpleString()}, content binary").withColumnRenamed("group", group)

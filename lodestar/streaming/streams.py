@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestar.functions.exprs import utm
 from lodestar.operators.placemap import PlaceMap
+from lodestar.sources import images
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +41,15 @@ def localize(queries: DataFrame, target: PlaceMap, out: str, checkpoint: str, n:
     run_once(queries, lambda batch, number: target.query(batch, n, described=True).write.mode("overwrite").parquet(f"{out}/batch={number}"), checkpoint)
 
 
+def write_frames(frames: DataFrame, folder: str, checkpoint: str, log: str | None = None) -> None:
+    """A stream of encoded frames (name, content) to one file each; ``log`` gets (name, bytes) of each batch.
+
+    A batch that comes again writes the same files and the same folder of the log.
+    """
+    log = log or f"{folder.rstrip('/')}-log"
+    run_once(frames, lambda batch, number: images.write_files(batch, folder).write.mode("overwrite").parquet(f"{log}/batch={number}"), checkpoint)
+
+
 def utm_stream(fixes: DataFrame, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     """Stateless projection of GNSS fixes."""
     zone, easting, northing = utm(F.col(lat), F.col(lon))
