@@ -308,4 +308,8 @@ def prepared(pixels: DataFrame, width: int, height: int, factor: float = 0.53333
 
 def extract(images: DataFrame, extractor: Callable, schema: str) -> DataFrame:
     """Features of image rows by a caller's mapInPandas function; images without any give no rows."""
-    return images.mapInPandas(extractor, schema)
+
+    def run(batches):
+        yield from (found for found in extractor(batches) if len(found))  # an empty frame would come back as a row of nulls
+
+    return images.mapInPandas(run, schema)

@@ -41,6 +41,14 @@ def read_npy(spark: SparkSession, path: str, dtype: str | None = None) -> DataFr
     return files.mapInPandas(load, f"path string, row long, values array<{'long' if whole else 'double'}>")
 
 
+def codebook(spark: SparkSession, path: str) -> DataFrame:
+    """(k, center): the rows of one 2-D .npy file; several files fail."""
+    rows = read_npy(spark, path)
+    if rows.select("path").distinct().count() > 1:
+        raise ValueError(f"{path} names more than one codebook")
+    return rows.select(F.col("row").alias("k"), F.col("values").alias("center"))
+
+
 def npy_bytes(values: list[list[float]], dtype: str = "<f4") -> bytes:
     """One array as the bytes of a .npy file of format 1.0."""
     out = io.BytesIO()
