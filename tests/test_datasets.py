@@ -101,7 +101,7 @@ def test_codebook_and_extractor(spark, tmp_path):
 
     def extractor(batches):
         for pdf in batches:
-            yield pdf[pdf.n > 0].assign(bits=pdf.n * 2)[["image_id", "bits"]]
+            yield pdf.assign(bits=pdf.n * 2)[pdf.n > 0][["image_id", "bits"]]
 
     images = spark.createDataFrame([(1, 0), (2, 5)], "image_id long, n long")
     assert [tuple(r) for r in extract(images, extractor, "image_id long, bits long").collect()] == [(2, 10)]
