@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -38,57 +38,79 @@ def bin_cost(capacity: int, largest: int, overhead: float = OVERHEAD, long: floa
 def best_fit(sizes: Sequence[int], capacities: Sequence[int], overhead: float = OVERHEAD, long: float = LONG) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bin and offset of each size, none above the largest capacity, and each bin's capacity.
 
-    The largest size left opens a bin. For each permitted capacity the bin is filled, from
-    the histogram of all sizes left, with the size that fits the room best, again and again;
-    the capacity whose filled bin costs least for each token it holds is opened, and its
-    sizes leave the histogram, so that no two bins count on the same ones. Each bin shrinks
-    to the smallest capacity that holds its contents. Equal sizes are taken in their order.
+    Sizes come largest first, equal ones in their order; each goes into the open bin that
+    it leaves the least room, and bins stay open to the end. Where none has room, a bin is
+    opened: for each permitted capacity it is filled, in thought, with the sizes that no bin
+    counts on yet, always the one that fits the room best; the capacity that costs least for
+    each token is opened, and the bin counts on those sizes, so that no two count on the same
+    ones. What comes may differ, as every size takes the tightest room. At last each bin
+    shrinks to the smallest capacity that holds its contents. With one capacity this is
+    best-fit decreasing.
     """
     capacities = sorted(capacities)
     largest = capacities[-1]
-    bins, offsets = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-    places: dict[int, list[int]] = defaultdict(list)
-    for i in range(len(sizes) - 1, -1, -1):
-        places[sizes[i]].append(i)
-    left = 0  # bit s is set while a size s is left
-    for s in places:
-        left |= 1 << s
     costs = {c: bin_cost(c, largest, overhead, long) for c in capacities}
+    free, counted_on = Counter(sizes), Counter()
+    left = sum(1 << s for s in free)  # bit s is set while a size s is free
 
-    def filled(room: int, first: int) -> list[int]:
-        free, taken, used = left, [], {first: 1}
-        if len(places[first]) == 1:
-            free ^= 1 << first
+    def take(s: int) -> None:
+        nonlocal left
+        free[s] -= 1
+        if not free[s]:
+            left ^= 1 << s
+
+    def filled(room: int) -> list[int]:
+        rest, used, taken = left, Counter(), []
         while room > 0:
-            s = (free & ((2 << room) - 1)).bit_length() - 1
+            s = (rest & ((2 << room) - 1)).bit_length() - 1
             if s < 1:
                 break
             taken.append(s)
             room -= s
-            used[s] = used.get(s, 0) + 1
-            if used[s] == len(places[s]):
-                free ^= 1 << s
+            used[s] += 1
+            if used[s] == free[s]:
+                rest ^= 1 << s
         return taken
 
-    final = []
-    while left:
-        first, best = left.bit_length() - 1, None
+    def opened(first: int) -> tuple[int, list[int]]:
+        best = None
         for c in capacities[bisect_left(capacities, first) :]:
-            taken = filled(c - first, first)
+            taken = filled(c - first)
             held = first + sum(taken)
             fit = capacities[bisect_left(capacities, held)]
-            price = costs[fit] / held
-            if best is None or price < best[0]:
-                best = price, fit, taken
-        at = 0
-        for s in (first, *best[2]):
-            i = places[s].pop()
-            if not places[s]:
-                left ^= 1 << s
-            bins[i], offsets[i] = len(final), at
-            at += s
-        final.append(best[1])
-    return bins, offsets, np.array(final, np.int64)
+            if best is None or costs[fit] / held < best[0]:
+                best = costs[fit] / held, fit, taken
+        return best[1:]
+
+    bins, offsets, held = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), []
+    rooms: dict[int, list[int]] = defaultdict(list)
+    some = 0  # bit r is set while an open bin has room r
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        s = sizes[i]
+        if counted_on[s]:
+            counted_on[s] -= 1
+        else:
+            take(s)
+        fits = some >> s
+        if fits:
+            room = s + (fits & -fits).bit_length() - 1
+            to = rooms[room].pop()
+            if not rooms[room]:
+                some ^= 1 << room
+        else:
+            room, taken = opened(s)
+            for x in taken:
+                take(x)
+                counted_on[x] += 1
+            to = len(held)
+            held.append(0)
+        bins[i], offsets[i] = to, held[to]
+        held[to] += s
+        room -= s
+        if room:
+            some |= 1 << room
+            rooms[room].append(to)
+    return bins, offsets, np.array([capacities[bisect_left(capacities, h)] for h in held], np.int64)
 
 
 def token_lengths(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
