@@ -15,6 +15,7 @@ is reached by its block's key range (Parquet statistics on ``first_key`` and
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -79,6 +80,10 @@ def open_block(payload: bytes) -> tuple[np.ndarray, int, np.ndarray, Callable[[i
     return keys, nulls, np.concatenate(([0], ends)), lambda start, stop: unpack_bits(body, bits, start, stop)
 
 
+#: Words of letters that no normal form changes and one code point lower-cases; without the sign that special tokens begin with.
+PLAIN = r"[\x21-\x3B\x3D-\x7E\xA1\xBF-\xFF]*"
+
+
 def inside_words(spec: dict) -> bool:
     """Whether a tokenizer's file shows that no token, and no rule that makes one, reaches across ASCII white space.
 
@@ -86,6 +91,8 @@ def inside_words(spec: dict) -> bool:
     normal forms that change or join nothing across a blank, a split of which every
     alternative matches characters that are not white space and drops the rest, a byte-level
     step that adds no blank, added tokens without blanks, and neither cutting nor padding.
+    As words of plain characters do not meet the whole tokenizer, every added token must
+    hold a character that is not plain.
     """
     forms = (spec.get("normalizer") or {}).get("normalizers", [])
     splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -101,7 +108,7 @@ def inside_words(spec: dict) -> bool:
         and not spec["model"].get("dropout")
         and not spec.get("truncation")
         and not spec.get("padding")
-        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or len(t["content"].split()) != 1 for t in spec.get("added_tokens", []))
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or len(t["content"].split()) != 1 or re.fullmatch(PLAIN, t["content"]) for t in spec.get("added_tokens", []))
     )
 
 
@@ -118,7 +125,7 @@ class TextEncoder:
 
     #: WORD_SPLIT for Arrow's expressions.
     PIECES = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
-    #: Letters that no normal form changes and one code point lower-cases; without the sign that special tokens begin with.
+    #: PLAIN for Arrow's expressions.
     PLAIN = r"^[\x21-\x3B\x3D-\x7E\x{A1}\x{BF}-\x{FF}]*$"
     _line = 200
 

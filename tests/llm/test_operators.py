@@ -425,6 +425,20 @@ def test_best_fit_is_near_the_optimum():
     assert exact >= 40
 
 
+def test_best_fit_of_one_capacity_is_best_fit_decreasing():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        sizes, rooms = rng.integers(1, 100, 60).tolist(), []
+        bins, _, _ = packing.best_fit(sizes, (100,))
+        for s in sorted(sizes, reverse=True):
+            fits = [i for i, room in enumerate(rooms) if room >= s]
+            if fits:
+                rooms[min(fits, key=rooms.__getitem__)] -= s
+            else:
+                rooms.append(100 - s)
+        assert sorted(np.bincount(bins, sizes).astype(int).tolist()) == sorted(100 - room for room in rooms)
+
+
 def test_best_fit_fills():
     sizes = sorted(RNG.integers(1, 900, 3000).tolist(), reverse=True)
     _, _, capacity = packing.best_fit(sizes, (256, 512, 1024))
@@ -495,6 +509,36 @@ def test_text_encoder_is_the_tokenizer(memory):
         assert ids.tolist() == [i for x in want[lo:] for i in x]
 
 
+@pytest.mark.parametrize("change, by_words", [("none", True), ("plain token", False), ("odd token", True), ("split", False), ("truncation", False), ("normalizer", False)])
+def test_text_encoder_of_altered_files(tmp_path, change, by_words):
+    """Whatever the file, ids are the library's; what a plain word could meet turns the way by words off."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(TOKENIZER, encoding="utf-8") as f:
+        spec = json.load(f)
+    token = {"id": 1 + max(spec["model"]["vocab"].values()), "content": "[PAD]", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
+    if "token" in change:
+        token["id"] = max(token["id"], 1 + max((t["id"] for t in spec["added_tokens"]), default=0))
+        spec["added_tokens"].append(token | ({"content": "<PAD>"} if change == "odd token" else {}))
+    elif change == "split":
+        spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"\S+"
+    elif change == "truncation":
+        spec["truncation"] = {"direction": "Right", "max_length": 7, "strategy": "LongestFirst", "stride": 0}
+    elif change == "normalizer":
+        spec["normalizer"] = {"type": "Sequence", "normalizers": [{"type": "NFKD"}, {"type": "Lowercase"}]}
+    path = str(tmp_path / "altered.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    tok, coder = Tokenizer.from_file(path), token_files.TextEncoder(path)
+    assert coder.by_words == by_words
+    texts = ["some [PAD] text x[PAD]y", "a<PAD>b <PAD>", *odd_texts(300, 9)]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, counts = coder.encode(pa.array(texts))
+    assert ids.tolist() == [i for x in want for i in x] and counts.tolist() == [len(x) for x in want]
+
+
 def test_text_encoder_takes_any_tokenizer_whole():
     from tokenizers import Tokenizer
 
