@@ -2,11 +2,15 @@
 
 A k-mer of code points is chosen when the smallest hash among its inner s-mers
 stands at its first or last place. The choice depends on the k-mer alone, so two
-texts choose the same anchors wherever they share k characters, at any offset.
+texts choose the same anchors wherever they share k characters, at any offset. A
+fingerprint lists the anchors of least hash in the order in which the text has them, and
+two fingerprints are matched by position: only anchors that both have in one order count,
+so passages that change places are no likeness, and what is inserted or cut moves nothing.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,8 +60,18 @@ def anchors(many: list[str], k: int = K, s: int = S) -> Iterator[tuple[np.ndarra
             yield hashes[cut[i] : cut[i + 1]], chosen[cut[i] : cut[i + 1]] - lo
 
 
+def sketch(hashes: np.ndarray, size: int = SIZE) -> np.ndarray:
+    """The ``size`` smallest distinct anchor hashes, 32 bits of each, in the order of their first places."""
+    top = (hashes >> np.uint64(32)).astype(np.uint32)
+    if len(top) > 4 * size:
+        some = top[top <= np.partition(top, 2 * size)[2 * size]]
+        top = some if len(np.unique(some)) >= size else top
+    values, first = np.unique(top, return_index=True)
+    return values[:size][np.argsort(first[:size], kind="stable")]
+
+
 def sketches(many: list[str], k: int = K, s: int = S, size: int = SIZE) -> Iterator[np.ndarray]:
-    """Per text its ``size`` smallest distinct anchor hashes, 32 bits of each, ascending."""
+    """The sketch of each text."""
     lo = 0
     while lo < len(many):
         hi, total = lo, 0
@@ -65,27 +79,38 @@ def sketches(many: list[str], k: int = K, s: int = S, size: int = SIZE) -> Itera
             total += len(many[hi])
             hi += 1
         for hashes, _ in anchors(many[lo:hi], k, s):
-            top = (hashes >> np.uint64(32)).astype(np.uint32)
-            if len(top) > 4 * size:
-                top = np.partition(top, 2 * size)[: 2 * size] if len(np.unique(np.partition(top, 2 * size)[: 2 * size])) >= size else top
-            yield np.unique(top)[:size]
+            yield sketch(hashes, size)
         lo = hi
 
 
-def as_text(sketch: np.ndarray) -> str:
-    return sketch.astype(">u4").tobytes().hex()
+def as_text(own: np.ndarray) -> str:
+    return own.astype(">u4").tobytes().hex()
+
+
+def in_order(places: list[int]) -> int:
+    """Length of the longest increasing subsequence of different numbers."""
+    ends: list[int] = []
+    for x in places:
+        at = bisect_left(ends, x)
+        ends[at : at + 1] = [x]
+    return len(ends)
 
 
 def likeness(a: np.ndarray, b: np.ndarray, size: int = SIZE) -> float:
-    """Jaccard estimate of two bottom sketches; two empty ones are alike, one empty is unlike."""
+    """Share of the smallest hashes of both sketches that both have in one order; two empty ones are alike, one empty is unlike.
+
+    An estimate of the anchors' Jaccard likeness, less those whose passages have changed places.
+    """
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     both = np.union1d(a, b)[:size]
-    return len(np.intersect1d(np.intersect1d(a, b, True), both, True)) / len(both)
+    shared, in_a, in_b = np.intersect1d(a, b, True, return_indices=True)
+    known = shared <= both[-1]
+    return in_order(in_b[known][np.argsort(in_a[known])].tolist()) / len(both)
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, s: int = S, size: int = SIZE) -> DataFrame:
-    """Rows of ``key``, fingerprint string (hex of the bottom sketch), and every anchor as arrays hashes, positions.
+    """Rows of ``key``, fingerprint string (hex of the sketch, in text order), and every anchor as arrays hashes, positions.
 
     A null text counts as empty: an empty fingerprint and no anchors. Null and
     repeated keys are kept as they are. Other columns are ignored.
@@ -96,7 +121,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
             many = [t or "" for t in batch.column("text").to_pylist()]
             got = [x for t in many for x in anchors([t], k, s)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array([as_text(np.unique((h >> np.uint64(32)).astype(np.uint32))[:size]) for h, _ in got], pa.string()), pa.array([h.view(np.int64) for h, _ in got], pa.list_(pa.int64())), pa.array([p for _, p in got], pa.list_(pa.int64()))],
+                [batch.column("key"), pa.array([as_text(sketch(h, size)) for h, _ in got], pa.string()), pa.array([h.view(np.int64) for h, _ in got], pa.list_(pa.int64())), pa.array([p for _, p in got], pa.list_(pa.int64()))],
                 ["key", "fingerprint", "hashes", "positions"],
             )
 

@@ -76,6 +76,45 @@ def test_anchors_are_context_free():
     assert whole == set(zip(*next(syncmers.anchors([inner])), strict=True))
 
 
+def naive_anchors(text, k=syncmers.K, s=syncmers.S):
+    """Closed syncmers one by one, on hashes of their own making from the library's hash of a window."""
+    from lodestar.llm.words import mix, windows
+
+    units = mix(np.array([ord(c) for c in text], np.uint64) + np.uint64(1))
+    h = lambda i, n: int(windows(units, np.array([i]), np.array([i + n]))[0])
+    found = []
+    for i in range(len(text) - k + 1):
+        inner = [h(i + j, s) for j in range(k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            found.append((h(i, k), i))
+    return found or ([(h(0, len(text)), 0)] if text else [])
+
+
+def test_fingerprints_by_naive_choice():
+    rng = np.random.default_rng(17)
+    texts = ["".join(rng.choice(list("abcdé 日"), int(n))) for n in rng.integers(0, 400, 25)] + ["ab" * 90, "x" * 60, ""]
+    for text, (hashes, places), own in zip(texts, syncmers.anchors(texts), syncmers.sketches(texts, size=20), strict=True):
+        want = naive_anchors(text)
+        assert list(zip(hashes.tolist(), places.tolist(), strict=True)) == want
+        first = {}
+        for h, p in want:
+            first.setdefault(h >> 32, p)
+        assert own.tolist() == sorted(sorted(first)[:20], key=first.get)
+
+
+def test_likeness_is_by_position():
+    a, b, c = prose(150, 31), prose(150, 32), prose(150, 33)
+    f = lambda t: next(syncmers.sketches([t]))
+    assert syncmers.likeness(f(a + b), f(a + b)) == 1 and syncmers.likeness(f(a), f(b)) < 0.05
+    assert syncmers.likeness(f(a + " " + b), f(b + " " + a)) < 0.65 < syncmers.likeness(f(a + " " + b), f("some more words " + a + " and " + b))
+    assert 0.2 < syncmers.likeness(f(a + b), f(a + c)) < 0.5
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        x = rng.permutation(12)
+        best = max(len(s) for m in range(1 << 8) if (s := [int(v) for i, v in enumerate(x[:8]) if m >> i & 1]) == sorted(s))
+        assert syncmers.in_order(x[:8].tolist()) == best
+
+
 def test_short_texts_have_anchors(spark):
     rng = np.random.default_rng(11)
     texts = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n)) for n in range(1, 40) for _ in range(40)]
