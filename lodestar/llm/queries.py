@@ -83,7 +83,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard": OP3, "op5_line_dedup": OP5, "op7_repeats": OP7, "op12_filter_audit": OP12, "op13_ranked_search": OP13}
+    return {"op3_jaccard": OP3, "op5_line_dedup": OP5, "op6_decontaminate": OP6, "op7_repeats": OP7, "op12_filter_audit": OP12, "op13_ranked_search": OP13}
 
 
 OP5 = r"""
@@ -99,6 +99,19 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (first < doc_id) AS n_droppe
 FROM keyed LEFT JOIN firsts USING (k) GROUP BY doc_id
 """
 
+#: All alignments of an item with a document that agree in enough words, their windows of 13, and of these the one that agrees most, then the earliest.
+OP6 = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
+a AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM d),
+b AS (SELECT item_id, len(w) AS m, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS j FROM i),
+h AS (SELECT doc_id, item_id, m, p - j AS shift, list(j) AS js FROM a JOIN b USING (word) GROUP BY doc_id, item_id, m, p - j HAVING count(*) >= least(m, 11)),
+s AS (SELECT *, least(m, 13) AS width, unnest(generate_series(0, m - least(m, 13))) AS s FROM h),
+c AS (SELECT doc_id, item_id, width, shift + s AS start, len(list_filter(js, lambda x: x >= s AND x < s + width)) AS agree FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY agree DESC, start) AS n FROM c WHERE agree >= CASE WHEN width < 13 THEN width ELSE 11 END)
+SELECT doc_id, item_id, agree::INT AS agree, width::INT AS "window", start::INT AS start FROM r WHERE n = 1
+"""
+
 #: Windows of 35 words that start in two places or more; the words under them go.
 OP7 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
