@@ -22,8 +22,8 @@ from lodestar.sources.shared import kept
 
 #: Bytes of values that leave the driver at once.
 BLOCK_BYTES = 32 << 20
-#: Pairs whose distances a task holds at once.
-PAIRS = 1 << 20
+#: Pairs whose distances a task holds at once, and queries among them, so that they stay in a core's cache.
+PAIRS, TILE = 1 << 18, 256
 BAND_BITS = 16
 
 
@@ -61,30 +61,56 @@ def _l2(q: np.ndarray, b: np.ndarray, need: np.ndarray, k: int, places: int | No
     """Pairs that may be among the k nearest, by a matrix product, with their distances taken exactly."""
     near = (q * q).sum(1)[:, None] - 2 * (q @ b.T) + (b * b).sum(1)[None]
     slack = 1e-9 * ((q * q).sum(1) + (b * b).sum(1).max()) + (0 if places is None else 10.0**-places)
-    i, j = np.nonzero(near <= (_limit(near, need, k) + slack)[:, None])
+    i, j = _where(near <= (_limit(near, need, k) + slack)[:, None])
     gap = q[i] - b[j]
     return i, j, (gap * gap).sum(1)
 
 
 def _l1(q: np.ndarray, b: np.ndarray, need: np.ndarray, k: int, places: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    far = np.stack([np.abs(b - x).sum(1) for x in q])
-    i, j = np.nonzero(far <= (_limit(far, need, k) + (0 if places is None else 10.0**-places))[:, None])
-    return i, j, far[i, j]
+    """Pairs that may be among the k nearest, by sums in single precision, with their distances taken exactly."""
+    size = np.abs(q).sum(1) + np.abs(b).sum(1).max(initial=0.0)
+    kind = np.float32 if size.max(initial=0.0) < 1e30 else float
+    qt, bt = (np.ascontiguousarray(x.T.astype(kind)) for x in (q, b))
+    near = np.zeros((len(q), len(b)), kind)
+    for at in range(0, len(q), 32):  # few rows at once: all dimensions pass over what the cache holds
+        part = near[at : at + 32]
+        gap = np.empty_like(part)
+        for x, y in zip(qt[:, at : at + 32], bt, strict=True):
+            np.subtract(x[:, None], y, out=gap)
+            np.add(part, np.abs(gap, out=gap), out=part)
+    slack = 2 * (q.shape[1] + 4) * np.finfo(kind).eps * size + (0 if places is None else 10.0**-places)
+    i, j = _where(near <= (_limit(near, need, k) + slack)[:, None])
+    return i, j, np.abs(q[i] - b[j]).sum(1)
 
 
 def differing(q: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits of every pair of rows of 64-bit words."""
-    return sum(np.bitwise_count(q[:, i, None] ^ b[None, :, i]).astype(np.int32) for i in range(q.shape[1]))
+    """Differing bits of every pair of rows of 64-bit words, in the least unsigned type that holds them."""
+    far = np.bitwise_count(q[:, 0, None] ^ b[None, :, 0]).astype(np.min_scalar_type(64 * q.shape[1]), copy=False)
+    for i in range(1, q.shape[1]):
+        far += np.bitwise_count(q[:, i, None] ^ b[None, :, i])
+    return far
 
 
 def _hamming(q: np.ndarray, b: np.ndarray, need: np.ndarray, k: int, places: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs that may be among the k nearest; where many may, the k lowest by distance and place alone, as b is in order of ids."""
     far = differing(q, b)
-    i, j = np.nonzero(far <= _limit(far, need, k)[:, None])
+    near = far <= np.minimum(need, 64 * q.shape[1]).astype(far.dtype)[:, None]
+    if far.shape[1] > k and np.count_nonzero(near) > 4 * k * len(q):
+        order = far.astype(np.int64) * far.shape[1] + np.arange(far.shape[1])
+        near &= order <= np.partition(order, k - 1, axis=1)[:, k - 1, None]
+    i, j = _where(near)
     return i, j, far[i, j].astype(float)
 
 
+def _where(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.divmod(np.flatnonzero(near), near.shape[1])
+
+
 def _limit(far: np.ndarray, need: np.ndarray, k: int) -> np.ndarray:
-    return need if far.shape[1] <= k else np.minimum(need, np.partition(far, k - 1, axis=1)[:, k - 1])
+    """need, or where many are within it the k-th distance here, if that is less."""
+    if far.shape[1] <= k or np.count_nonzero(far <= need[:, None]) <= 4 * k * len(far):
+        return need
+    return np.minimum(need, np.partition(far, k - 1, axis=1)[:, k - 1])
 
 
 _METRICS: dict[str, tuple[type, Callable]] = {"l2": (float, _l2), "l1": (float, _l1), "hamming": (np.uint64, _hamming)}
@@ -112,21 +138,31 @@ def _nearest_in(names: pa.Array, q: np.ndarray, metric: str, k: int, places: int
     kind, pairs = _METRICS[metric]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Nearest(len(q), k)
+        tiles = [(at, q[at : at + TILE], _Nearest(len(q[at : at + TILE]), k)) for at in range(0, len(q), TILE)]
         for batch in batches:
             ids, values = np.asarray(batch.column("base")), matrix(batch.column("value"), kind)
             if len(values) and values.shape[1] != q.shape[1]:
                 raise ValueError("vectors of one length are needed")
-            step = max(1, PAIRS // (len(q) * (q.shape[1] if metric == "l1" else 1)))
-            for lo in range(0, len(values), step):
-                i, j, far = pairs(q, values[lo : lo + step], best.need, k, places)
-                best.merge(i, far if places is None or metric == "hamming" else np.round(far, places) + 0.0, ids[lo + j])
-        if len(best.query):
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(best.query)), pa.array(best.ids), pa.array(best.far)], ["query", "base", "dist"])
+            order = np.argsort(ids, kind="stable")
+            ids, values = ids[order], values[order]
+            for _, mine, best in tiles:
+                step = max(1, PAIRS // len(mine))
+                for lo in range(0, len(values), step):
+                    i, j, far = pairs(mine, values[lo : lo + step], best.need, k, places)
+                    if len(i):
+                        best.merge(i, far if places is None or metric == "hamming" else np.round(far, places) + 0.0, ids[lo + j])
+        for at, _, best in tiles:
+            if len(best.query):
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(at + best.query)), pa.array(best.ids), pa.array(best.far)], ["query", "base", "dist"])
 
     return run
 
 
+def spread(rows: DataFrame, by: str) -> DataFrame:
+    """rows dealt to all cores: they are few bytes, which Spark puts into few tasks, but each meets many others."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, by)
+
+
 def knn(queries: DataFrame, base: DataFrame, metric: str, k: int, value: str, query_id: str, base_id: str, places: int | None = None, block_bytes: int | None = None) -> DataFrame:
     """(query_id, base_id, dist, rank): the k nearest of ``base`` for each query; ties go to the lower id.
 
@@ -138,7 +174,7 @@ def knn(queries: DataFrame, base: DataFrame, metric: str, k: int, value: str, qu
     kind = _METRICS[metric][0]
     shape = as_words if kind is np.uint64 else lambda df, c: F.col(c).cast("array<double>")
     q = queries.where(F.col(value).isNotNull()).select(F.col(query_id).alias("query"), shape(queries, value).alias("value"))
-    b = base.where(F.col(value).isNotNull()).select(F.col(base_id).cast("long").alias("base"), shape(base, value).alias("value"))
+    b = spread(base.where(F.col(value).isNotNull()).select(F.col(base_id).cast("long").alias("base"), shape(base, value).alias("value")), "base")
     name = q.schema["query"].dataType.simpleString()
     found = [b.mapInArrow(_nearest_in(names, rows, metric, k, places), f"query {name}, base long, dist double") for names, rows in blocks(q, "query", "value", kind, block_bytes)]
     best = reduce(DataFrame.union, found) if found else queries.sparkSession.createDataFrame([], f"query {name}, base long, dist double")

@@ -105,3 +105,22 @@ def test_empty_and_uneven(spark):
         nn.knn(q, frame(spark, np.zeros((2, 4)), "b", "double"), "l2", 2, "v", "q", "b").collect()
     with pytest.raises(ValueError, match="rows cannot be held"):
         nn.few(spark.range(20), 10)
+
+
+@pytest.mark.parametrize("metric", ["l2", "l1", "hamming"])
+def test_many_queries_meet_many_rows_at_once(metric, monkeypatch):
+    """A pass over the base takes it in pieces of many rows, however many queries there are; equal distances go to the lower id."""
+    import pyarrow as pa
+
+    kind, pairs = nn._METRICS[metric]
+    rng, met = np.random.default_rng(2), []
+    q, b = ((rng.integers(0, 4, (n, 64)).astype(kind)) for n in (8200, 60))
+    monkeypatch.setitem(nn._METRICS, metric, (kind, lambda *a: (met.append(len(a[1])), pairs(*a))[1]))
+    ids = rng.permutation(60)
+    value = pa.array([x.tolist() for x in (b.view(np.int64) if kind is np.uint64 else b)], pa.list_(pa.int64() if kind is np.uint64 else pa.float64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), value], ["base", "value"])
+    out = pa.Table.from_batches(nn._nearest_in(pa.array(range(len(q))), q, metric, 3, None)(iter([batch])))
+    assert min(met) == 60
+    far = nn.differing(q[:300], b).astype(float) if metric == "hamming" else (np.abs(q[:300, None] - b[None]) ** (2 if metric == "l2" else 1)).sum(2)
+    want = [(i, int(ids[x]), far[i, x]) for i in range(300) for x in np.lexsort((ids, far[i]))[:3]]
+    assert sorted(x for x in zip(*(out.column(c).to_pylist() for c in ("query", "base", "dist")), strict=True) if x[0] < 300) == sorted(want)
