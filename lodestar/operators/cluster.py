@@ -20,7 +20,7 @@ from pyspark.sql.types import ArrayType
 from lodestar.functions.exprs import hamming, hamming_words
 from lodestar.functions.random import Xoroshiro128
 from lodestar.operators import bow
-from lodestar.operators.knn import PAIRS, as_words, blocks, differing, few, matrix, nearest
+from lodestar.operators.knn import PAIRS, as_words, blocks, differing, few, matrix, nearest, spread
 from lodestar.sources.shared import kept
 
 Medoid = tuple[int, int | list[int]]
@@ -177,6 +177,20 @@ def _cost_of(points: DataFrame, medoids: list[Medoid]) -> int:
     return cost(two_nearest(points, _table(points.sparkSession, points, medoids))).first().cost
 
 
+def _tiles(words: np.ndarray, value: np.ndarray) -> Iterator[tuple[slice, np.ndarray, slice]]:
+    """(candidates, distances, points) of all pairs, PAIRS at once."""
+    wide = max(1, min(len(value), 1000))
+    for lo in range(0, len(value), wide):
+        here, tall = slice(lo, lo + wide), max(1, PAIRS // wide)
+        for up in range(0, len(words), tall):
+            yield slice(up, up + tall), differing(words[up : up + tall], value[here]), here
+
+
+def _sums(far: np.ndarray) -> np.ndarray:
+    """Sums of rows of at most 1,000 distances; of those of one word 16 bits hold them, which are quick to add."""
+    return far.sum(1, dtype=np.uint16 if far.dtype == np.uint8 and far.shape[1] <= 1000 and far.max(initial=0) <= 65 else np.int64)
+
+
 def swap_costs(assigned: DataFrame, candidates: DataFrame, block_bytes: int | None = None) -> DataFrame:
     """(h, m, delta): change of cost when candidate h takes medoid m's place, for all pairs; a pass for each block of candidates.
 
@@ -187,27 +201,26 @@ def swap_costs(assigned: DataFrame, candidates: DataFrame, block_bytes: int | No
 
     def summed(ids: np.ndarray, words: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            gains, losses = {}, {}
+            least: dict[int, np.ndarray] = {}
+            paid: dict[int, np.ndarray] = {}
             for batch in batches:
                 value, medoid = matrix(batch.column("value"), np.uint64), np.asarray(batch.column("medoid"))
-                d1 = np.asarray(batch.column("d1")).astype(np.int64)
-                d2 = np.asarray(batch.column("d2").fill_null(1 << 30)).astype(np.int64)
-                step = max(1, PAIRS // len(ids))
-                for lo in range(0, len(medoid), step):
-                    at = slice(lo, lo + step)
-                    far = differing(words, value[at]).astype(np.int64)
-                    gain = np.minimum(far - d1[at], 0)
-                    loss = np.minimum(far, d2[at]) - d1[at] - gain
-                    for m in np.unique(medoid[at]).tolist():
-                        mine = medoid[at] == m
-                        gains[m] = gains.get(m, 0) + gain[:, mine].sum(1)
-                        losses[m] = losses.get(m, 0) + loss[:, mine].sum(1)
-            for m in gains:
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), m)), pa.array(gains[m]), pa.array(losses[m])], ["h", "medoid", "g", "l"])
+                most = 64 * words.shape[1]
+                kind = np.min_scalar_type(most)
+                d1, d2 = (np.minimum(np.asarray(batch.column(c).fill_null(most)), most).astype(kind) for c in ("d1", "d2"))
+                for m in np.unique(medoid).tolist():
+                    mine = np.flatnonzero(medoid == m)
+                    near, next_ = (least.setdefault(m, np.zeros((2, len(ids)), np.int64)))
+                    paid[m] = paid.get(m, 0) + d1[mine].sum(dtype=np.int64)
+                    for at, far, here in _tiles(words, value[mine]):
+                        near[at] += _sums(np.minimum(far, d1[mine][here]))
+                        next_[at] += _sums(np.minimum(far, d2[mine][here]))
+            for m, (near, next_) in least.items():
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), m)), pa.array(near - paid[m]), pa.array(next_ - near)], ["h", "medoid", "g", "l"])
 
         return run
 
-    rows = assigned.select(as_words(assigned, "bits").alias("value"), F.col("medoid").cast("long").alias("medoid"), F.col("d1").cast("int").alias("d1"), F.col("d2").cast("int").alias("d2"))
+    rows = spread(assigned.select("kp_ind", as_words(assigned, "bits").alias("value"), F.col("medoid").cast("long").alias("medoid"), F.col("d1").cast("int").alias("d1"), F.col("d2").cast("int").alias("d2")), "kp_ind")
     pool = candidates.select("kp_ind", as_words(candidates, "bits").alias("value"))
     out = "h long, medoid long, g long, l long"
     parts = [rows.mapInArrow(summed(np.asarray(ids), words), out) for ids, words in blocks(pool, "kp_ind", "value", np.uint64, block_bytes)]
@@ -226,27 +239,53 @@ def best_swaps(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy("m").agg(F.min(F.struct("delta", "h")).alias("_b")).select("m", "_b.h", "_b.delta")
 
 
+def _bits(batch: pa.RecordBatch) -> np.ndarray:
+    """The bits of each descriptor as a row."""
+    words = matrix(batch.column("value"), np.uint64)
+    return np.unpackbits(words.view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
+
+
+def _plain_totals(points: DataFrame, pool: DataFrame) -> DataFrame:
+    """(kp_ind, total): of each candidate the distances to all points, from how many of them have each bit; no pairs are met."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b for b in batches if b.num_rows):
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([_bits(batch).sum(0, dtype=np.int64).tolist()], pa.list_(pa.int64()))], ["n", "ones"])
+
+    rows = points.select(as_words(points, "bits").alias("value")).where("value is not null")
+    per_bit = rows.mapInArrow(counted, "n long, ones array<long>").select("n", F.posexplode("ones").alias("bit", "ones"))
+    sums = per_bit.groupBy("bit").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).orderBy("bit").collect()
+    n, ones = np.array([r.n for r in sums], np.int64), np.array([r.ones for r in sums], np.int64)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b for b in batches if b.num_rows):
+            total = _bits(batch).astype(np.int64) @ (n - 2 * ones) + ones.sum()
+            yield pa.RecordBatch.from_arrays([batch.column("kp_ind").cast(pa.int64()), pa.array(total)], ["kp_ind", "total"])
+
+    return (pool if len(n) else pool.limit(0)).mapInArrow(summed, "kp_ind long, total long")
+
+
 def totals(points: DataFrame, candidates: DataFrame, chosen: list[Medoid] | None = None, block_bytes: int | None = None) -> DataFrame:
     """(kp_ind, total): for each candidate the points' distances to the nearest of it and the chosen, in blocks of candidates."""
 
-    def summed(ids: np.ndarray, words: np.ndarray, held: np.ndarray | None):
+    def summed(ids: np.ndarray, words: np.ndarray, held: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(len(ids), np.int64)
-            for batch in batches:
+            for batch in (b for b in batches if b.num_rows):
                 value = matrix(batch.column("value"), np.uint64)
-                for lo in range(0, len(value), max(1, PAIRS // len(ids))):
-                    part = value[lo : lo + max(1, PAIRS // len(ids))]
-                    far = differing(words, part)
-                    sums += (far if held is None else np.minimum(far, differing(held, part).min(0))).sum(1)
+                near = differing(held, value).min(0)
+                for at, far, here in _tiles(words, value):
+                    sums[at] += _sums(np.minimum(far, near[here]))
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sums)], ["kp_ind", "total"])
 
         return run
 
-    rows = points.select(as_words(points, "bits").alias("value"))
     pool = candidates.select("kp_ind", as_words(candidates, "bits").alias("value"))
-    if chosen:
-        pool = pool.where(~F.col("kp_ind").isin(*[i for i, _ in chosen]))
-    parts = [rows.mapInArrow(summed(np.asarray(ids), words, _words(chosen) if chosen else None), "kp_ind long, total long") for ids, words in blocks(pool, "kp_ind", "value", np.uint64, block_bytes)]
+    if not chosen:
+        return _plain_totals(points, pool)
+    rows = spread(points.select("kp_ind", as_words(points, "bits").alias("value")), "kp_ind")
+    pool = pool.where(~F.col("kp_ind").isin(*[i for i, _ in chosen]))
+    parts = [rows.mapInArrow(summed(np.asarray(ids), words, _words(chosen)), "kp_ind long, total long") for ids, words in blocks(pool, "kp_ind", "value", np.uint64, block_bytes)]
     sums = reduce(DataFrame.union, parts) if parts else points.sparkSession.createDataFrame([], "kp_ind long, total long")
     return sums.groupBy("kp_ind").agg(F.sum("total").alias("total"))
 

@@ -216,3 +216,17 @@ def test_wide_descriptors_and_blocks(spark):
     got = {(r.h, r.m): r.delta for r in cluster.swap_costs(own, v.where(~v.kp_ind.isin(chosen)), block_bytes=500).collect()}
     assert got == deltas(d, chosen)
     assert {r.kp_ind: r.total for r in cluster.totals(v, v, block_bytes=500).collect()} == dict(enumerate(d.sum(0).tolist()))
+
+
+def test_points_in_one_piece_go_to_all_cores(spark, small):
+    points = points_of(spark, small).coalesce(1)
+    medoids = [(m, b) for m, b in sorted((r.kp_ind, r.bits) for r in points.where("kp_ind < 3").collect())]
+    found = cluster.swap_costs(cluster.two_nearest(points, cluster._table(spark, points, medoids)), points.where("kp_ind >= 3"))
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.h, r.m): r.delta for r in found.collect()} == deltas(small[1], [0, 1, 2])
+
+
+def test_first_medoid_meets_no_pairs(spark, small, monkeypatch):
+    monkeypatch.setattr(cluster, "blocks", lambda *a: 1 / 0)
+    points = points_of(spark, small)
+    assert {r.kp_ind: r.total for r in cluster.distance_sums(points, points).collect()} == dict(enumerate(small[1].sum(0).tolist()))
