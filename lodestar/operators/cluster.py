@@ -24,6 +24,8 @@ from lodestar.operators.knn import PAIRS, as_words, blocks, differing, few, matr
 from lodestar.sources.shared import kept
 
 Medoid = tuple[int, int | list[int]]
+#: Swaps of a draw that are costed at first; then 16 times as many each time, while none helps.
+FIRST_SWAPS = 256
 
 
 def _distance(points: DataFrame):
@@ -409,7 +411,8 @@ def clarans(points: DataFrame, k: int, local: int = 2, rate: float | None = None
     A draw is afresh from all swaps of a medoid with another row, ceil(rate * k * (n - k)) of
     them (rate 0.0125), so it grows with the table. With fast a draw is of rows alone,
     ceil(rate * (n - k)) of them (rate 0.025), and each row meets all medoids at once: the
-    first row whose best swap helps is taken. k rows and one swap at the driver.
+    first row whose best swap helps is taken. A draw is costed in parts, in its order, up to the
+    part that has one. k rows and one swap at the driver.
     """
     spark, n, best = points.sparkSession, points.count(), None
     rate = rate or (0.025 if fast else 0.0125)
@@ -422,9 +425,14 @@ def clarans(points: DataFrame, k: int, local: int = 2, rate: float | None = None
             others = _others(points, medoids).select(F.col("kp_ind").alias("h"), "bits")
             swaps = others if fast else others.withColumn("m", F.explode(F.array(*[F.lit(m).cast("long") for m, _ in medoids])))
             drawn = kept(swaps.withColumn("place", _place(F.lit(f"{seed + 100 * i + 1}|{step}"), *[F.col(c).cast("string") for c in (["h"] if fast else ["h", "m"])])).orderBy("place", "h", *([] if fast else ["m"])).limit(retries))
-            deltas = swap_costs(two_nearest(points, _table(spark, points, medoids)), drawn.select(F.col("h").alias("kp_ind"), "bits").distinct())
-            helps = deltas.where("delta < 0").join(drawn, ["h"] if fast else ["h", "m"])
-            swap = helps.orderBy("place", "h", "delta", "m").first()
+            own = two_nearest(points, _table(spark, points, medoids))
+            swap, size, low = None, FIRST_SWAPS, ""
+            while swap is None and low is not None:  # in parts by place, as the first that helps is wanted
+                high = f"{size * 16**32 // ((n - k) * (1 if fast else k)):032x}" if size < retries else None
+                part = drawn.where((F.col("place") >= low) & (F.lit(True) if high is None else F.col("place") < high))
+                deltas = swap_costs(own, part.select(F.col("h").alias("kp_ind"), "bits").distinct())
+                helps = deltas.where("delta < 0").join(part, ["h"] if fast else ["h", "m"])
+                swap, size, low = helps.orderBy("place", "h", "delta", "m").first(), 16 * size, high
             if swap is None:
                 break
             medoids = _replaced(medoids, swap.m, (swap.h, swap.bits))

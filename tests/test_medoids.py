@@ -237,3 +237,13 @@ def test_first_medoid_meets_no_pairs(spark, small, monkeypatch):
     monkeypatch.setattr(cluster, "blocks", lambda *a: 1 / 0)
     points = points_of(spark, small)
     assert {r.kp_ind: r.total for r in cluster.distance_sums(points, points).collect()} == dict(enumerate(small[1].sum(0).tolist()))
+
+
+def test_clarans_costs_a_draw_in_parts(spark, small, monkeypatch):
+    met, whole = [], cluster.swap_costs
+    monkeypatch.setattr(cluster, "swap_costs", lambda own, pool, *a: (met.append(pool.count()), whole(own, pool, *a))[1])
+    want = cluster.clarans(points_of(spark, small), 2, local=1, rate=0.5)
+    at_once, met[:] = list(met), []
+    monkeypatch.setattr(cluster, "FIRST_SWAPS", 8)
+    assert cluster.clarans(points_of(spark, small), 2, local=1, rate=0.5) == want
+    assert min(at_once) > 90 and min(met) < 20
