@@ -15,6 +15,7 @@ is reached by its block's key range (Parquet statistics on ``first_key`` and
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import zlib
@@ -28,10 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.ranges import BUCKET_BYTES, buckets_of, total_bytes
-from lodestar.llm.words import chunks, ragged, texts
+from lodestar.llm.words import chunks, ragged, release, texts, tidy
 
 MAGIC = b"TKB2"
 BLOCK_IDS = 1 << 18
+#: Pieces and words that an encoder keeps; they stay in its worker's memory from task to task.
+KNOWN = 150_000
 RUN = 1024
 BLOCKS = "range int, block int, range_start long, n_docs long, n_ids long, first_key long, last_key long, payload binary"
 #: The split of words into pieces that inside_words() knows, a fixed value of the tokenizer's file.
@@ -120,7 +123,8 @@ class TextEncoder:
     order, and a word's those of its pieces. Words of plain Latin letters and signs are
     lower-cased and split by Arrow, and each distinct piece meets the file's merges; any other
     word goes through the whole tokenizer. At most ``memory`` pieces and words are kept for
-    later texts. With any other file each text goes through the tokenizer as it is.
+    later texts. With any other file each text goes through the tokenizer as it is. The library's
+    own threads stay off, unless the environment asks for them: a task has one core.
     """
 
     #: WORD_SPLIT for Arrow's expressions.
@@ -129,10 +133,11 @@ class TextEncoder:
     PLAIN = r"^[\x21-\x3B\x3D-\x7E\x{A1}\x{BF}-\x{FF}]*$"
     _line = 200
 
-    def __init__(self, path: str, memory: int = 500_000):
+    def __init__(self, path: str, memory: int = KNOWN):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         with open(path, encoding="utf-8") as f:
             self.by_words = inside_words(json.load(f))
         self.tokenizer, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
@@ -252,7 +257,7 @@ class TextEncoder:
 _coders: dict[tuple[str, int], TextEncoder] = {}
 
 
-def text_encoder(path: str, memory: int = 500_000) -> TextEncoder:
+def text_encoder(path: str, memory: int = KNOWN) -> TextEncoder:
     """One encoder a worker process, so that tasks share what it knows; it stays while the process lives."""
     if (path, memory) not in _coders:
         _coders[path, memory] = TextEncoder(path, memory)
@@ -274,8 +279,10 @@ def write_blocks(docs: DataFrame, scratch, tokenizer_path: str, end_id: int, key
     _, size = total_bytes(docs, text)
     ordered = rows.repartitionByRange(buckets_of(size, bucket_bytes), F.asc_nulls_first("key")).sortWithinPartitions(F.asc_nulls_first("key"), "text")
 
+    @tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = text_encoder(tokenizer_path)
+        release()  # what reading its file took
         bits = bit_width(max(coder.tokenizer.get_vocab_size(), end_id + 1))
         place, number, begun, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
 

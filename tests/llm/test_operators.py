@@ -588,3 +588,17 @@ def test_text_encoder_takes_any_tokenizer_whole():
     ids, counts = coder.encode(pa.array(texts))
     want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
     assert ids.tolist() == [i for x in want for i in x] and counts.tolist() == [len(x) for x in want] == coder.counts(pa.array(texts)).tolist()
+
+
+def test_text_encoder_keeps_a_bounded_store():
+    """By itself an encoder holds at most KNOWN pieces of what it has met, and its ids stay the library's."""
+    from tokenizers import Tokenizer
+
+    tok, coder = Tokenizer.from_file(TOKENIZER), token_files.TextEncoder(TOKENIZER)
+    letters = "bcdfghjklmnpqrstvwxz"
+    word = lambda i: "".join(letters[i // 20**p % 20] for p in range(4))
+    texts = [" ".join(word(i) for i in range(lo, lo + 20_000)) for lo in range(0, 160_000, 20_000)]
+    for text in [*texts, texts[0]]:
+        ids, counts = coder.encode(pa.array([text]))
+        assert len(coder.known) <= 150_000
+    assert ids.tolist() == tok.encode(texts[0], add_special_tokens=False).ids and counts.tolist() == [len(ids)]
