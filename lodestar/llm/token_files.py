@@ -20,6 +20,7 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -122,8 +123,8 @@ class TextEncoder:
     into pieces before its merges (see inside_words), a text's ids are those of its words in
     order, and a word's those of its pieces. Words of plain Latin letters and signs are
     lower-cased and split by Arrow, and each distinct piece meets the file's merges; any other
-    word goes through the whole tokenizer. At most ``memory`` pieces and words are kept for
-    later texts. With any other file each text goes through the tokenizer as it is. The library's
+    word goes through the whole tokenizer. The first ``memory`` pieces and words are kept for
+    later texts, others until the next are asked for. With any other file each text goes through the tokenizer as it is. The library's
     own threads stay off, unless the environment asks for them: a task has one core.
     """
 
@@ -131,6 +132,8 @@ class TextEncoder:
     PIECES = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
     #: PLAIN for Arrow's expressions.
     PLAIN = r"^[\x21-\x3B\x3D-\x7E\x{A1}\x{BF}-\x{FF}]*$"
+    #: Signs that WORD_SPLIT cuts, as one piece, from the letters before them.
+    SIGNS = "".join(x for x in map(chr, range(0x21, 0x7F)) if not x.isalnum())
     _line = 200
 
     def __init__(self, path: str, memory: int = KNOWN):
@@ -151,19 +154,21 @@ class TextEncoder:
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.starts, self.sizes = np.zeros(1 << 20, np.uint16 if len(self.last) <= 1 << 16 else np.uint32), np.zeros(self.memory + 2, np.int64), np.zeros(self.memory + 2, np.int64)
-        self.used = 0
-        self._store([""], np.zeros(0, np.int64), np.zeros(1, np.int64))  # blanks at an end split off an empty piece
-
-    def _store(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        n = len(self.known)
+        self.flat, self.starts, self.sizes = np.zeros(1 << 20, np.uint16 if len(self.last) <= 1 << 16 else np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.used = self.slots = 0
+        self._store(np.zeros(0, np.int64), np.zeros(1, np.int64))  # blanks at an end split off an empty piece
+        self.known[""] = 0
+
+    def _store(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros(max(len(ids), len(self.flat)), self.flat.dtype)))
+        if self.slots + len(sizes) > len(self.starts):
+            more = np.zeros(max(len(sizes), len(self.starts) // 4), np.int64)
+            self.starts, self.sizes = np.concatenate((self.starts, more)), np.concatenate((self.sizes, more))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.starts[n : n + len(names)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[n : n + len(names)] = sizes
-        self.used += len(ids)
-        self.known.update(zip(names, range(n, n + len(names)), strict=True))
+        self.starts[self.slots : self.slots + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.slots : self.slots + len(sizes)] = sizes
+        self.used, self.slots = self.used + len(ids), self.slots + len(sizes)
 
     def _learn(self, pieces: list[str]) -> None:
         for lo in range(0, len(pieces), 20 * self._line):
@@ -174,41 +179,53 @@ class TextEncoder:
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(part):
                 raise ValueError("the tokenizer does not end each piece with a word end")
-            self._store(part, ids, np.diff(ends, prepend=0))
+            self._store(ids, np.diff(ends, prepend=0))
 
     def _places(self, names: list[str], learn) -> np.ndarray:
-        """Where the names stand in the store; unknown ones are learned first."""
-        found = list(map(self.known.get, names))
-        new = [x for x, at in zip(names, found, strict=True) if at is None]
-        if new:
-            if len(self.known) + len(new) > self.memory:
-                self._clear()
-                if len(names) > self.memory:
-                    self.memory = 2 * len(names)
-                    self._clear()
-                new = [x for x in names if x]
+        """Where the distinct names stand in the store, until the next call; unknown ones are learned."""
+        self.slots = len(self.known)  # what was not kept is written over
+        self.used = int(self.starts[self.slots - 1] + self.sizes[self.slots - 1])
+        found = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        at = np.flatnonzero(found < 0)
+        if len(at):
+            new = [names[i] for i in at.tolist()]
+            found[at] = self.slots + np.arange(len(new))
             learn(new)
-            found = list(map(self.known.get, names))
-        return np.array(found, np.int64)
+            some = new[: max(0, self.memory - len(self.known))]
+            self.known.update(zip(some, found[at].tolist(), strict=False))
+        return found
 
     def _whole(self, words: list[str]) -> None:
         got = [self.tokenizer.encode(w[1:], add_special_tokens=False).ids for w in words]
-        self._store(words, np.array([i for x in got for i in x], np.int64), np.array([len(x) for x in got], np.int64))
+        self._store(np.array([i for x in got for i in x], np.int64), np.array([len(x) for x in got], np.int64))
 
     @staticmethod
     def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         return flat[np.repeat(starts, sizes) + ragged(sizes)]
 
+    def _spaced(self, words: pa.Array) -> pa.Array:
+        """Plain words with a blank after each piece, but for the last; only words other than letters and then signs need the split itself."""
+        low = pc.utf8_lower(words)
+        heads = pc.ascii_rtrim(low, characters=self.SIGNS)
+        simple = pc.utf8_is_alpha(heads)
+        sizes, cut = (np.asarray(pc.binary_length(x), np.int64) for x in (low, heads))
+        tails = np.asarray(simple) & (cut < sizes)
+        data, offsets = texts(low)
+        data = np.insert(data, (offsets[:-1] + cut)[tails], 0x20)
+        offsets = offsets + np.concatenate(([0], np.cumsum(tails)))
+        out = pa.LargeStringArray.from_buffers(len(low), pa.py_buffer(offsets), pa.py_buffer(data)).cast(low.type)
+        odd = pc.invert(simple)
+        return pc.replace_with_mask(out, odd, pc.utf8_rtrim_whitespace(pc.replace_substring_regex(low.filter(odd), self.PIECES, r"\1 ")))
+
     def _words(self, words: pa.Array, wanted: bool) -> tuple[np.ndarray | None, np.ndarray]:
         """Ids, if wanted, and number of ids of distinct words."""
         plain = np.asarray(pc.match_substring_regex(words, self.PLAIN))
         counts, ids = np.zeros(len(words), np.int64), np.zeros(0, self.flat.dtype)
         if plain.any():
-            spaced = pc.replace_substring_regex(pc.utf8_lower(words.filter(pa.array(plain))), self.PIECES, r"\1 ")
-            split = pc.ascii_split_whitespace(pc.utf8_rtrim_whitespace(spaced))
+            split = pc.ascii_split_whitespace(self._spaced(words.filter(pa.array(plain))))
             offsets = np.asarray(split.offsets, np.int64)
             coded = split.flatten().dictionary_encode()
-            at = self._places(coded.dictionary.to_pylist(), self._learn)[np.asarray(coded.indices, np.int64)]
+            at = self._places(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self._learn)[np.asarray(coded.indices, np.int64)]
             sizes = self.sizes[at]
             ids = self._gather(self.flat, self.starts[at], sizes) if wanted else ids
             counts[plain] = np.diff(np.concatenate(([0], np.cumsum(sizes)))[offsets - offsets[0]])

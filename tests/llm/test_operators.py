@@ -602,3 +602,27 @@ def test_text_encoder_keeps_a_bounded_store():
         ids, counts = coder.encode(pa.array([text]))
         assert len(coder.known) <= 150_000
     assert ids.tolist() == tok.encode(texts[0], add_special_tokens=False).ids and counts.tolist() == [len(ids)]
+
+
+def test_text_encoder_keeps_what_it_knows_when_its_store_is_full():
+    """What no longer fits is learned for its batch alone; before, a full store was emptied and all was learned anew."""
+    from tokenizers import Tokenizer
+
+    tok, coder = Tokenizer.from_file(TOKENIZER), token_files.TextEncoder(TOKENIZER, memory=20)
+    learned, learn = [], coder._learn
+    coder._learn = lambda pieces: (learned.append(sorted(pieces)), learn(pieces))[1]
+    letters = "bcdfghjkmn"
+    first, second = ([f"{x}{y}o" for y in letters] for x in letters[:2])
+    third = [f"{letters[2]}{y}o" for y in letters]
+    for words in (first, second, third, first + third):
+        text = " ".join([f"{words[0].upper()},", f"{words[1]}'s", f"{words[2]}'...", *words])
+        ids, counts = coder.encode(pa.array([text]))
+        assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids and counts.tolist() == [len(ids)]
+    assert set(first) <= set(learned[0]) and not set(first) & set(learned[-1]) and set(third) <= set(learned[-1])
+    assert len(coder.known) <= 20
+
+
+def test_text_encoder_splits_few_words_by_the_split_itself():
+    words = pa.array(["Word", "word,", "a.b", "it's", "dogs'", "x9", "é!", "...", "à", "×", "", "n't"])
+    coder = token_files.TextEncoder(TOKENIZER)
+    assert coder._spaced(words).to_pylist() == ["word", "word ,", "a . b", "it 's", "dogs '", "x 9", "é !", "...", "à", "×", "", "n 't"]
