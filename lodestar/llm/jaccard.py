@@ -264,7 +264,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def links(found: DataFrame, name: str) -> tuple[DataFrame, int]:
         """Verified pairs and how many they are."""
-        found = scratch.keep(found, f"{name}-pairs")
+        met = Observation()
+        found = scratch.keep(found.observe(met, F.count(F.lit(1)).alias("n")), f"{name}-pairs")
+        if not met.get["n"]:  # nothing to verify: no further job
+            return found, 0
         wanted = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
         sets = scratch.keep(_marked(rows, wanted).mapInArrow(_sets(k), "id long, s1 long, s2 long, shingles array<long>"), f"{name}-sets")
         # repeated keys: the class's own set decides
@@ -301,8 +304,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         new, found = links(pairs(outer.join(by_group, "id"), inner.join(by_class, "id"), pivots, False), f"round-{i}")
         if found:  # else the components stand
             # a group of several components may meet its pairs again
-            all_links = scratch.keep(all_links.union(new).distinct(), f"links-{i}")
-            part = scratch.keep(components(all_links, scratch, f"stars-{i}"), f"parts-{i}")
+            all_links = scratch.keep(all_links.union(new).distinct(), f"links-{i}") if counted else all_links
+            part = joined(part, new, scratch, i)
     final = part
     labelled = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left")
     if counted:
@@ -325,6 +328,20 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return done.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(none, F.col("id")).otherwise(F.col("component")).alias("component_id"), *(F.when(none, F.lit(0)).otherwise(F.col(x)).alias(x) for x in links_))
 
 
+def joined(part: DataFrame, links: DataFrame, scratch: Scratch, i: int) -> DataFrame:
+    """Components (node, component) with further links (a, b): only links between different ones count, and only their components meet again."""
+    own = {x: part.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"}
+    ends = links.join(own["a"], "a", "left").join(own["b"], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    sums = Observation()
+    bridges = scratch.keep(ends.where("a <> b").distinct().observe(sums, F.count(F.lit(1)).alias("n")), f"bridges-{i}")
+    if not sums.get["n"]:
+        return part
+    least = scratch.keep(components(bridges, scratch, f"stars-{i}").toDF("old", "new"), f"bridged-{i}")
+    moved = part.join(least, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    first = least.join(part, F.col("old") == F.col("node"), "left_anti")  # nodes that had no link before
+    return scratch.keep(moved.union(first), f"parts-{i}")
+
+
 def all_degrees(rows: DataFrame, classes: DataFrame, parts: DataFrame, k: int, percent: int, block: int, scratch: Scratch) -> DataFrame:
     """Rows (rep, n_links) of the nodes of parts (rep, component): with how many others of its component each links.
 

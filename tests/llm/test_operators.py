@@ -626,3 +626,22 @@ def test_text_encoder_splits_few_words_by_the_split_itself():
     words = pa.array(["Word", "word,", "a.b", "it's", "dogs'", "x9", "é!", "...", "à", "×", "", "n't"])
     coder = token_files.TextEncoder(TOKENIZER)
     assert coder._spaced(words).to_pylist() == ["word", "word ,", "a . b", "it 's", "dogs '", "x 9", "é !", "...", "à", "×", "", "n 't"]
+
+
+def test_jaccard_rounds_without_pairs_read_no_texts(spark, monkeypatch):
+    """A round that pairs nothing ends there; before, it went on to read sets and verify none."""
+    names, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: (names.append(name), keep(self, df, name))[1])
+    df = spark.createDataFrame([(1, f"{prose(40, 1)} a"), (2, f"{prose(40, 1)} b"), (3, prose(40, 3))], "doc_id long, text string")
+    got = jaccard.jaccard_components(df, k=5, percent=80, counted=False).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (3, 3)] and "first-sets" in names and "round-0-pairs" in names
+    assert not {"round-0-sets", "round-1-sets", "stars-0-0", "stars-1-0"} & set(names)
+
+
+def test_jaccard_links_between_components_alone_move_them(spark, monkeypatch):
+    part = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (8, 8), (9, 8)], "node long, component long")
+    links = lambda *rows: spark.createDataFrame(rows, "a long, b long")
+    got = jaccard.joined(part, links((2, 4), (2, 5), (1, 2), (6, 7), (0, 9)), Scratch(spark, "test"), 0).collect()
+    assert sorted(map(tuple, got)) == [(0, 0), (1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 6), (7, 6), (8, 0), (9, 0)]
+    monkeypatch.setattr(jaccard, "components", None)
+    assert jaccard.joined(part, links((1, 2), (3, 4)), Scratch(spark, "test"), 0) is part
