@@ -25,6 +25,8 @@ BLOCK_BYTES = 32 << 20
 #: Pairs whose distances a task holds at once, and queries among them, so that they stay in a core's cache.
 PAIRS, TILE = 1 << 18, 256
 BAND_BITS = 16
+#: Pairs of whole descriptors that cost what a row of the join on slices does.
+JOINED_COST = 500
 
 
 def as_words(df: DataFrame, value: str) -> Column:
@@ -188,6 +190,12 @@ def sub_codes(words: Column, bands: int) -> list[Column]:
     return [F.shiftrightunsigned(words[i // 4], 16 * (i % 4)).bitwiseAND(F.lit(0xFFFF)).cast("int") for i in range(bands)]
 
 
+def _meets(codes: DataFrame, sizes: DataFrame, near_codes: Column) -> int:
+    """Rows that a join of codes (band, code) and their neighbours with sizes (band, code, n) meets, from how often each code comes."""
+    probes = codes.groupBy("band", "code").agg(F.count(F.lit(1)).alias("asked")).select("band", "asked", near_codes.alias("code"))
+    return probes.join(sizes, ["band", "code"]).agg(F.sum(F.col("asked") * F.col("n")).alias("n")).first().n or 0
+
+
 def hamming_knn(queries: DataFrame, base: DataFrame, k: int, value: str, query_id: str, base_id: str, radius: int = 1, most: float = 0.1, block_bytes: int | None = None, few_pairs: int = 1 << 34) -> DataFrame:
     """The rows of ``knn`` for hamming, without all pairs where sub-codes prove the answer.
 
@@ -196,14 +204,16 @@ def hamming_knn(queries: DataFrame, base: DataFrame, k: int, value: str, query_i
     every base row nearer than that, and a query with k of them is done. r goes from 0 to
     ``radius``; queries that are not done, and those whose slices alone meet more than
     ``most`` of the base, are compared with it in blocks; so are all queries where there
-    are no more than ``few_pairs`` pairs, which costs less than the joins. A pair that meets
-    in several slices counts at the first. Rows with a null value are left out.
+    are no more than ``few_pairs`` pairs, which costs less than the joins. Neighbours of
+    slices are joined only where they meet so few rows that this costs less than the blocks.
+    A pair that meets in several slices counts at the first. Rows with a null value are left out.
     """
     q = kept(queries.where(F.col(value).isNotNull()).select(F.col(query_id).alias("query"), as_words(queries, value).alias("qv")))
     b = kept(base.where(F.col(value).isNotNull()).select(F.col(base_id).cast("long").alias("base"), as_words(base, value).alias("bv")))
     one = q.select(F.size("qv").alias("n")).first()
     rows = b.count()
-    if one is None or rows * q.count() <= few_pairs:
+    asked = q.count()
+    if one is None or rows * asked <= few_pairs:
         return knn(q, b.withColumnRenamed("bv", "qv"), "hamming", k, "qv", "query", "base", block_bytes=block_bytes).select(F.col("query").alias(query_id), F.col("base").alias(base_id), "dist", "rank")
     bands = one.n * 64 // BAND_BITS
     cut = lambda words: F.posexplode(F.array(*sub_codes(F.col(words), bands))).alias("band", "code")
@@ -212,7 +222,10 @@ def hamming_knn(queries: DataFrame, base: DataFrame, k: int, value: str, query_i
     left, done = q, []
     for r in range(radius + 1):
         masks = [sum(1 << x for x in bits) for n in range(r + 1) for bits in combinations(range(BAND_BITS), n)]
-        probes = left.select("query", "qv", cut("qv")).withColumn("code", F.explode(F.array(*[F.col("code").bitwiseXOR(F.lit(m)) for m in masks])))
+        near_codes = F.explode(F.array(*[F.col("code").bitwiseXOR(F.lit(m)) for m in masks]))
+        if r and _meets(left.select(cut("qv")), sizes, near_codes) * JOINED_COST > asked * rows:
+            break
+        probes = left.select("query", "qv", cut("qv")).withColumn("code", near_codes)
         light = probes.join(sizes, ["band", "code"]).groupBy("query").agg(F.sum("n").alias("n")).where(F.col("n") <= most * rows * bands).select("query")
         met = probes.join(light, "query", "left_semi").join(codes, ["band", "code"])
         apart = [F.bit_count(x.bitwiseXOR(y)) <= r for x, y in zip(sub_codes(F.col("qv"), bands), sub_codes(F.col("bv"), bands), strict=True)]
@@ -224,6 +237,7 @@ def hamming_knn(queries: DataFrame, base: DataFrame, k: int, value: str, query_i
         whole = found.where(F.col("rank") == k).select("query")
         done.append(found.join(whole, "query", "left_semi"))
         left = kept(left.join(whole, "query", "left_anti"))
+        asked = left.count()
     done.append(knn(left.select("query", F.col("qv").alias("v")), b.withColumnRenamed("bv", "v"), "hamming", k, "v", "query", "base", block_bytes=block_bytes))
     return reduce(DataFrame.union, done).select(F.col("query").alias(query_id), F.col("base").alias(base_id), "dist", "rank")
 

@@ -134,3 +134,16 @@ def test_a_base_in_one_piece_goes_to_all_cores(spark, descriptors):
     assert found(got) == brute(far, 2)
     joined = nn.hamming_knn(frame(spark, queries, "q"), frame(spark, base, "b").withColumn("v", nn.F.transform("v", lambda x: x + 0)), 2, "v", "q", "b", few_pairs=0)
     assert "transform" not in joined._jdf.queryExecution().optimizedPlan().toString() and found(joined) == brute(far, 2)
+
+
+def test_neighbours_of_slices_are_joined_only_where_that_costs_less(spark, descriptors, monkeypatch):
+    """Many rows that share slices: the second join is left out, with the same answer; where it is cheap it is made."""
+    queries, base, far = descriptors
+    q, b = frame(spark, queries, "q"), frame(spark, base, "b")
+    copies, whole = [], nn.kept
+    monkeypatch.setattr(nn, "kept", lambda df: (copies.append(df), whole(df))[1])
+    for cost, many in ((nn.JOINED_COST, 4), (0, 6)):
+        monkeypatch.setattr(nn, "JOINED_COST", cost)
+        copies.clear()
+        assert found(nn.hamming_knn(q, b, 2, "v", "q", "b", few_pairs=0)) == brute(far, 2)
+        assert len(copies) == many
