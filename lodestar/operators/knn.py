@@ -24,9 +24,11 @@ from lodestar.sources.shared import kept
 BLOCK_BYTES = 32 << 20
 #: Pairs whose distances a task holds at once, and queries among them, so that they stay in a core's cache.
 PAIRS, TILE = 1 << 18, 256
+#: The same for descriptors of bits: numpy joins words several times as fast in rows of some thousands.
+BITS_TILE, BITS_PAIRS = 32, 1 << 16
 BAND_BITS = 16
-#: Pairs of whole descriptors that cost what a row of the join on slices does.
-JOINED_COST = 500
+#: Pairs that one task meets, at most about; pairs of whole descriptors that cost what a row of the join on slices does.
+TASK_PAIRS, JOINED_COST = 1 << 32, 500
 
 
 def as_words(df: DataFrame, value: str) -> Column:
@@ -86,17 +88,29 @@ def _l1(q: np.ndarray, b: np.ndarray, need: np.ndarray, k: int, places: int | No
 
 
 def differing(q: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits of every pair of rows of 64-bit words, in the least unsigned type that holds them."""
-    far = np.bitwise_count(q[:, 0, None] ^ b[None, :, 0]).astype(np.min_scalar_type(64 * q.shape[1]), copy=False)
-    for i in range(1, q.shape[1]):
-        far += np.bitwise_count(q[:, i, None] ^ b[None, :, i])
+    """Differing bits of every pair of rows of 64-bit words, in the least unsigned type that holds them; joined words stay in a core's cache."""
+    far = np.empty((len(q), len(b)), np.min_scalar_type(64 * q.shape[1]))
+    tall = max(1, BITS_PAIRS // max(1, len(b)))
+    joined, columns = np.empty((min(tall, len(q)), len(b)), np.uint64), np.ascontiguousarray(b.T)
+    for at in range(0, len(q), tall):
+        part = far[at : at + tall]
+        both = joined[: len(part)]
+        for i, column in enumerate(columns):
+            np.bitwise_xor(q[at : at + tall, i, None], column, out=both)
+            if i:
+                part += np.bitwise_count(both)
+            else:
+                np.bitwise_count(both, out=part)
     return far
 
 
 def _hamming(q: np.ndarray, b: np.ndarray, need: np.ndarray, k: int, places: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs that may be among the k nearest; where many may, the k lowest by distance and place alone, as b is in order of ids."""
     far = differing(q, b)
-    near = far <= np.minimum(need, 64 * q.shape[1]).astype(far.dtype)[:, None]
+    most = np.minimum(need, 64 * q.shape[1]).astype(far.dtype)
+    near = far <= most[:, None]
+    if far.shape[1] > k and np.count_nonzero(near) > 4 * k * len(q):
+        near = far <= np.minimum(most, _within(far, k))[:, None]
     if far.shape[1] > k and np.count_nonzero(near) > 4 * k * len(q):
         order = far.astype(np.int64) * far.shape[1] + np.arange(far.shape[1])
         near &= order <= np.partition(order, k - 1, axis=1)[:, k - 1, None]
@@ -104,6 +118,18 @@ def _hamming(q: np.ndarray, b: np.ndarray, need: np.ndarray, k: int, places: int
     return i, j, far[i, j].astype(float)
 
 
+def _within(far: np.ndarray, k: int) -> np.ndarray:
+    """Distances that at least k of each row are within: the k-th lowest of what groups of places have as their least."""
+    groups = min(far.shape[1], 4 * k)
+    width = far.shape[1] // groups
+    return np.partition(far[:, : groups * width].reshape(len(far), groups, width).min(2), k - 1, axis=1)[:, k - 1]
+
+
+def even(n: int, most: int) -> int:
+    """The length of pieces that n is cut into, nearly equal ones of at most ``most``."""
+    return max(1, -(-n // max(1, -(-n // most))))
+
+
 def _where(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.divmod(np.flatnonzero(near), near.shape[1])
 
@@ -140,7 +166,8 @@ def _nearest_in(names: pa.Array, q: np.ndarray, metric: str, k: int, places: int
     kind, pairs = _METRICS[metric]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tiles = [(at, q[at : at + TILE], _Nearest(len(q[at : at + TILE]), k)) for at in range(0, len(q), TILE)]
+        tall = BITS_TILE if metric == "hamming" else TILE
+        tiles = [(at, q[at : at + tall], _Nearest(len(q[at : at + tall]), k)) for at in range(0, len(q), tall)]
         for batch in batches:
             ids, values = np.asarray(batch.column("base")), matrix(batch.column("value"), kind)
             if len(values) and values.shape[1] != q.shape[1]:
@@ -148,7 +175,7 @@ def _nearest_in(names: pa.Array, q: np.ndarray, metric: str, k: int, places: int
             order = np.argsort(ids, kind="stable")
             ids, values = ids[order], values[order]
             for _, mine, best in tiles:
-                step = max(1, PAIRS // len(mine))
+                step = even(len(values), max(1, PAIRS // len(mine)))
                 for lo in range(0, len(values), step):
                     i, j, far = pairs(mine, values[lo : lo + step], best.need, k, places)
                     if len(i):
@@ -160,23 +187,24 @@ def _nearest_in(names: pa.Array, q: np.ndarray, metric: str, k: int, places: int
     return run
 
 
-def spread(rows: DataFrame, by: str) -> DataFrame:
-    """rows dealt to all cores: they are few bytes, which Spark puts into few tasks, but each meets many others."""
-    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, by)
+def spread(rows: DataFrame, by: str, pairs: int = 0) -> DataFrame:
+    """rows dealt to all cores, and to more tasks where they make many pairs: they are few bytes, which Spark puts into few tasks, but each meets many others."""
+    return rows.repartition(max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-pairs // TASK_PAIRS)), by)
 
 
-def knn(queries: DataFrame, base: DataFrame, metric: str, k: int, value: str, query_id: str, base_id: str, places: int | None = None, block_bytes: int | None = None) -> DataFrame:
+def knn(queries: DataFrame, base: DataFrame, metric: str, k: int, value: str, query_id: str, base_id: str, places: int | None = None, block_bytes: int | None = None, pairs: int = 0) -> DataFrame:
     """(query_id, base_id, dist, rank): the k nearest of ``base`` for each query; ties go to the lower id.
 
     metric: l2 (squared), l1, or hamming (64-bit words, one or an array of them); l2 and l1
     may be rounded to ``places`` before they are compared. base_id is a whole number, the
     query id anything. The stated query set goes out in blocks of ``block_bytes``, each in a
     pass over the base; rows with a null value are left out, vectors of unequal length fail.
+    pairs: how many they make, if known; then no task meets many more than ``TASK_PAIRS``.
     """
     kind = _METRICS[metric][0]
     shape = as_words if kind is np.uint64 else lambda df, c: F.col(c).cast("array<double>")
     q = queries.where(F.col(value).isNotNull()).select(F.col(query_id).alias("query"), shape(queries, value).alias("value"))
-    b = spread(base.where(F.col(value).isNotNull()).select(F.col(base_id).cast("long").alias("base"), shape(base, value).alias("value")), "base")
+    b = spread(base.where(F.col(value).isNotNull()).select(F.col(base_id).cast("long").alias("base"), shape(base, value).alias("value")), "base", pairs)
     name = q.schema["query"].dataType.simpleString()
     found = [b.mapInArrow(_nearest_in(names, rows, metric, k, places), f"query {name}, base long, dist double") for names, rows in blocks(q, "query", "value", kind, block_bytes)]
     best = reduce(DataFrame.union, found) if found else queries.sparkSession.createDataFrame([], f"query {name}, base long, dist double")
@@ -214,7 +242,7 @@ def hamming_knn(queries: DataFrame, base: DataFrame, k: int, value: str, query_i
     rows = b.count()
     asked = q.count()
     if one is None or rows * asked <= few_pairs:
-        return knn(q, b.withColumnRenamed("bv", "qv"), "hamming", k, "qv", "query", "base", block_bytes=block_bytes).select(F.col("query").alias(query_id), F.col("base").alias(base_id), "dist", "rank")
+        return knn(q, b.withColumnRenamed("bv", "qv"), "hamming", k, "qv", "query", "base", block_bytes=block_bytes, pairs=rows * asked).select(F.col("query").alias(query_id), F.col("base").alias(base_id), "dist", "rank")
     bands = one.n * 64 // BAND_BITS
     cut = lambda words: F.posexplode(F.array(*sub_codes(F.col(words), bands))).alias("band", "code")
     codes = b.select("base", "bv", cut("bv"))
@@ -238,7 +266,7 @@ def hamming_knn(queries: DataFrame, base: DataFrame, k: int, value: str, query_i
         done.append(found.join(whole, "query", "left_semi"))
         left = kept(left.join(whole, "query", "left_anti"))
         asked = left.count()
-    done.append(knn(left.select("query", F.col("qv").alias("v")), b.withColumnRenamed("bv", "v"), "hamming", k, "v", "query", "base", block_bytes=block_bytes))
+    done.append(knn(left.select("query", F.col("qv").alias("v")), b.withColumnRenamed("bv", "v"), "hamming", k, "v", "query", "base", block_bytes=block_bytes, pairs=rows * asked))
     return reduce(DataFrame.union, done).select(F.col("query").alias(query_id), F.col("base").alias(base_id), "dist", "rank")
 
 

@@ -147,3 +147,28 @@ def test_neighbours_of_slices_are_joined_only_where_that_costs_less(spark, descr
         copies.clear()
         assert found(nn.hamming_knn(q, b, 2, "v", "q", "b", few_pairs=0)) == brute(far, 2)
         assert len(copies) == many
+
+
+def test_more_pairs_go_to_more_tasks(spark, descriptors, monkeypatch):
+    queries, base, far = descriptors
+    monkeypatch.setattr(nn, "TASK_PAIRS", 1000)
+    got = nn.hamming_knn(frame(spark, queries, "q"), frame(spark, base, "b"), 2, "v", "q", "b")
+    assert f", {-(-len(queries) * len(base) // 1000)})" in got._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[1]
+    assert found(got) == brute(far, 2)
+
+
+@pytest.mark.parametrize("width", [1, 3, 4])
+def test_first_rows_of_bits_are_not_sorted(width, monkeypatch):
+    """The k lowest of a first tile come from the least of groups of places, not from an order of all pairs; many equal ones still go by place."""
+    rng, met, whole = np.random.default_rng(4), [], np.partition
+    q, b = (rng.integers(0, 2**63, (n, width), dtype=np.uint64) for n in (50, 9000))
+    far = np.bitwise_count(q[:, None] ^ b[None]).sum(2)
+    assert (nn.differing(q, b) == far).all()
+    monkeypatch.setattr(np, "partition", lambda x, *a, **k: (met.append(x.shape[1]), whole(x, *a, **k))[1])
+    i, j, dist = nn._hamming(q, b, np.full(50, np.inf), 2, None)
+    assert met == [8] and (dist == far[i, j]).all()
+    for row in range(50):
+        assert set(np.lexsort((np.arange(9000), far[row]))[:2]) <= set(j[i == row])
+    i, j, _ = nn._hamming(q, np.repeat(b[:1], 9000, 0), np.full(50, np.inf), 2, None)
+    assert (i == np.repeat(np.arange(50), 2)).all() and (j == np.tile([0, 1], 50)).all()
+    assert [nn.even(n, 8) for n in (0, 1, 8, 9, 17)] == [1, 1, 8, 5, 6]
