@@ -20,12 +20,14 @@ from pyspark.sql.types import ArrayType
 from lodestar.functions.exprs import hamming, hamming_words
 from lodestar.functions.random import Xoroshiro128
 from lodestar.operators import bow
-from lodestar.operators.knn import PAIRS, as_words, blocks, differing, few, matrix, nearest, spread
+from lodestar.operators.knn import PAIRS, as_words, blocks, differing, even, few, matrix, nearest, spread
 from lodestar.sources.shared import kept
 
 Medoid = tuple[int, int | list[int]]
 #: Swaps of a draw that are costed at first; then 16 times as many each time, while none helps.
 FIRST_SWAPS = 256
+#: Points in a tile's row, which numpy meets several times as fast as short ones, and points that a task gathers for them.
+WIDE, GATHERED = 8000, 1 << 17
 
 
 def _distance(points: DataFrame):
@@ -180,17 +182,32 @@ def _cost_of(points: DataFrame, medoids: list[Medoid]) -> int:
 
 
 def _tiles(words: np.ndarray, value: np.ndarray) -> Iterator[tuple[slice, np.ndarray, slice]]:
-    """(candidates, distances, points) of all pairs, PAIRS at once."""
-    wide = max(1, min(len(value), 1000))
+    """(candidates, distances, points) of all pairs, PAIRS at once, in rows of at most WIDE points."""
+    wide = even(len(value), WIDE)
     for lo in range(0, len(value), wide):
         here, tall = slice(lo, lo + wide), max(1, PAIRS // wide)
         for up in range(0, len(words), tall):
             yield slice(up, up + tall), differing(words[up : up + tall], value[here]), here
 
 
-def _sums(far: np.ndarray) -> np.ndarray:
-    """Sums of rows of at most 1,000 distances; of those of one word 16 bits hold them, which are quick to add."""
-    return far.sum(1, dtype=np.uint16 if far.dtype == np.uint8 and far.shape[1] <= 1000 and far.max(initial=0) <= 65 else np.int64)
+def _sums(far: np.ndarray, cuts: np.ndarray | tuple[int, ...] = (0,)) -> np.ndarray:
+    """Sums of each row of distances from each of ``cuts`` to the next; of 1,000 of one word 16 bits hold them, which are quick to add."""
+    if far.dtype != np.uint8 or far.max(initial=0) > 65:
+        return np.add.reduceat(far, cuts, axis=1, dtype=np.int64)
+    fine = np.union1d(cuts, np.arange(0, far.shape[1], 1000))
+    return np.add.reduceat(np.add.reduceat(far, fine, axis=1, dtype=np.uint16), np.searchsorted(fine, cuts), axis=1, dtype=np.int64)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together until they hold GATHERED rows, none of them empty."""
+    held: list[pa.RecordBatch] = []
+    for batch in (b for b in batches if b.num_rows):
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= GATHERED:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def swap_costs(assigned: DataFrame, candidates: DataFrame, block_bytes: int | None = None) -> DataFrame:
@@ -205,18 +222,22 @@ def swap_costs(assigned: DataFrame, candidates: DataFrame, block_bytes: int | No
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             least: dict[int, np.ndarray] = {}
             paid: dict[int, np.ndarray] = {}
-            for batch in batches:
-                value, medoid = matrix(batch.column("value"), np.uint64), np.asarray(batch.column("medoid"))
+            for batch in _gathered(batches):  # in order of medoids, so that rows of pairs are long however many there are
+                medoid = np.asarray(batch.column("medoid"))
+                order = np.argsort(medoid, kind="stable")
+                value, (names, starts) = matrix(batch.column("value"), np.uint64)[order], np.unique(medoid[order], return_index=True)
                 most = 64 * words.shape[1]
                 kind = np.min_scalar_type(most)
-                d1, d2 = (np.minimum(np.asarray(batch.column(c).fill_null(most)), most).astype(kind) for c in ("d1", "d2"))
-                for m in np.unique(medoid).tolist():
-                    mine = np.flatnonzero(medoid == m)
-                    near, next_ = (least.setdefault(m, np.zeros((2, len(ids)), np.int64)))
-                    paid[m] = paid.get(m, 0) + d1[mine].sum(dtype=np.int64)
-                    for at, far, here in _tiles(words, value[mine]):
-                        near[at] += _sums(np.minimum(far, d1[mine][here]))
-                        next_[at] += _sums(np.minimum(far, d2[mine][here]))
+                d1, d2 = (np.minimum(np.asarray(batch.column(c).fill_null(most)), most).astype(kind)[order] for c in ("d1", "d2"))
+                sums = np.zeros((2, len(ids), len(names)), np.int64)
+                for at, far, here in _tiles(words, value):
+                    own = slice(*(np.searchsorted(starts, (here.start, here.start + far.shape[1] - 1), "right") + (-1, 0)))
+                    cuts = np.maximum(starts[own] - here.start, 0)
+                    for into, d in zip(sums, (d1, d2), strict=True):
+                        into[at, own] += _sums(np.minimum(far, d[here]), cuts)
+                for i, m in enumerate(names.tolist()):
+                    least[m] = least.get(m, 0) + sums[:, :, i]
+                    paid[m] = paid.get(m, 0) + d1[medoid[order] == m].sum(dtype=np.int64)
             for m, (near, next_) in least.items():
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), m)), pa.array(near - paid[m]), pa.array(next_ - near)], ["h", "medoid", "g", "l"])
 
@@ -277,7 +298,7 @@ def totals(points: DataFrame, candidates: DataFrame, chosen: list[Medoid] | None
                 value = matrix(batch.column("value"), np.uint64)
                 near = differing(held, value).min(0)
                 for at, far, here in _tiles(words, value):
-                    sums[at] += _sums(np.minimum(far, near[here]))
+                    sums[at] += _sums(np.minimum(far, near[here]))[:, 0]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sums)], ["kp_ind", "total"])
 
         return run

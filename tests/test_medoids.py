@@ -247,3 +247,26 @@ def test_clarans_costs_a_draw_in_parts(spark, small, monkeypatch):
     monkeypatch.setattr(cluster, "FIRST_SWAPS", 8)
     assert cluster.clarans(points_of(spark, small), 2, local=1, rate=0.5) == want
     assert min(at_once) > 90 and min(met) < 20
+
+
+@pytest.mark.parametrize("width", [1, 3, 4])
+def test_tiles_have_long_rows(width):
+    """Numpy meets rows of some thousand points several times as fast as short ones; sums of bytes hold at every distance."""
+    rng = np.random.default_rng(6)
+    words, value = (rng.integers(0, 2**63, (n, width), dtype=np.uint64) for n in (70, 9000))
+    value[:2000] = ~words[0]
+    far, met = np.bitwise_count(words[:, None] ^ value[None]).sum(2).astype(int), np.zeros((70, 9000), int)
+    for at, part, here in cluster._tiles(words, value):
+        assert part.shape[1] >= 4000
+        met[at, here] = part
+        cuts = [0, 7, 2500, 2501]
+        assert (cluster._sums(part, cuts) == np.add.reduceat(far[at, here], cuts, axis=1)).all() and (cluster._sums(part)[:, 0] == far[at, here].sum(1)).all()
+    assert (met == far).all()
+
+
+def test_tasks_gather_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(cluster, "GATHERED", 4)
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64())], ["x"]) for n in (0, 3, 0, 2, 1, 0)]
+    assert [t.column("x").to_pylist() for t in cluster._gathered(iter(batches))] == [[0, 1, 2, 0, 1], [0]]
