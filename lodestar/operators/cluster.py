@@ -294,7 +294,7 @@ def totals(points: DataFrame, candidates: DataFrame, chosen: list[Medoid] | None
     def summed(ids: np.ndarray, words: np.ndarray, held: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(len(ids), np.int64)
-            for batch in (b for b in batches if b.num_rows):
+            for batch in _gathered(batches):
                 value = matrix(batch.column("value"), np.uint64)
                 near = differing(held, value).min(0)
                 for at, far, here in _tiles(words, value):

@@ -270,3 +270,17 @@ def test_tasks_gather_batches(monkeypatch):
     monkeypatch.setattr(cluster, "GATHERED", 4)
     batches = [pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64())], ["x"]) for n in (0, 3, 0, 2, 1, 0)]
     assert [t.column("x").to_pylist() for t in cluster._gathered(iter(batches))] == [[0, 1, 2, 0, 1], [0]]
+
+
+def test_totals_meet_gathered_batches(spark, small, monkeypatch):
+    """A pass of the greedy start meets all points of a task at once, however small Spark's batches are."""
+    points = points_of(spark, small)
+    first = [(r.kp_ind, r.bits) for r in points.where("kp_ind = 4").collect()]
+    batch = cluster.pa.RecordBatch.from_arrays([cluster.pa.array([[r.bits] for r in points.orderBy("kp_ind").collect()])], ["value"])
+    rows, met, whole = [], [], cluster._tiles
+    monkeypatch.setattr(cluster, "_tiles", lambda words, value: (met.append(len(value)), whole(words, value))[1])
+    monkeypatch.setattr(cluster.DataFrame, "mapInArrow", lambda df, run, schema: (rows.extend(run(batch.slice(i, 10) for i in range(0, 150, 10))), spark.createDataFrame([], schema))[1], raising=False)
+    monkeypatch.setattr(type(points), "mapInArrow", cluster.DataFrame.mapInArrow)
+    cluster.totals(points, points, first)
+    got = dict(zip(*(x.to_pylist() for x in rows[0].columns), strict=True))
+    assert met == [150] and got == {h: int(np.minimum(small[1][h], small[1][4]).sum()) for h in range(150) if h != 4}
